@@ -17,8 +17,9 @@ def inspect_records(raw: DataFrame) -> DataFrame:
     A record is unusable when it has no value, or when neither an id nor a type can be read from it;
     an envelope that lacks just one of the two is kept and judged later.
     """
+    # The one-element explode keeps later filters on `defect` from repeating the parse below it.
     read = raw.withColumn("body", F.col("value").cast("string")).withColumn(
-        "envelope", F.from_json("body", C.ENVELOPE)
+        "envelope", F.explode(F.array(F.from_json("body", C.ENVELOPE)))
     )
     anonymous = F.coalesce(F.col("envelope.event_id"), F.col("envelope.event_type")).isNull()
     return read.withColumn("defect", F.when(F.col("body").isNull(), EMPTY_VALUE).when(anonymous, NO_ENVELOPE))

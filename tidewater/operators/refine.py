@@ -55,20 +55,45 @@ def is_late() -> Column:
 
 def judged(candidates: DataFrame, event_type: str) -> DataFrame:
     """Adds `defect` and `route`; validity is decided before lateness. Never drops a row."""
-    with_defect = candidates.withColumn("defect", defect(event_type))
-    return with_defect.withColumn(
+    return _with_route(candidates.withColumn("defect", defect(event_type)))
+
+
+def _with_route(df: DataFrame) -> DataFrame:
+    return df.withColumn(
         "route", F.when(F.col("defect").isNotNull(), REJECTED).when(is_late(), LATE).otherwise(ON_TIME)
     )
 
 
-def distinct_events(df: DataFrame) -> DataFrame:
+def judged_any(bronze: DataFrame) -> DataFrame:
+    """`event_time`, `defect` and `route` for bronze rows of all types in one pass.
+
+    Only the mandatory keys are read from the payload, so one parse serves every type. For reports and
+    counts; tables of a type need `candidates`.
+    """
+    keys = sorted({name for names in C.MANDATORY.values() for name in names})
+    read = bronze.withColumn("event_time", F.try_to_timestamp(F.col("occurred_at"))).withColumn(
+        "payload", F.from_json("data_json", ", ".join(f"{name} string" for name in keys))
+    )
+    known = " or ".join(f"(event_type = '{t}' and schema_version = '{v}')" for t, v in C.PAYLOADS)
+    missing = " ".join(
+        f"when event_type = '{t}' and payload.{name} is null then 'missing_required_field:{name}'"
+        for t, names in C.MANDATORY.items() for name in names
+    )
+    verdict = F.expr(f"""case when not coalesce({known}, false) then 'unknown_schema_version'
+        when event_id is null then 'missing_event_id' when event_time is null then 'invalid_timestamp'
+        {missing} end""")
+    return _with_route(read.withColumn("defect", verdict)).drop("payload")
+
+
+def distinct_events(df: DataFrame, *keys: str) -> DataFrame:
     """Batch form of deduplication: the copy with the lowest bus position survives.
 
-    An aggregate rather than a window, so copies collapse before the shuffle.
+    An aggregate rather than a window, so copies collapse before the shuffle. Over rows of several
+    types the keys are `event_type`, `event_id`; within one type the id alone.
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
+    row = F.struct(*df.columns)
     position = F.struct("kafka_partition", "kafka_offset")
-    return df.groupBy("event_id").agg(F.min_by(row, position).alias("kept")).select("kept.*")
+    return df.groupBy(*(keys or ("event_id",))).agg(F.min_by(row, position).alias("kept")).select("kept.*")
 
 
 def distinct_events_stream(df: DataFrame) -> DataFrame:
@@ -85,6 +110,7 @@ def candidates(bronze: DataFrame, event_type: str, version: str = C.V1) -> DataF
 def destination(routed: DataFrame, route: str) -> DataFrame:
     """Rows of one route in the shape of that route's table."""
     rows = routed.where(F.col("route") == route)
+    header = [c for c in _HEADER if c in routed.columns]
     payload = [c for c in routed.columns if c not in {*_HEADER, "occurred_at", "event_time", "defect", "route"}]
     extra = {
         ON_TIME: [],
@@ -92,5 +118,5 @@ def destination(routed: DataFrame, route: str) -> DataFrame:
         REJECTED: [F.col("defect").alias("_rejection_reason")],
     }[route]
     return rows.select(
-        *_HEADER, F.col("event_time").alias("occurred_at"), *payload, *extra, F.to_date("event_time").alias("date")
+        *header, F.col("event_time").alias("occurred_at"), *payload, *extra, F.to_date("event_time").alias("date")
     )

@@ -36,9 +36,9 @@ def revenue_by_product_location(spark, root):
 
 
 @query("fulfillment_success_rate", statement(
-    f"""SELECT {_window('hour', 'at')}, count(*) FILTER (WHERE ok) AS shipped_count, count(*) FILTER (WHERE NOT ok) AS failed_count,
+    f"""SELECT {_window('hour', 'ts')}, count(*) FILTER (WHERE ok) AS shipped_count, count(*) FILTER (WHERE NOT ok) AS failed_count,
       round(count(*) FILTER (WHERE ok) / greatest(count(*), 1), 4) AS success_rate
-    FROM (SELECT shipped_at AS at, true AS ok FROM steps WHERE shipped_at IS NOT NULL
+    FROM (SELECT shipped_at AS ts, true AS ok FROM steps WHERE shipped_at IS NOT NULL
           UNION ALL SELECT failed_at, false FROM steps WHERE failed_at IS NOT NULL) GROUP BY ALL""", "steps"))
 def fulfillment_success_rate(spark, root):
     facts = R.order_facts(spark, root)
@@ -57,10 +57,10 @@ def fulfillment_latency(spark, root):
 
 
 @query("inventory_reservation_failure_rate", statement(
-    f"""SELECT {_window('hour', 'at')}, count(*) FILTER (WHERE ok) AS reserved_count,
+    f"""SELECT {_window('hour', 'ts')}, count(*) FILTER (WHERE ok) AS reserved_count,
       count(*) FILTER (WHERE NOT ok) AS rejected_count,
       round(count(*) FILTER (WHERE NOT ok) / greatest(count(*), 1), 4) AS failure_rate
-    FROM (SELECT reserved_at AS at, true AS ok FROM steps WHERE reserved_at IS NOT NULL
+    FROM (SELECT reserved_at AS ts, true AS ok FROM steps WHERE reserved_at IS NOT NULL
           UNION ALL SELECT rejected_at, false FROM steps WHERE rejected_at IS NOT NULL) GROUP BY ALL""", "steps"))
 def inventory_reservation_failure_rate(spark, root):
     facts = R.order_facts(spark, root)
@@ -83,7 +83,7 @@ def stockout_frequency(spark, root):
     "steps"))
 def late_order_rate(spark, root):
     facts = R.order_facts(spark, root)
-    assigned = R.happened(facts, "assigned_at", F.col("promised_at").alias("estimated_ship_date"))
+    assigned = R.happened(facts, "assigned_at", "promised_at as estimated_ship_date")
     return A.late_order_rate(R.happened(facts, "shipped_at"), assigned).withColumn("late_rate", F.round("late_rate", 4))
 
 

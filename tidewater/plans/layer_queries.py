@@ -13,20 +13,20 @@ from tidewater.plans.registry import query, statement
 from tidewater.sources import retail as R
 
 RAW = """
-    SELECT s.k, t.event_type, t.at, c.copy, s.order_id, s.customer_id,
+    SELECT s.k, t.event_type, t.happened, c.copy, s.order_id, s.customer_id,
       CASE WHEN s.k % 350 = 7 THEN 'empty_kafka_value'
            WHEN s.k % 50 = 1 OR s.k % 450 = 2 THEN 'unparseable_or_empty_envelope' END AS reason,
       CASE WHEN s.k % 229 <> 0 THEN t.event_type || ':' || s.k END AS event_id,
       CASE WHEN s.k % 213 = 0 THEN '9.9.9' WHEN s.k % 211 <> 0 THEN '1.0.0' END AS schema_version,
-      CASE WHEN s.k % 223 = 0 THEN 'not-a-time' ELSE strftime(t.at, '%Y-%m-%dT%H:%M:%SZ') END AS occurred_text,
-      CASE WHEN s.k % 223 <> 0 THEN t.at END AS event_time,
+      CASE WHEN s.k % 223 = 0 THEN 'not-a-time' ELSE strftime(t.happened, '%Y-%m-%dT%H:%M:%SZ') END AS occurred_text,
+      CASE WHEN s.k % 223 <> 0 THEN t.happened END AS event_time,
       (s.k % 6)::INTEGER AS kafka_partition, s.k * 2 + c.copy AS kafka_offset,
-      t.at + to_seconds((s.k % 125) * 5 + c.copy) AS ingested_at
+      t.happened + to_seconds((s.k % 125) * 5 + c.copy) AS ingested_at
     FROM steps s
     CROSS JOIN LATERAL (VALUES ('order.created', s.created_at), ('order.validated', s.validated_at),
-      ('order.shipped', s.shipped_at), ('deadletter.event', s.dead_at)) t(event_type, at)
+      ('order.shipped', s.shipped_at), ('deadletter.event', s.dead_at)) t(event_type, happened)
     JOIN (VALUES (0), (1)) c(copy) ON c.copy = 0 OR s.k % 20 = 0
-    WHERE t.at IS NOT NULL"""
+    WHERE t.happened IS NOT NULL"""
 BRONZE = "SELECT * EXCLUDE (reason) FROM raw WHERE reason IS NULL"
 JUDGED = """
     SELECT *, CASE WHEN defect IS NOT NULL THEN 'rejected'
@@ -46,21 +46,19 @@ def _sql(body: str, upto: str = "judged") -> str:
     return statement(body, "steps", **{n: _LAYERS[n] for n in names})
 
 
-def inspected(spark, root: str, event_type: str) -> DataFrame:
-    return intake.inspect_records(R.raw_records(spark, root, event_type))
+def inspected(spark, root: str, *types: str) -> DataFrame:
+    return intake.inspect_records(R.raw_records(spark, root, *types))
 
 
-def bronze(spark, root: str, event_type: str) -> DataFrame:
+def bronze(spark, root: str, *types: str) -> DataFrame:
     """Arrival is the bus timestamp here: a clock reading could not be compared."""
-    return intake.bronze_rows(inspected(spark, root, event_type), F.col("timestamp"))
+    return intake.bronze_rows(inspected(spark, root, *types), F.col("timestamp"))
 
 
-def routed(spark, root: str, event_type: str) -> DataFrame:
-    return refine.distinct_events(refine.candidates(bronze(spark, root, event_type), event_type))
-
-
-def over_types(make, *columns) -> DataFrame:
-    return reduce(DataFrame.unionByName, [make(t).select(*columns) for t in R.RAW_TYPES])
+def decided(spark, root: str) -> DataFrame:
+    """One decision per event over all types."""
+    columns = ("event_id", "event_type", "kafka_partition", "kafka_offset", "ingested_at", "event_time", "defect", "route")
+    return refine.distinct_events(refine.judged_any(bronze(spark, root)).select(*columns), "event_type", "event_id")
 
 
 @query("bronze_valid", _sql(
@@ -70,8 +68,7 @@ def over_types(make, *columns) -> DataFrame:
       event_type AS kafka_topic, kafka_partition, kafka_offset, ingested_at, event_time::DATE AS date
     FROM bronze""", "bronze"))
 def bronze_valid(spark, root):
-    return over_types(
-        lambda t: bronze(spark, root, t),
+    return bronze(spark, root).select(
         "event_id", "event_type", "schema_version", "occurred_at", "producer", "correlation_id", "traceparent",
         F.get_json_object("data_json", "$.order_id").alias("order_ref"),
         "kafka_topic", "kafka_partition", "kafka_offset", "ingested_at", "date",
@@ -84,8 +81,7 @@ def bronze_valid(spark, root):
         ELSE '{"note":"no envelope"}' END AS raw_value
     FROM raw WHERE reason IS NOT NULL""", "raw"))
 def bronze_rejects(spark, root):
-    return over_types(
-        lambda t: intake.bronze_rejects(inspected(spark, root, t), F.col("timestamp")),
+    return intake.bronze_rejects(inspected(spark, root), F.col("timestamp")).select(
         "kafka_topic", "kafka_partition", "kafka_offset", "reason", "ingested_at", "date", "raw_value",
     )
 
@@ -93,8 +89,7 @@ def bronze_rejects(spark, root):
 @query("silver_routed_counts", _sql(
     "SELECT event_type, route, defect, count(*) AS n FROM judged GROUP BY ALL"))
 def silver_routed_counts(spark, root):
-    rows = over_types(lambda t: routed(spark, root, t), "event_type", "route", "defect")
-    return rows.groupBy("event_type", "route", "defect").agg(F.count(F.lit(1)).alias("n"))
+    return decided(spark, root).groupBy("event_type", "route", "defect").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("silver_order_created", _sql(
@@ -104,7 +99,8 @@ def silver_routed_counts(spark, root):
       k % 5 + 1 AS first_qty
     FROM judged WHERE event_type = 'order.created' AND route = 'on_time'"""))
 def silver_order_created(spark, root):
-    rows = refine.destination(routed(spark, root, C.ORDER_CREATED), refine.ON_TIME)
+    candidates = refine.candidates(bronze(spark, root, C.ORDER_CREATED), C.ORDER_CREATED)
+    rows = refine.destination(refine.distinct_events(candidates), refine.ON_TIME)
     return rows.select(
         "event_id", "order_id", "customer_id", "occurred_at", "date", "order_total", "currency", "idempotency_key",
         F.size("items").alias("item_count"),
@@ -117,8 +113,7 @@ def silver_order_created(spark, root):
     """SELECT event_id, event_type, kafka_partition, kafka_offset, defect AS rejection_reason, event_time::DATE AS date
     FROM judged WHERE route = 'rejected'"""))
 def silver_rejects(spark, root):
-    return over_types(
-        lambda t: refine.destination(routed(spark, root, t), refine.REJECTED),
+    return refine.destination(decided(spark, root), refine.REJECTED).select(
         "event_id", "event_type", "kafka_partition", "kafka_offset",
         F.col("_rejection_reason").alias("rejection_reason"), "date",
     )
@@ -128,8 +123,7 @@ def silver_rejects(spark, root):
     """SELECT event_id, event_type, event_time AS occurred_at, ingested_at, 'late' AS dropped_reason,
       event_time::DATE AS date FROM judged WHERE route = 'late'"""))
 def late_events(spark, root):
-    return over_types(
-        lambda t: refine.destination(routed(spark, root, t), refine.LATE),
+    return refine.destination(decided(spark, root), refine.LATE).select(
         "event_id", "event_type", "occurred_at", "ingested_at", "dropped_reason", "date",
     )
 
@@ -137,16 +131,24 @@ def late_events(spark, root):
 @query("dedup_events", _sql(
     "SELECT event_id, event_type, kafka_partition, kafka_offset, ingested_at FROM judged"))
 def dedup_events(spark, root):
-    return over_types(
-        lambda t: refine.distinct_events(bronze(spark, root, t)),
+    columns = ("event_id", "event_type", "kafka_partition", "kafka_offset", "ingested_at")
+    return refine.distinct_events(bronze(spark, root).select(*columns), "event_type", "event_id").select(
         "event_id", "event_type", "kafka_partition", "kafka_offset", "ingested_at",
     )
 
 
+_FIELDS = {
+    C.ORDER_CREATED: "order_id customer_id items order_total currency idempotency_key",
+    C.ORDER_VALIDATED: "order_id validated_at",
+    C.ORDER_SHIPPED: "order_id node_id shipped_at carrier_sim tracking_ref",
+    C.DEAD_LETTER: "original_event failed_consumer error_type error_message attempt_count first_failed_at last_failed_at",
+}
+
+
 def _contract_sql() -> str:
     parts = []
-    for event_type in R.RAW_TYPES:
-        for name in C.payload_type(event_type).names:
+    for event_type, names in _FIELDS.items():
+        for name in names.split():
             absent, wrong = "false", "false"
             if name == "order_id":
                 absent = "k % 227 = 0"
@@ -176,18 +178,13 @@ def contract_report(spark, root):
     """SELECT event_type, schema_version, count(*) AS rows FROM bronze
     WHERE schema_version IS DISTINCT FROM '1.0.0' GROUP BY ALL""", "bronze"))
 def unknown_contracts(spark, root):
-    return conformity.unknown_contracts(over_types(lambda t: bronze(spark, root, t), "event_type", "schema_version"))
+    return conformity.unknown_contracts(bronze(spark, root))
 
 
 def layers(spark, root: str) -> DataFrame:
-    decided = over_types(
-        lambda t: routed(spark, root, t), "event_type", "event_id", "ingested_at", "route"
-    )
-    names = {refine.ON_TIME: "silver", refine.LATE: "late", refine.REJECTED: "rejects"}
-    layer = reduce(lambda c, n: c.when(F.col("route") == n, names[n]), names, F)
-    received = over_types(lambda t: bronze(spark, root, t), "event_type", "event_id", "ingested_at")
-    return assurance.layer_rows(received, "bronze").unionByName(
-        decided.select(layer.alias("layer"), "event_type", "event_id", "ingested_at")
+    layer = "case route when 'on_time' then 'silver' when 'late' then 'late' else 'rejects' end as layer"
+    return assurance.layer_rows(bronze(spark, root), "bronze").unionByName(
+        decided(spark, root).selectExpr(layer, "event_type", "event_id", "ingested_at")
     )
 
 

@@ -17,6 +17,7 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
     "spark.scheduler.mode": "FAIR",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -6,141 +6,102 @@ costs one pruned scan. All arithmetic is on integer keys and thus repeatable in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater import contracts as C
 
-NODE_COUNT_SQL = 25  # nations in the retail tables; one fulfilment node each
-
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def _later(base: Column, *, days=0, hours=0, minutes=0, seconds=0) -> Column:
-    def part(value) -> Column:
-        return (value if isinstance(value, Column) else F.lit(value)).cast("int")
-
-    return base + F.make_dt_interval(
-        part(days), part(hours), part(minutes), F.lit(seconds) if not isinstance(seconds, Column) else seconds
-    )
-
-
-def _text(prefix: str, key: Column) -> Column:
-    return F.concat(F.lit(prefix), key.cast("string"))
-
-
 def order_facts(spark: SparkSession, root: str) -> DataFrame:
     """One row per order with the time of every step it went through (null: never happened)."""
     return steps_of(table(spark, root, "orders"))
 
 
 def steps_of(orders: DataFrame) -> DataFrame:
-    k = F.col("o_orderkey")
-    created = _later(F.col("o_orderdate").cast("timestamp"), minutes=k % 1440)
-    base = orders.select(
-        k.alias("k"),
-        _text("O", k).alias("order_id"),
-        _text("C", F.col("o_custkey")).alias("customer_id"),
-        _text("N", k % NODE_COUNT_SQL).alias("node_id"),
-        F.col("o_orderstatus").alias("status"),
-        created.alias("created_at"),
-    )
-    at, k = F.col("created_at"), F.col("k")
-    reserved = (k % 10) != 0
-    shipped = reserved & ((k % 19) != 0)
-    return base.select(
+    return orders.selectExpr(
+        "o_orderkey as k",
+        "concat('O', o_orderkey) as order_id",
+        "concat('C', o_custkey) as customer_id",
+        "concat('N', o_orderkey % 25) as node_id",
+        "o_orderstatus as status",
+        "cast(o_orderdate as timestamp) + make_dt_interval(0, 0, int(o_orderkey % 1440)) as created_at",
+    ).selectExpr(
         "*",
-        _later(at, seconds=5).alias("validated_at"),
-        _later(at, seconds=10).alias("requested_at"),
-        F.when(reserved, _later(at, seconds=20)).alias("reserved_at"),
-        F.when(~reserved, _later(at, seconds=20)).alias("rejected_at"),
-        F.when(reserved, _later(at, seconds=30)).alias("assigned_at"),
-        F.when(reserved & ((k % 29) != 0), _later(at, days=k % 4 + 1, seconds=30)).alias("promised_at"),
-        F.when(shipped, _later(at, hours=((k * 7) % 12) * 18, seconds=60)).alias("shipped_at"),
-        F.when(~shipped, _later(at, seconds=90)).alias("failed_at"),
-        F.when(((k % 23) == 0) & (F.col("status") == "P"), _later(at, seconds=45)).alias("cancelled_at"),
-        F.when((k % 20) == 3, _later(at, seconds=25)).alias("low_at"),
-        F.when((k % 97) == 0, _later(at, seconds=120)).alias("dead_at"),
+        "created_at + interval 5 seconds as validated_at",
+        "created_at + interval 10 seconds as requested_at",
+        "if(k % 10 <> 0, created_at + interval 20 seconds, null) as reserved_at",
+        "if(k % 10 = 0, created_at + interval 20 seconds, null) as rejected_at",
+        "if(k % 10 <> 0, created_at + interval 30 seconds, null) as assigned_at",
+        "if(k % 10 <> 0 and k % 29 <> 0, created_at + make_dt_interval(int(k % 4 + 1), 0, 0, 30), null) as promised_at",
+        "if(k % 10 <> 0 and k % 19 <> 0, created_at + make_dt_interval(0, int((k * 7) % 12) * 18, 0, 60), null)"
+        " as shipped_at",
+        "if(k % 10 = 0 or k % 19 = 0, created_at + interval 90 seconds, null) as failed_at",
+        "if(k % 23 = 0 and status = 'P', created_at + interval 45 seconds, null) as cancelled_at",
+        "if(k % 20 = 3, created_at + interval 25 seconds, null) as low_at",
+        "if(k % 97 = 0, created_at + interval 120 seconds, null) as dead_at",
     )
 
 
 def happened(facts: DataFrame, at: str, *columns: str) -> DataFrame:
-    """Stream of one step: `order_id`, `occurred_at` and further columns, only where it happened."""
-    return facts.where(F.col(at).isNotNull()).select("order_id", F.col(at).alias("occurred_at"), *columns)
+    """Stream of one step: `order_id`, `occurred_at` and further SQL columns, only where it happened."""
+    return facts.where(f"{at} is not null").selectExpr("order_id", f"{at} as occurred_at", *columns)
 
 
 def order_lines(spark: SparkSession, root: str) -> DataFrame:
     """Order lines with the creation time of their order: the exploded form of order.created."""
     facts = order_facts(spark, root).select("k", "order_id", "customer_id", "node_id", "created_at")
-    lines = table(spark, root, "lineitem").select(
-        "l_orderkey", "l_partkey", F.col("l_quantity").cast("bigint").alias("qty"), "l_extendedprice"
-    )
-    parts = table(spark, root, "part").select("p_partkey", F.col("p_retailprice").alias("unit_price"), "p_brand")
+    lines = table(spark, root, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    parts = table(spark, root, "part").select("p_partkey", "p_retailprice", "p_brand")
     return (
-        lines.join(facts, F.col("l_orderkey") == F.col("k"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            "order_id",
-            F.col("created_at").alias("occurred_at"),
-            _text("P", F.col("l_partkey")).alias("sku"),
-            "qty",
-            "unit_price",
-            "node_id",
-            "customer_id",
-            "k",
-            F.col("l_partkey").alias("part_no"),
-            F.col("p_brand").alias("brand"),
-            F.col("l_extendedprice").alias("line_price"),
+        lines.join(facts, lines.l_orderkey == facts.k)
+        .join(parts, lines.l_partkey == parts.p_partkey)
+        .selectExpr(
+            "order_id", "created_at as occurred_at", "concat('P', l_partkey) as sku", "bigint(l_quantity) as qty",
+            "p_retailprice as unit_price", "node_id", "customer_id", "k", "l_partkey as part_no", "p_brand as brand",
+            "l_extendedprice as line_price",
         )
     )
 
 
 def rejection_reasons(spark: SparkSession, root: str) -> DataFrame:
     """The exploded `reasons` of inventory.rejected: every line of a rejected order."""
-    facts = order_facts(spark, root).where(F.col("rejected_at").isNotNull()).select("k", "order_id", "rejected_at")
+    facts = order_facts(spark, root).where("rejected_at is not null").select("k", "order_id", "rejected_at")
     lines = table(spark, root, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    return lines.join(facts, F.col("l_orderkey") == F.col("k")).select(
-        "order_id",
-        F.col("rejected_at").alias("occurred_at"),
-        _text("P", F.col("l_partkey")).alias("sku"),
-        F.col("l_quantity").cast("bigint").alias("requested_qty"),
-        F.lit(0).cast("bigint").alias("available_qty"),
+    return lines.join(facts, lines.l_orderkey == facts.k).selectExpr(
+        "order_id", "rejected_at as occurred_at", "concat('P', l_partkey) as sku",
+        "bigint(l_quantity) as requested_qty", "0L as available_qty",
     )
 
 
+_ORIGINAL_TYPE = f"""case k % 3 when 0 then '{C.ORDER_CREATED}' when 1 then '{C.ORDER_VALIDATED}'
+    else '{C.ORDER_SHIPPED}' end"""
+_CONSUMER = "if(k % 2 = 0, 'order-validator', 'fulfillment-orchestrator')"
+
+
 def dead_letters(spark: SparkSession, root: str) -> DataFrame:
     """deadletter.event rows whose `original_event` is the JSON text of the failed envelope."""
-    k = F.col("k")
-    original_type = (
-        F.when(k % 3 == 0, C.ORDER_CREATED).when(k % 3 == 1, C.ORDER_VALIDATED).otherwise(C.ORDER_SHIPPED)
-    )
-    facts = order_facts(spark, root).where(F.col("dead_at").isNotNull())
-    return facts.select(
-        _text("dead-", k).alias("dead_letter_id"),
-        _text("evt-", k).alias("original_event_id"),
-        original_type.alias("event_type"),
-        F.when(k % 2 == 0, "order-validator").otherwise("fulfillment-orchestrator").alias("failed_consumer"),
-        F.lit("ValueError").alias("error_type"),
-        (k % 5 + 1).alias("attempt_count"),
-        F.col("created_at").alias("first_failed_at"),
-        F.col("dead_at").alias("last_failed_at"),
-        F.when(k % 4 == 1, _later(F.col("dead_at"), hours=1)).alias("replayed_at"),
-        F.to_json(
-            F.struct(
-                _text("evt-", k).alias("event_id"),
-                original_type.alias("event_type"),
-                F.lit(C.V1).alias("schema_version"),
-                F.struct(F.col("order_id")).alias("data"),
-            )
-        ).alias("original_event"),
-        F.col("dead_at").alias("occurred_at"),
+    return order_facts(spark, root).where("dead_at is not null").selectExpr(
+        "concat('dead-', k) as dead_letter_id",
+        "concat('evt-', k) as original_event_id",
+        f"{_ORIGINAL_TYPE} as event_type",
+        f"{_CONSUMER} as failed_consumer",
+        "'ValueError' as error_type",
+        "k % 5 + 1 as attempt_count",
+        "created_at as first_failed_at",
+        "dead_at as last_failed_at",
+        "if(k % 4 = 1, dead_at + interval 1 hour, null) as replayed_at",
+        f"""to_json(named_struct('event_id', concat('evt-', k), 'event_type', {_ORIGINAL_TYPE},
+            'schema_version', '{C.V1}', 'data', named_struct('order_id', order_id))) as original_event""",
+        "dead_at as occurred_at",
     )
 
 
+# event type, time column, producing service, cause (None: a root or undeclared)
 EVENT_STEPS = (
-    # event type, time column, producing service, cause (None: a root or undeclared)
     (C.ORDER_CREATED, "created_at", "order-service", None),
     (C.ORDER_VALIDATED, "validated_at", "order-service", C.ORDER_CREATED),
     (C.RESERVATION_REQUESTED, "requested_at", "fulfillment-orchestrator", C.ORDER_VALIDATED),
@@ -156,120 +117,88 @@ EVENT_STEPS = (
 
 def event_log(spark: SparkSession, root: str) -> DataFrame:
     """Envelope headers of all order events from one scan; every 53rd shipment names a lost cause."""
-    k = F.col("k")
     entries = []
     for event_type, at, producer, cause in EVENT_STEPS:
-        cause_id = F.lit(None).cast("string") if cause is None else F.concat(F.lit(f"{cause}:"), k.cast("string"))
+        cause_id = "cast(null as string)" if cause is None else f"concat('{cause}:', k)"
         if event_type == C.ORDER_SHIPPED:
-            cause_id = F.when(k % 53 == 0, _text("lost:", k)).otherwise(cause_id)
+            cause_id = f"if(k % 53 = 0, concat('lost:', k), {cause_id})"
         entries.append(
-            F.struct(
-                F.concat(F.lit(f"{event_type}:"), k.cast("string")).alias("event_id"),
-                F.lit(event_type).alias("event_type"),
-                F.col(at).alias("occurred_at"),
-                F.lit(producer).alias("producer"),
-                cause_id.alias("causation_id"),
-            )
+            f"struct(concat('{event_type}:', k) as event_id, '{event_type}' as event_type, {at} as occurred_at,"
+            f" '{producer}' as producer, {cause_id} as causation_id)"
         )
-    facts = order_facts(spark, root)
-    return facts.select(
-        "k", "order_id", "node_id", F.concat(F.lit("cor-"), k.cast("string")).alias("correlation_id"),
-        F.explode(F.array(*entries)).alias("e"),
-    ).select("k", "order_id", "node_id", "correlation_id", "e.*").where(F.col("occurred_at").isNotNull())
+    return (
+        order_facts(spark, root)
+        .selectExpr("k", "order_id", "node_id", "concat('cor-', k) as correlation_id",
+                    f"inline(array({', '.join(entries)}))")
+        .where("occurred_at is not null")
+    )
 
 
 RAW_TYPES = (C.ORDER_CREATED, C.ORDER_VALIDATED, C.ORDER_SHIPPED, C.DEAD_LETTER)
-
-
-def raw_records(spark: SparkSession, root: str, event_type: str) -> DataFrame:
-    """Bus records of one topic with the faults real topics show.
-
-    Every 20th key is delivered twice; some values are null, not JSON, or JSON without an envelope;
+_RAW_TIME = {C.ORDER_CREATED: "created_at", C.ORDER_VALIDATED: "validated_at", C.ORDER_SHIPPED: "shipped_at",
+             C.DEAD_LETTER: "dead_at"}
+_ISO = "date_format({at}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+_RAW_PAYLOAD = {
+    C.ORDER_CREATED: """struct(
+        if(k % 227 <> 0, order_id, null) as order_id, customer_id,
+        array(struct(concat('P', k % 200) as sku, k % 5 + 1 as qty, double(k % 40 + 0.5) as unit_price),
+              struct(concat('P', (k + 7) % 200) as sku, 2L as qty, 3.25D as unit_price)) as items,
+        double((k % 5 + 1) * (k % 40 + 0.5) + 6.5) as order_total, 'EUR' as currency,
+        concat('key-', k) as idempotency_key)""",
+    C.ORDER_VALIDATED: "struct(if(k % 227 <> 0, order_id, null) as order_id, {iso} as validated_at)",
+    C.ORDER_SHIPPED: """struct(
+        if(k % 227 <> 0, order_id, null) as order_id, if(k % 233 <> 0, node_id, null) as node_id,
+        {iso} as shipped_at, 'ground' as carrier_sim, concat('T', k) as tracking_ref)""",
+    C.DEAD_LETTER: f"""struct(
+        struct(concat('evt-', k) as event_id, '{C.ORDER_CREATED}' as event_type) as original_event,
+        {_CONSUMER} as failed_consumer, 'ValueError' as error_type, k % 5 + 1 as attempt_count)""",
+}
+
+
+def raw_records(spark: SparkSession, root: str, *types: str) -> DataFrame:
+    """Bus records of the given topics (all four by default), from one scan, with real topics' faults."""
+    return records_of(order_facts(spark, root), *(types or RAW_TYPES))
+
+
+def _document(event_type: str) -> str:
+    at = _RAW_TIME[event_type]
+    iso = _ISO.format(at=at)
+    return f"""struct('{event_type}' as topic, {at} as at, to_json(struct(
+        if(k % 229 <> 0, concat('{event_type}:', k), null) as event_id, '{event_type}' as event_type,
+        case when k % 213 = 0 then '9.9.9' when k % 211 <> 0 then '{C.V1}' end as schema_version,
+        if(k % 223 = 0, 'not-a-time', {iso}) as occurred_at, 'order-service' as producer,
+        concat('cor-', k) as correlation_id, struct(concat('00-', k) as traceparent) as trace_context,
+        {_RAW_PAYLOAD[event_type].replace("{iso}", iso)} as data)) as document)"""
+
+
+def records_of(facts: DataFrame, *types: str) -> DataFrame:
+    """Every 20th key is delivered twice; some values are null, not JSON, or JSON without an envelope;
     some envelopes miss the id, the version, a mandatory key, or carry an unusable time; some totals
     are text instead of a number.
     """
-    k = F.col("k")
-    stamp = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-    at = {
-        C.ORDER_CREATED: "created_at",
-        C.ORDER_VALIDATED: "validated_at",
-        C.ORDER_SHIPPED: "shipped_at",
-        C.DEAD_LETTER: "dead_at",
-    }[event_type]
-    order_id = F.when(k % 227 != 0, F.col("order_id"))
-    iso = F.date_format(at, stamp)
-    sku = _text("P", k % 200)
-    payload = {
-        C.ORDER_CREATED: lambda: F.struct(
-            order_id.alias("order_id"),
-            F.col("customer_id"),
-            F.array(
-                F.struct(sku.alias("sku"), (k % 5 + 1).alias("qty"), (k % 40 + 0.5).alias("unit_price")),
-                F.struct(_text("P", (k + 7) % 200).alias("sku"), F.lit(2).cast("bigint").alias("qty"),
-                         F.lit(3.25).alias("unit_price")),
-            ).alias("items"),
-            ((k % 5 + 1) * (k % 40 + 0.5) + 6.5).alias("order_total"),
-            F.lit("EUR").alias("currency"),
-            _text("key-", k).alias("idempotency_key"),
-        ),
-        C.ORDER_VALIDATED: lambda: F.struct(order_id.alias("order_id"), iso.alias("validated_at")),
-        C.ORDER_SHIPPED: lambda: F.struct(
-            order_id.alias("order_id"),
-            F.when(k % 233 != 0, F.col("node_id")).alias("node_id"),
-            iso.alias("shipped_at"),
-            F.lit("ground").alias("carrier_sim"),
-            _text("T", k).alias("tracking_ref"),
-        ),
-        C.DEAD_LETTER: lambda: F.struct(
-            F.struct(_text("evt-", k).alias("event_id"), F.lit(C.ORDER_CREATED).alias("event_type"))
-            .alias("original_event"),
-            F.when(k % 2 == 0, "order-validator").otherwise("fulfillment-orchestrator").alias("failed_consumer"),
-            F.lit("ValueError").alias("error_type"),
-            (k % 5 + 1).alias("attempt_count"),
-        ),
-    }[event_type]()
-    envelope = F.struct(
-        F.when(k % 229 != 0, F.concat(F.lit(f"{event_type}:"), k.cast("string"))).alias("event_id"),
-        F.lit(event_type).alias("event_type"),
-        F.when(k % 213 == 0, "9.9.9").when(k % 211 != 0, C.V1).alias("schema_version"),
-        F.when(k % 223 == 0, "not-a-time").otherwise(iso).alias("occurred_at"),
-        F.lit("order-service").alias("producer"),
-        _text("cor-", k).alias("correlation_id"),
-        F.struct(_text("00-", k).alias("traceparent")).alias("trace_context"),
-        payload.alias("data"),
-    )
-    value = (
-        F.when(k % 350 == 7, F.lit(None).cast("string"))
-        .when(k % 50 == 1, "{bad")
-        .when(k % 450 == 2, '{"note":"no envelope"}')
-        .when(k % 239 == 0, F.replace(F.to_json(envelope), F.lit('"order_total":'), F.lit('"order_total":"?","was":')))
-        .otherwise(F.to_json(envelope))
-    )
-    copies = F.when(k % 20 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return (
-        order_facts(spark, root)
-        .where(F.col(at).isNotNull())
-        .withColumn("copy", F.explode(copies))
-        .select(
-            value.alias("value"),
-            F.lit(event_type).alias("topic"),
-            (k % 6).cast("int").alias("partition"),
-            (k * 2 + F.col("copy")).alias("offset"),
-            _later(F.col(at), seconds=(k % 125) * 5 + F.col("copy")).alias("timestamp"),
+        facts.selectExpr("k", f"inline(array({', '.join(_document(t) for t in types)}))")
+        .where("at is not null")
+        .selectExpr("k", "topic", "at", """posexplode(array_repeat(
+            case when k % 350 = 7 then null when k % 50 = 1 then '{bad' when k % 450 = 2 then '{"note":"no envelope"}'
+                 when k % 239 = 0 then replace(document, '"order_total":', '"order_total":"?","was":')
+                 else document end,
+            if(k % 20 = 0, 2, 1))) as (copy, value)""")
+        .selectExpr(
+            "value", "topic", "int(k % 6) as `partition`", "k * 2 + copy as offset",
+            "at + make_dt_interval(0, 0, 0, (k % 125) * 5 + copy) as timestamp",
         )
     )
 
 
 def nodes(spark: SparkSession, root: str) -> DataFrame:
-    n = F.col("n_nationkey")
-    return table(spark, root, "nation").select(
-        _text("N", n).alias("node_id"),
-        n.cast("int").alias("node_no"),
-        (n * 5 - 60).cast("double").alias("latitude"),
-        (n * 14 - 180).cast("double").alias("longitude"),
-        (n * 10 + 100).cast("int").alias("capacity_per_day"),
-        ((n * 37) % 120).cast("int").alias("current_backlog"),
-        (n % 8 != 7).alias("active"),
+    return table(spark, root, "nation").selectExpr(
+        "concat('N', n_nationkey) as node_id",
+        "double(n_nationkey * 5 - 60) as latitude",
+        "double(n_nationkey * 14 - 180) as longitude",
+        "int(n_nationkey * 10 + 100) as capacity_per_day",
+        "int((n_nationkey * 37) % 120) as current_backlog",
+        "n_nationkey % 8 <> 7 as active",
     )
 
 
@@ -278,19 +207,13 @@ def stock(spark: SparkSession, root: str) -> DataFrame:
 
     Each part gets its node rows from a literal list, which keeps the grid a map-only expansion.
     """
-    p, n = F.col("p_partkey"), F.col("n")
-    node_numbers = F.sequence(F.lit(0), F.lit(NODE_COUNT_SQL - 1))
     return (
         table(spark, root, "part")
-        .select("p_partkey", F.explode(node_numbers).alias("n"))
-        .where((p + n * 3) % 7 != 0)
-        .select(
-            _text("P", p).alias("sku"),
-            _text("N", n).alias("node_id"),
-            ((p * 31 + n * 17) % 90).cast("int").alias("available_qty"),
-            ((p + n) % 5).cast("int").alias("reserved_qty"),
-            F.lit(10).alias("reorder_threshold"),
-            F.lit(1).alias("version"),
+        .selectExpr("p_partkey as p", "explode(sequence(0, 24)) as n")
+        .where("(p + n * 3) % 7 <> 0")
+        .selectExpr(
+            "concat('P', p) as sku", "concat('N', n) as node_id", "int((p * 31 + n * 17) % 90) as available_qty",
+            "int((p + n) % 5) as reserved_qty", "10 as reorder_threshold", "1 as version",
         )
     )
 
@@ -300,183 +223,143 @@ def reservation_requests(spark: SparkSession, root: str) -> DataFrame:
 
     Lines equal in all ordering columns are interchangeable, so ties cannot change any outcome.
     """
-    return order_lines(spark, root).select(
-        "order_id", "sku", "node_id", "qty", F.col("occurred_at").alias("requested_at"), "k", "line_price"
+    return order_lines(spark, root).selectExpr(
+        "order_id", "sku", "node_id", "qty", "occurred_at as requested_at", "k", "line_price"
     )
 
 
+# The order of a full life after CREATED.
 STEP_STATES = ("VALIDATED", "INVENTORY_PENDING", "INVENTORY_RESERVED", "FULFILLMENT_ASSIGNED", "PROCESSING",
                "SHIPPED", "DELIVERED")
+_STATES = "array(" + ", ".join(f"'{s}'" for s in STEP_STATES) + ")"
 
 
 def transition_requests(spark: SparkSession, root: str) -> DataFrame:
     """Requested status changes per order; fixed shares ask for a wrong state, version or no node."""
-    k, i = F.col("k"), F.col("i")
-    wanted = (
-        F.when((k % 31 == 0) & (i == 3), "SHIPPED")
-        .when((k % 23 == 0) & (i == 5), "CANCELLED")
-        .otherwise(F.element_at(F.array(*[F.lit(s) for s in STEP_STATES]), i))
-    )
     return (
         order_facts(spark, root)
-        .select("k", "order_id", "node_id", "created_at", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("i"))
-        .where(i <= 3 + k % 5)
-        .select(
+        .selectExpr("k", "order_id", "node_id", "created_at", "explode(sequence(1, int(3 + k % 5))) as i")
+        .selectExpr(
             "order_id",
-            i.cast("bigint").alias("seq"),
-            wanted.alias("to_status"),
-            (i - F.when((k % 37 == 0) & (i == 4), 1).otherwise(0)).cast("bigint").alias("expected_version"),
-            F.when(k % 41 != 0, F.col("node_id")).alias("node_id"),
-            _later(F.col("created_at"), minutes=i).alias("requested_at"),
+            "bigint(i) as seq",
+            "case when k % 31 = 0 and i = 3 then 'SHIPPED' when k % 23 = 0 and i = 5 then 'CANCELLED'"
+            f" else element_at({_STATES}, i) end as to_status",
+            "bigint(i - if(k % 37 = 0 and i = 4, 1, 0)) as expected_version",
+            "if(k % 41 <> 0, node_id, null) as node_id",
+            "created_at + make_dt_interval(0, 0, i) as requested_at",
         )
     )
 
 
 def status_history(spark: SparkSession, root: str) -> DataFrame:
     """Recorded status changes; every 31st order jumps a state, every 43rd lost one record."""
-    k, i = F.col("k"), F.col("i")
-    states = F.array(F.lit("CREATED"), *[F.lit(s) for s in STEP_STATES])
+    states = f"concat(array('CREATED'), {_STATES})"
     return (
         order_facts(spark, root)
-        .select("k", "order_id", "created_at", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
-        .where((i <= k % 8) & ~((k % 43 == 0) & (i == 2)))
-        .select(
+        .selectExpr("k", "order_id", "created_at", "explode(sequence(0, int(k % 8))) as i")
+        .where("not (k % 43 = 0 and i = 2)")
+        .selectExpr(
             "order_id",
-            F.when(i > 0, F.element_at(states, i)).alias("from_status"),
-            F.when((k % 31 == 0) & (i == 3), "SHIPPED").otherwise(F.element_at(states, i + 1)).alias("to_status"),
-            _later(F.col("created_at"), minutes=i * 5).alias("changed_at"),
+            f"if(i > 0, element_at({states}, greatest(i, 1)), null) as from_status",
+            f"if(k % 31 = 0 and i = 3, 'SHIPPED', element_at({states}, i + 1)) as to_status",
+            "created_at + make_dt_interval(0, 0, i * 5) as changed_at",
         )
     )
 
 
 def order_requests(spark: SparkSession, root: str) -> DataFrame:
     """Submitted order requests with idempotency keys: repeats and changed repeats included."""
-    k, n = F.col("k"), F.col("n")
-    tries = F.when(k % 37 == 0, F.array(F.lit(0), F.lit(2))).when(k % 11 == 0, F.array(F.lit(0), F.lit(1)))
     return (
         order_facts(spark, root)
-        .withColumn("n", F.explode(F.coalesce(tries, F.array(F.lit(0)))))
-        .select(
-            _text("key-", k).alias("idempotency_key"),
-            F.concat(F.lit("req-"), k.cast("string"), F.lit("-"), n.cast("string")).alias("request_id"),
-            "customer_id",
-            _text("P", k % 200).alias("sku"),
-            (k % 5 + 1 + F.when(n == 2, 1).otherwise(0)).alias("qty"),
-            F.lit("EUR").alias("currency"),
-            _later(F.col("created_at"), minutes=n).alias("received_at"),
+        .selectExpr("*", "explode(case when k % 37 = 0 then array(0, 2) when k % 11 = 0 then array(0, 1)"
+                    " else array(0) end) as n")
+        .selectExpr(
+            "concat('key-', k) as idempotency_key", "concat('req-', k, '-', n) as request_id", "customer_id",
+            "concat('P', k % 200) as sku", "k % 5 + 1 + if(n = 2, 1, 0) as qty", "'EUR' as currency",
+            "created_at + make_dt_interval(0, 0, n) as received_at",
         )
     )
 
 
 def reservations(spark: SparkSession, root: str) -> DataFrame:
     """Held reservations: one per reserved order, at its node, some already ended."""
-    k = F.col("k")
-    return order_facts(spark, root).where(F.col("reserved_at").isNotNull()).select(
-        _text("R", k).alias("reservation_id"),
-        "order_id",
-        _text("P", k % 200).alias("sku"),
-        "node_id",
-        (k % 5 + 1).cast("int").alias("qty"),
-        F.when(k % 6 == 0, "RELEASED").when(k % 6 == 1, "COMMITTED").otherwise("ACTIVE").alias("status"),
-        _later(F.col("reserved_at"), minutes=C.RESERVATION_TTL_MINUTES).alias("expires_at"),
-        F.col("reserved_at").alias("created_at"),
+    return order_facts(spark, root).where("reserved_at is not null").selectExpr(
+        "concat('R', k) as reservation_id", "order_id", "concat('P', k % 200) as sku", "node_id",
+        "int(k % 5 + 1) as qty",
+        "case k % 6 when 0 then 'RELEASED' when 1 then 'COMMITTED' else 'ACTIVE' end as status",
+        f"reserved_at + interval {C.RESERVATION_TTL_MINUTES} minutes as expires_at",
+        "reserved_at as created_at",
     )
 
 
 def releases(spark: SparkSession, root: str) -> DataFrame:
-    k = F.col("k")
     return (
         order_facts(spark, root)
-        .where(F.col("reserved_at").isNotNull() & F.col("failed_at").isNotNull() & (k % 3 != 0))
-        .select(_text("R", k).alias("reservation_id"), F.col("failed_at").alias("released_at"))
+        .where("reserved_at is not null and failed_at is not null and k % 3 <> 0")
+        .selectExpr("concat('R', k) as reservation_id", "failed_at as released_at")
     )
 
 
 def sagas(spark: SparkSession, root: str) -> DataFrame:
-    """Workflow instances: running while nothing terminal happened to an order with an open status."""
-    k = F.col("k")
-    running = (F.col("status") == "O") & (k % 4 == 0)
-    ended = F.coalesce(F.col("shipped_at"), F.col("failed_at"))
-    return order_facts(spark, root).select(
-        _text("S", k).alias("saga_id"),
+    """Workflow instances: every fourth order with an open status is still running."""
+    running = "(status = 'O' and k % 4 = 0)"
+    return order_facts(spark, root).selectExpr(
+        "concat('S', k) as saga_id",
         "order_id",
-        F.when(running, "RUNNING").when(F.col("shipped_at").isNotNull(), "COMPLETED").otherwise("FAILED")
-        .alias("status"),
-        F.when(running & (k % 8 == 0), "SELECT_AND_RESERVE").when(running, "AUTHORIZE_PAYMENT").otherwise("DONE")
-        .alias("current_step"),
-        (k % 4).cast("int").alias("attempt_count"),
-        F.col("validated_at").alias("created_at"),
-        F.when(running, _later(F.col("validated_at"), minutes=1)).otherwise(ended).alias("updated_at"),
+        f"case when {running} then 'RUNNING' when shipped_at is not null then 'COMPLETED' else 'FAILED' end as status",
+        f"case when {running} and k % 8 = 0 then 'SELECT_AND_RESERVE' when {running} then 'AUTHORIZE_PAYMENT'"
+        " else 'DONE' end as current_step",
+        "int(k % 4) as attempt_count",
+        "validated_at as created_at",
+        f"if({running}, validated_at + interval 1 minute, coalesce(shipped_at, failed_at)) as updated_at",
     )
 
 
 def cancel_events(spark: SparkSession, root: str) -> DataFrame:
-    k = F.col("k")
-    return order_facts(spark, root).where(k % 12 == 4).select(
-        F.concat(F.lit(f"{C.ORDER_CANCELLED}:"), k.cast("string")).alias("event_id"),
-        "order_id",
-        _later(F.col("created_at"), seconds=45).alias("occurred_at"),
+    return order_facts(spark, root).where("k % 12 = 4").selectExpr(
+        f"concat('{C.ORDER_CANCELLED}:', k) as event_id", "order_id", "created_at + interval 45 seconds as occurred_at"
     )
 
 
 def outbox(spark: SparkSession, root: str) -> DataFrame:
-    k = F.col("k")
-    return order_facts(spark, root).select(
-        _text("out-", k).alias("outbox_id"),
-        F.col("order_id").alias("aggregate_id"),
-        F.lit(C.ORDER_CREATED).alias("event_type"),
-        "created_at",
-        F.when(k % 3 != 0, _later(F.col("created_at"), seconds=2)).alias("published_at"),
-        (k % 9).cast("int").alias("attempt_count"),
-        F.when(k % 6 == 0, _later(F.col("created_at"), minutes=k % 90)).alias("next_attempt_at"),
+    return order_facts(spark, root).selectExpr(
+        "concat('out-', k) as outbox_id", "order_id as aggregate_id", f"'{C.ORDER_CREATED}' as event_type",
+        "created_at", "if(k % 3 <> 0, created_at + interval 2 seconds, null) as published_at",
+        "int(k % 9) as attempt_count",
+        "if(k % 6 = 0, created_at + make_dt_interval(0, 0, int(k % 90)), null) as next_attempt_at",
     )
 
 
 def processed_ledger(spark: SparkSession, root: str) -> DataFrame:
-    """Ledger of events each consumer has finished; ids of two consumers overlap."""
-    k = F.col("k")
-    return order_facts(spark, root).where(k % 41 < 20).select(
-        F.when(k % 41 < 10, "order-validator").otherwise("fulfillment-orchestrator").alias("consumer_name"),
-        F.concat(F.lit(f"{C.ORDER_VALIDATED}:"), k.cast("string")).alias("event_id"),
-        F.col("validated_at").alias("processed_at"),
+    """Ledger of events each consumer has finished."""
+    return order_facts(spark, root).where("k % 41 < 20").selectExpr(
+        "if(k % 41 < 10, 'order-validator', 'fulfillment-orchestrator') as consumer_name",
+        f"concat('{C.ORDER_VALIDATED}:', k) as event_id", "validated_at as processed_at",
     )
 
 
 def offsets(spark: SparkSession, root: str) -> DataFrame:
     """Offset snapshots per consumer group, topic and partition; -1 means nothing committed yet."""
-    k = F.col("k")
-    return order_facts(spark, root).select(
-        F.col("created_at").alias("polled_at"),
-        F.when(k % 2 == 0, "order-validator").otherwise("fulfillment-orchestrator").alias("consumer_group"),
-        F.when(k % 3 == 0, C.ORDER_CREATED).otherwise(C.ORDER_VALIDATED).alias("topic"),
-        (k % 6).cast("int").alias("partition"),
-        F.when(k % 17 == 0, F.lit(-1)).otherwise(k * 3).cast("bigint").alias("committed_offset"),
-        (k % 5).cast("bigint").alias("low_offset"),
-        (k * 3 + (k % 13) - 2).cast("bigint").alias("high_offset"),
+    return order_facts(spark, root).selectExpr(
+        "created_at as polled_at", f"{_CONSUMER} as consumer_group",
+        f"if(k % 3 = 0, '{C.ORDER_CREATED}', '{C.ORDER_VALIDATED}') as topic", "int(k % 6) as `partition`",
+        "if(k % 17 = 0, -1L, k * 3) as committed_offset", "k % 5 as low_offset", "k * 3 + (k % 13) - 2 as high_offset",
     )
 
 
 def stock_changes(spark: SparkSession, root: str) -> DataFrame:
     """Stock settings sent in over time; the last one per (sku, node) wins."""
-    k = F.col("k")
-    return order_facts(spark, root).select(
-        _text("P", k % 200).alias("sku"),
-        "node_id",
-        ((k * 7) % 100).cast("int").alias("available_qty"),
-        (k % 15).cast("int").alias("reorder_threshold"),
-        k.alias("seq"),
+    return order_facts(spark, root).selectExpr(
+        "concat('P', k % 200) as sku", "node_id", "int((k * 7) % 100) as available_qty",
+        "int(k % 15) as reorder_threshold", "k as seq",
     )
 
 
 def request_log(spark: SparkSession, root: str) -> DataFrame:
     """Access log: latency in ms, client, scenario and whether the request failed."""
-    return table(spark, root, "events").select(
-        F.col("event_id").alias("request_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("user_id").alias("client"),
-        F.col("event_type").alias("scenario"),
-        F.col("value").alias("latency_ms"),
-        (F.col("event_type") == "error").alias("failed"),
+    return table(spark, root, "events").selectExpr(
+        "event_id as request_id", "cast(ts as timestamp) as ts", "user_id as client", "event_type as scenario",
+        "value as latency_ms", "event_type = 'error' as failed",
     )
 
 
