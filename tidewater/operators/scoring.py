@@ -47,16 +47,23 @@ def serving_nodes(lines: DataFrame, stock: DataFrame, nodes: DataFrame) -> DataF
     nodes that fall short are removed before anything is expanded.
     """
     need = lines.groupBy("order_id", "sku").agg(F.max("qty").alias("qty"))
-    skus = need.groupBy("order_id").agg(F.count(F.lit(1)).alias("sku_count"))
     active = nodes.where("active").select("node_id")
     per_sku = stock.join(active, "node_id", "left_semi").groupBy("sku").agg(
         F.collect_list(F.struct("node_id", "available_qty")).alias("held")
     )
-    able = need.join(per_sku, "sku").selectExpr(
-        "order_id", "explode(filter(held, h -> h.available_qty >= qty).node_id) as node_id"
+    # Besides the nodes able to serve it, every line names the null node: its count is the number to reach.
+    able = need.join(per_sku, "sku", "left").selectExpr(
+        "order_id",
+        "explode(concat(array(cast(null as string)),"
+        " coalesce(filter(held, h -> h.available_qty >= qty).node_id, array()))) as node_id",
     )
     served = able.groupBy("order_id", "node_id").agg(F.count(F.lit(1)).alias("served"))
-    return served.join(skus, "order_id").where(F.col("served") == F.col("sku_count")).select("order_id", "node_id")
+    wanted = F.max(F.when(F.col("node_id").isNull(), F.col("served"))).over(Window.partitionBy("order_id"))
+    return (
+        served.withColumn("wanted", wanted)
+        .where(F.col("node_id").isNotNull() & (F.col("served") == F.col("wanted")))
+        .select("order_id", "node_id")
+    )
 
 
 def node_scores(candidates: DataFrame, customers: DataFrame, nodes: DataFrame) -> DataFrame:

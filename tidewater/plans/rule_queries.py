@@ -73,9 +73,9 @@ _SCORES = {
         max(capacity_per_day) OVER o AS largest
         FROM measured WINDOW o AS (PARTITION BY order_id)""",
     "scores": """SELECT order_id, node_id,
-        round(0.35::DOUBLE * distance + 0.25::DOUBLE * distance
+        round((0.35::DOUBLE * distance + 0.25::DOUBLE * distance
           + 0.20::DOUBLE * greatest(0, 1 - current_backlog / capacity_per_day)
-          + 0.20::DOUBLE * (capacity_per_day / largest), 4) AS score,
+          + 0.20::DOUBLE * (capacity_per_day / largest))::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS score,
         round(distance, 4) AS distance_score, round(capacity_per_day / largest, 4) AS capacity_score,
         round(greatest(0, 1 - current_backlog / capacity_per_day), 4) AS backlog_score,
         round(days, 2) AS estimated_ship_date_days FROM parts""",
