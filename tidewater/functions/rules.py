@@ -35,15 +35,14 @@ def pseudo_location(customer_id: str) -> tuple[Column, Column]:
     return fraction(1) * 180 - 90, fraction(9) * 360 - 180
 
 
-def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    half_lat = F.sin(F.radians(lat2 - lat1) / 2)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.asin(F.sqrt(chord)) * (2 * C.EARTH_RADIUS_KM)
+def great_circle_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Haversine distance in km."""
+    return f"""{2 * C.EARTH_RADIUS_KM}D * asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2D)
+        + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2D)))"""
 
 
-def delivery_days(km: Column) -> Column:
-    return km / C.KM_PER_DAY + C.HANDLING_DAYS
+def delivery_days_sql(km: str) -> str:
+    return f"({C.HANDLING_DAYS}D + {km} / {C.KM_PER_DAY}D)"
 
 
 def retry_delay(attempt: Column, base: float = C.RETRY_BASE_SECONDS, longest: float = C.RETRY_MAX_SECONDS) -> Column:

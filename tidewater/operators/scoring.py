@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater import contracts as C
@@ -71,38 +71,35 @@ def node_scores(candidates: DataFrame, customers: DataFrame, nodes: DataFrame) -
     lat, lon = rules.pseudo_location("customer_id")
     placed = customers.select("order_id", lat.alias("lat"), lon.alias("lon"))
     sites = nodes.select("node_id", "latitude", "longitude", "capacity_per_day", "current_backlog")
-    km = rules.great_circle_km(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
-    rated = candidates.join(placed, "order_id").join(sites, "node_id").withColumn("km", km).withColumn(
-        "days", rules.delivery_days(F.col("km"))
-    )
-    peers = Window.partitionBy("order_id")
-
-    def nearest_is_one(name: str) -> Column:
-        low, high = F.min(name).over(peers), F.max(name).over(peers)
-        return F.when(low == high, 1.0).otherwise(1 - (F.col(name) - low) / F.nullif(high - low, F.lit(0.0)))
-
-    capacity, backlog = F.col("capacity_per_day"), F.col("current_backlog")
-    largest = F.max("capacity_per_day").over(peers)
-    free = F.when(capacity > 0, F.greatest(F.lit(0.0), 1 - backlog / F.nullif(capacity, F.lit(0)))).otherwise(0.0)
-    parts = rated.select(
-        "order_id", "node_id", "days",
-        nearest_is_one("km").alias("distance"),
-        nearest_is_one("days").alias("delivery"),
-        free.alias("backlog"),
-        (capacity / F.when(largest == 0, 1).otherwise(largest)).alias("capacity"),
-    )
-    total = sum((F.col(name) * weight for name, weight in C.SCORE_WEIGHTS.items()), F.lit(0.0))
-    return parts.select(
-        "order_id", "node_id",
-        F.round(total, 4).alias("score"),
-        F.struct(
-            F.lit(1.0).alias("stock"),
-            F.round("distance", 4).alias("distance"),
-            F.round("capacity", 4).alias("capacity"),
-            F.round("delivery", 4).alias("delivery_estimate"),
-            F.round("backlog", 4).alias("backlog"),
-        ).alias("score_breakdown"),
-        F.round("days", 2).alias("estimated_ship_date_days"),
+    weights = C.SCORE_WEIGHTS
+
+    def nearest_is_one(name: str) -> str:
+        low, high = f"min({name}) over peers", f"max({name}) over peers"
+        return f"if({low} = {high}, 1D, 1 - try_divide({name} - {low}, {high} - {low}))".replace(
+            "over peers", "over (partition by order_id)"
+        )
+
+    return (
+        candidates.join(placed, "order_id")
+        .join(sites, "node_id")
+        .selectExpr("order_id", "node_id", "capacity_per_day", "current_backlog",
+                    f"{rules.great_circle_sql('lat', 'lon', 'latitude', 'longitude')} as km")
+        .selectExpr("*", f"{rules.delivery_days_sql('km')} as days")
+        .selectExpr(
+            "order_id", "node_id", "days",
+            f"{nearest_is_one('km')} as distance",
+            f"{nearest_is_one('days')} as delivery",
+            "coalesce(greatest(0D, 1 - try_divide(current_backlog, capacity_per_day)), 0D) as backlog",
+            "coalesce(try_divide(capacity_per_day, max(capacity_per_day) over (partition by order_id)), 0D) as capacity",
+        )
+        .selectExpr(
+            "order_id", "node_id",
+            f"round({weights['distance']}D * distance + {weights['delivery']}D * delivery"
+            f" + {weights['backlog']}D * backlog + {weights['capacity']}D * capacity, 4) as score",
+            """struct(1D as stock, round(distance, 4) as distance, round(capacity, 4) as capacity,
+                round(delivery, 4) as delivery_estimate, round(backlog, 4) as backlog) as score_breakdown""",
+            "round(days, 2) as estimated_ship_date_days",
+        )
     )
 
 
