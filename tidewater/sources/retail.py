@@ -365,3 +365,13 @@ def request_log(spark: SparkSession, root: str) -> DataFrame:
 
 def page_paths(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages").select("page_id", F.col("url").alias("path"))
+
+
+def demand_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Order lines by brand and by the region of the serving node, as input of the demand history."""
+    regions = table(spark, root, "nation").join(
+        table(spark, root, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).selectExpr("concat('N', n_nationkey) as node_id", "r_name as location_id")
+    return order_lines(spark, root).join(regions, "node_id").select(
+        "occurred_at", F.col("brand").alias("sku"), "location_id", "qty", "unit_price"
+    )
