@@ -21,7 +21,7 @@ RAW = """
       CASE WHEN s.k % 223 = 0 THEN 'not-a-time' ELSE strftime(t.happened, '%Y-%m-%dT%H:%M:%SZ') END AS occurred_text,
       CASE WHEN s.k % 223 <> 0 THEN t.happened END AS event_time,
       (s.k % 6)::INTEGER AS kafka_partition, s.k * 2 + c.copy AS kafka_offset,
-      t.happened + to_seconds((s.k % 125) * 5 + c.copy) AS ingested_at
+      t.happened + to_seconds((s.k % 125) * 5) AS ingested_at
     FROM steps s
     CROSS JOIN LATERAL (VALUES ('order.created', s.created_at), ('order.validated', s.validated_at),
       ('order.shipped', s.shipped_at), ('deadletter.event', s.dead_at)) t(event_type, happened)

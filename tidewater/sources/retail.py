@@ -186,7 +186,7 @@ def records_of(facts: DataFrame, *types: str) -> DataFrame:
             if(k % 20 = 0, 2, 1))) as (copy, value)""")
         .selectExpr(
             "value", "topic", "int(k % 6) as `partition`", "k * 2 + copy as offset",
-            "at + make_dt_interval(0, 0, 0, (k % 125) * 5 + copy) as timestamp",
+            "at + make_dt_interval(0, 0, 0, (k % 125) * 5) as timestamp",
         )
     )
 
