@@ -12,14 +12,15 @@ NO_ENVELOPE = "unparseable_or_empty_envelope"
 
 
 def inspect_records(raw: DataFrame) -> DataFrame:
-    """Adds `body` (text), `envelope` (parsed once) and `defect` (null for a usable record).
+    """Adds `body` (text), `envelope` (parsed once, with `data` as JSON text) and `defect` (null for a
+    usable record).
 
     A record is unusable when it has no value, or when neither an id nor a type can be read from it;
     an envelope that lacks just one of the two is kept and judged later.
     """
     # The one-element explode keeps later filters on `defect` from repeating the parse below it.
     read = raw.withColumn("body", F.col("value").cast("string")).withColumn(
-        "envelope", F.explode(F.array(F.from_json("body", C.ENVELOPE)))
+        "envelope", F.explode(F.array(F.from_json("body", f"{C.ENVELOPE}, data string")))
     )
     anonymous = F.coalesce(F.col("envelope.event_id"), F.col("envelope.event_type")).isNull()
     return read.withColumn("defect", F.when(F.col("body").isNull(), EMPTY_VALUE).when(anonymous, NO_ENVELOPE))
@@ -34,7 +35,7 @@ def bronze_rows(inspected: DataFrame, ingested_at: Column | None = None) -> Data
     return inspected.where(F.col("defect").isNull()).select(
         *header,
         F.col("envelope.trace_context.traceparent").alias("traceparent"),
-        F.get_json_object("body", "$.data").alias("data_json"),
+        F.col("envelope.data").alias("data_json"),
         *_coordinates(),
         when.alias("ingested_at"),
         F.to_date(F.try_to_timestamp(F.col("envelope.occurred_at"))).alias("date"),

@@ -157,7 +157,14 @@ _RAW_PAYLOAD = {
 
 def raw_records(spark: SparkSession, root: str, *types: str) -> DataFrame:
     """Bus records of the given topics (all four by default), from one scan, with real topics' faults."""
-    return records_of(order_facts(spark, root), *(types or RAW_TYPES))
+    return records_of(spread(order_facts(spark, root)), *(types or RAW_TYPES))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """JSON work is bound by CPU, and a small table comes in fewer pieces than there are cores: only then
+    its rows are dealt out. Tables of at least as many pieces are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _document(event_type: str) -> str:
