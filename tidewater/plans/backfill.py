@@ -40,9 +40,10 @@ def reprocess_silver(spark: SparkSession, lake: L.Lake, event_type: str, first:
     targets = {refine.ON_TIME: lake.silver, refine.LATE: lake.late, refine.REJECTED: lake.rejects}
     for route, target in targets.items():
         rows = refine.destination(decided, route).drop("event_type")
-        rows.write.mode("overwrite").partitionBy("date").parquet(lake.staging(f"silver_{route}/{event_type}"))
+        staged = lake.staging(f"silver_{route}/{event_type}")
+        rows.write.mode("overwrite").partitionBy("date").parquet(staged)
         if apply:
-            swap_days(spark, spark.read.parquet(lake.staging(f"silver_{route}/{event_type}")), target(event_type), days)
+            swap_days(spark, spark.read.schema(rows.schema).parquet(staged), target(event_type), days)
     return counts
 
 
