@@ -141,3 +141,33 @@ def test_publish_and_inventory(spark, tmp_path):
     assert rows(L.partition_inventory(spark, str(tmp_path / "bus")), "segment") == [("topic=t1",), ("topic=t2",)]
     with pytest.raises(ValueError):
         L.publish(df)
+
+
+def collect_stream(df, tmp_path, name):
+    out, point = str(tmp_path / name), str(tmp_path / f"{name}-checkpoint")
+    query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", point).trigger(
+        availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def test_keyed_state_equals_batch(spark, tmp_path):
+    from tidewater.operators import allocation, requests
+    from tidewater.streaming import stateful
+
+    hits = [(i, f"c{i % 2}", BASE + timedelta(seconds=7 * i)) for i in range(60)]
+    asks = [(i, f"s{i % 3}", "n", 1 + i % 4, BASE + timedelta(seconds=i)) for i in range(40)]
+    hit_type = "request_id bigint, client string, ts timestamp"
+    ask_type = "request_id bigint, sku string, node_id string, qty bigint, requested_at timestamp"
+    for part in range(2):  # two files, one per trigger: state carries over
+        spark.createDataFrame(hits[part * 30:part * 30 + 30], hit_type).coalesce(1).write.mode("append").parquet(str(tmp_path / "h"))
+        spark.createDataFrame(asks[part * 20:part * 20 + 20], ask_type).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+    read = spark.readStream.option("maxFilesPerTrigger", 1)
+    got = collect_stream(stateful.admit_stream(read.schema(hit_type).parquet(str(tmp_path / "h")), 3, 60), tmp_path, "hits")
+    want = requests.rate_limit(spark.createDataFrame(hits, hit_type), 3, 60)
+    assert rows(got, "request_id", "admitted") == rows(want, "request_id", "admitted")
+    stock = spark.createDataFrame([("s0", "n", 9, 0), ("s1", "n", 30, 0)],
+                                  "sku string, node_id string, available_qty int, reorder_threshold int")
+    got = collect_stream(stateful.reserve_stream(read.schema(ask_type).parquet(str(tmp_path / "a")), stock), tmp_path, "asks")
+    want = allocation.reserve(spark.createDataFrame(asks, ask_type), stock, ["requested_at", "request_id"])
+    assert rows(got, "request_id", "outcome") == rows(want, "request_id", "outcome")
