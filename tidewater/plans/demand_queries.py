@@ -110,7 +110,7 @@ def calendar_features(spark, root):
 
 
 @query("lag_rolling_features", _sql(
-    "SELECT sku, location_id, year(date) AS year, month(date) AS month, count(*) AS days, "
+    "SELECT sku, location_id, year(date)::INTEGER AS year, month(date)::INTEGER AS month, count(*) AS days, "
     + ", ".join(f"sum(lag_{k})::DOUBLE AS lag_{k}" for k in SETTINGS.lags) + ", "
     + ", ".join(f"round(avg(rolling_mean_{n}), 4) AS rolling_mean_{n}, round(avg(rolling_std_{n}), 4) AS rolling_std_{n}"
                 for n in SETTINGS.windows)
