@@ -218,8 +218,9 @@ def split_at(cutoff: date, settings: ForecastSettings) -> Split:
     return Split(cutoff, cutoff + timedelta(days=1), cutoff + timedelta(days=settings.horizon_days))
 
 
-def chronological_split(history: DataFrame, settings: ForecastSettings) -> Split:
-    first, last = date_range(history)
+def chronological_split(history: DataFrame, settings: ForecastSettings, span: tuple[date, date] | None = None) -> Split:
+    """One cutoff for all series; `span` spares looking up the first and last day again."""
+    first, last = span or date_range(history)
     cutoff = training_cutoff(last, settings)
     if (cutoff - first).days < settings.min_history_days:
         raise ValueError(f"{(cutoff - first).days} days before {cutoff} are fewer than {settings.min_history_days}")

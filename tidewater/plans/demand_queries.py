@@ -202,11 +202,9 @@ def champion(spark, root):
     )
 
 
-def _project(spark, root, predict, name: str, rows=None, split=None):
-    rows = history(spark, root) if rows is None else rows
-    split = split or D.chronological_split(rows, SETTINGS)
+def _project(rows, predict, name: str, split: D.Split, last):
     return M.forecast(rows, predict, SETTINGS, model_name=name, model_version="1", run_id="adhoc",
-                      generated_at="1970-01-01T00:00:00+00:00", cutoff=split.train_end)
+                      generated_at="1970-01-01T00:00:00+00:00", cutoff=split.train_end, last=last)
 
 
 @query("baseline_forecast", _sql(
@@ -216,23 +214,27 @@ def _project(spark, root, predict, name: str, rows=None, split=None):
     FROM (SELECT *, row_number() OVER (PARTITION BY sku, location_id ORDER BY date DESC) AS back FROM history) t
     JOIN (SELECT unnest(range(1, 15))::INTEGER AS h) ON back = 7 - (h - 1) % 7""", "bounds"))
 def baseline_forecast(spark, root):
-    return _project(spark, root, D.seasonal_naive, D.BASELINE).select(
+    rows = history(spark, root)
+    span = D.date_range(rows)
+    split = D.chronological_split(rows, SETTINGS, span)
+    return _project(rows, D.seasonal_naive, D.BASELINE, split, span[1]).select(
         "forecast_date", "horizon", "sku", "location_id", "predicted_units", "model_name", "training_cutoff"
     )
 
 
 def _trees(spark, root):
     rows = history(spark, root)
-    split = D.chronological_split(rows, SETTINGS)
+    span = D.date_range(rows)
+    split = D.chronological_split(rows, SETTINGS, span)
     featured = D.features(rows, SETTINGS)
-    return rows, split, featured, M.fit_trees(D.training_rows(featured, split), SETTINGS)
+    return rows, split, span[1], featured, M.fit_trees(D.training_rows(featured, split), SETTINGS)
 
 
 @query("gbt_forecast")
 def gbt_forecast(spark, root):
     """Boosted trees on the whole training period, then the recursive forecast."""
-    rows, split, _, model = _trees(spark, root)
-    return _project(spark, root, lambda df: M.predict_trees(model, df, SETTINGS), M.CHALLENGER, rows, split).select(
+    rows, split, last, _, model = _trees(spark, root)
+    return _project(rows, lambda df: M.predict_trees(model, df, SETTINGS), M.CHALLENGER, split, last).select(
         "forecast_date", "horizon", "sku", "location_id", "predicted_units", "model_name", "training_cutoff"
     )
 
@@ -240,7 +242,7 @@ def gbt_forecast(spark, root):
 @query("model_evaluation")
 def model_evaluation(spark, root):
     """Baseline and boosted trees on the same validation days."""
-    _, split, featured, model = _trees(spark, root)
+    _, split, _, featured, model = _trees(spark, root)
     valid = D.validation_rows(featured, split)
     columns = ["model_name", "date", "sku", "location_id", "units_demanded", "predicted_units"]
     both = D.seasonal_naive(valid).select(*columns).unionByName(

@@ -33,7 +33,8 @@ def prepare(history: DataFrame, settings: D.ForecastSettings) -> DataFrame:
 def run_forecast(history: DataFrame, settings: D.ForecastSettings, output: str | None = None) -> ForecastRun:
     """With `output`, writes model, metadata, evaluation and forecast below it, keyed by run."""
     featured = prepare(history, settings)
-    split = D.chronological_split(history, settings)
+    span = D.date_range(history)
+    split = D.chronological_split(history, settings, span)
     model = M.fit_trees(D.training_rows(featured, split), settings)
     valid = D.validation_rows(featured, split)
     challenger = M.predict_trees(model, valid, settings)
@@ -49,7 +50,7 @@ def run_forecast(history: DataFrame, settings: D.ForecastSettings, output: str |
     run_id, stamp = uuid.uuid4().hex[:12], M.run_stamp()
     projected = M.forecast(
         history, predict, settings, model_name=choice["champion"], model_version=run_id, run_id=run_id,
-        generated_at=stamp, cutoff=split.train_end,
+        generated_at=stamp, cutoff=split.train_end, last=span[1],
     )
     if output:
         spark = history.sparkSession
