@@ -122,22 +122,28 @@ def window_hits(log: DataFrame, seconds: int = C.RATE_LIMIT_SECONDS) -> DataFram
     return nearby(log.select("request_id", "client", "ts"), seconds, F.lit(True), "hits")
 
 
-def admit_sorted(batches: Iterator[pd.DataFrame], seconds: int, limit: int) -> Iterator[pd.DataFrame]:
-    """Admission over rows sorted by client and time; keeps no more than `limit` times of one client."""
+def admission(seconds: int, limit: int):
+    """Admission over rows sorted by client and time; keeps no more than `limit` times of one client.
+
+    Returned as an inner function, which travels to the workers whole: they need not have this package.
+    """
     span = seconds * 1_000_000
-    client, admitted = None, deque()
-    for batch in batches:
-        verdicts = []
-        for who, at in zip(batch["client"], batch["at"]):
-            if who != client:
-                client, admitted = who, deque()
-            while admitted and at - admitted[0] > span:
-                admitted.popleft()
-            verdict = len(admitted) < limit
-            if verdict:
-                admitted.append(at)
-            verdicts.append(verdict)
-        yield batch.assign(admitted=verdicts)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, admitted = None, deque()
+        for batch in batches:
+            verdicts = []
+            for who, at in zip(batch["client"], batch["at"]):
+                if who != client:
+                    client, admitted = who, deque()
+                while admitted and at - admitted[0] > span:
+                    admitted.popleft()
+                verdicts.append(len(admitted) < limit)
+                if verdicts[-1]:
+                    admitted.append(at)
+            yield batch.assign(admitted=verdicts)
+
+    return walk
 
 
 def rate_limit(log: DataFrame, limit: int = C.RATE_LIMIT_HITS, seconds: int = C.RATE_LIMIT_SECONDS) -> DataFrame:
@@ -164,7 +170,7 @@ def rate_limit(log: DataFrame, limit: int = C.RATE_LIMIT_HITS, seconds: int = C.
         F.col("client").alias("original"), "request_id", "ts", "at", "over",
     )
     schema = StructType([*keyed.schema.fields, StructField("admitted", BooleanType())])
-    decided = keyed.mapInPandas(lambda batches: admit_sorted(batches, seconds, limit), schema)
+    decided = keyed.mapInPandas(admission(seconds, limit), schema)
     return settled.unionByName(
         decided.where("over").select("request_id", F.col("original").alias("client"), "ts", "admitted")
     )
