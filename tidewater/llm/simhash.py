@@ -79,27 +79,46 @@ def _near(a: str, b: str, most: int) -> Column:
 def links(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """Enough of the links between distinct fingerprints (fp) that their components are exact: (a, b).
 
-    First every member of a variant's bucket is held against the bucket's smallest member. What that joins
-    need not be compared again: a second join lists only members outside their bucket's largest component
-    against members of other components, so a bucket of near copies never yields its pairs.
+    First every member of a variant's bucket is held against the bucket's smallest one; a bucket of two is settled by
+    that. In larger buckets, members known to be connected carry a common label. Each member without the bucket's
+    most frequent label needs one link to those that have it, found by a semi-join, twice over; only members that
+    still differ from it are held against each other. A bucket of near copies so yields a row per member, not its
+    pairs.
     """
     listed = prints.select("fp", _variants("fp").alias("key"))
-    reps = listed.groupBy("key").agg(F.min("fp").alias("rep"), F.max("fp").alias("top")).where("rep <> top")
-    shared = keep(listed.join(reps.select("key", "rep"), "key"), "simhash-shared")
-    near_rep = shared.where(F.col("fp") != F.col("rep")).where(_near("fp", "rep", most)) \
-        .select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct()
-    first = keep(near_rep, "simhash-first")
-    roots = components(first)
-    marked = shared.select("key", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
-        .select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    sizes = marked.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"),
+    reps = keep(listed.groupBy("key").agg(F.min("fp").alias("rep"), F.count("*").alias("n")).where("n > 1"),
+                "simhash-reps")
+    star = listed.join(reps.select("key", "rep"), "key").where(F.col("fp") != F.col("rep")).where(_near("fp", "rep", most))
+    found = keep(star.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct(), "simhash-star")
+    crowded = keep(listed.join(reps.where("n > 2").select("key"), "key", "left_semi"), "simhash-crowded")
+    for _ in range(2):
+        members, rest = _by_label(crowded, _labels(found))
+        main = members.where("label = main").select("key", F.col("fp").alias("b"))
+        near_main = rest.join(main, (rest["key"] == main["key"]) & _near("a", "b", most), "left_semi")
+        found = keep(found.unionByName(near_main.select("a", F.col("main").alias("b"))).distinct(), "simhash-links")
+    other = rest.select("key", F.col("a").alias("b"), F.col("label").alias("b_label"))
+    between = rest.join(other, "key").where("a < b and label <> b_label").where(_near("a", "b", most))
+    return found.unionByName(between.select("a", "b").distinct())
+
+
+def _labels(found: DataFrame) -> DataFrame:
+    """(fp, label): connected fingerprints that were hung on a common one, two steps up, have one label."""
+    up = found.select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("to")).groupBy("fp") \
+        .agg(F.min("to").alias("label"))
+    for _ in range(2):
+        above = up.select(F.col("fp").alias("label"), F.col("label").alias("above"))
+        up = up.join(above, "label", "left").select("fp", F.coalesce("above", "label").alias("label"))
+    return keep(up, "simhash-labels")
+
+
+def _by_label(crowded: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets with several labels, (key, fp, label, main), and those without the bucket's main label."""
+    marked = crowded.join(labels, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
+    sizes = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
                                      F.count("*").alias("parts")).where("parts > 1")
     members = keep(marked.join(mixed.select("key", "main"), "key"), "simhash-mixed")
-    rest = members.where("root <> main").select("key", F.col("fp").alias("a"), F.col("root").alias("a_root"))
-    second = rest.join(members.select("key", F.col("fp").alias("b"), F.col("root").alias("b_root")), "key") \
-        .where(F.col("a_root") != F.col("b_root")).where(_near("a", "b", most))
-    return first.unionByName(second.select("a", "b").distinct())
+    return members, members.where("label <> main").select("key", F.col("fp").alias("a"), "label", "main")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
