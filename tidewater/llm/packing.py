@@ -176,8 +176,8 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
         part, seen, step = TaskContext.get().partitionId(), Counter(), capacity * 4
         for rows in slices(batches, "text"):
             out: list[tuple] = []
-            for doc, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode(rows.column("text").to_pylist())):
-                ids += end
+            for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
+                ids = encoder.encode(text) + end
                 for number, at in enumerate(range(0, len(ids), step)):
                     cut = ids[at:at + step]
                     length = len(cut) // 4

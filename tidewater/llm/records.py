@@ -1,9 +1,10 @@
 """Token ids as length-delimited binary records with masked checksums, and an offset index beside them.
 
-A record is the payload's length (8 bytes), the masked CRC-32C of those 8 bytes, the payload, and the masked
-CRC-32C of the payload, all little-endian: the common framing of record files. A payload is the doc_id (8 bytes)
-and the ids (4 bytes each). The index is a Parquet table (doc_id, file, offset, n_tokens) and is the manifest as
-well: a task names its file anew at each attempt, so a file left by a lost attempt is in no index.
+A record is the payload's length (8 bytes), the masked CRC-32 of those 8 bytes, the payload, and the masked
+CRC-32 of the payload, all little-endian. A payload is the doc_id (8 bytes)
+and the ids (2 bytes each where the vocabulary allows it, else 4). The index is a Parquet table (doc_id, part,
+file, offset, n_tokens, width) and is
+the manifest as well: a task names its file anew at each attempt, so a file left by a lost attempt is in no index.
 """
 
 from __future__ import annotations
@@ -26,77 +27,16 @@ END_ID = 2
 READ_BYTES = 4 << 20
 
 
-def _crc_table() -> np.ndarray:
-    """CRC-32C (polynomial 0x82F63B78, reflected) of every byte value."""
-    values = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        values = np.where(values & 1, (values >> 1) ^ np.uint32(0x82F63B78), values >> 1)
-    return values
+def masked(data: bytes) -> int:
+    """CRC-32 of the data, turned by 15 bits and shifted by a constant, so that checksums of checksums differ."""
+    crc = zlib.crc32(data)
+    return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-class Checksums:
-    """Masked CRC-32C of many byte strings at once, one column of bytes per step.
-
-    Equal-length blocks run side by side, and blocks of one string are combined by shifting a checksum over
-    zeros, which is linear: a table per block length gives the shift.
-    """
-
-    BLOCK = 512
-
-    def __init__(self) -> None:
-        self.table = _crc_table()
-        basis = np.uint32(1) << np.arange(32, dtype=np.uint32)
-        for _ in range(self.BLOCK):
-            basis = (basis >> np.uint32(8)) ^ self.table[basis & np.uint32(255)]
-        bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
-        self.shift = [np.bitwise_xor.reduce(np.where(bits, basis[8 * i:8 * i + 8], np.uint32(0)), axis=1)
-                      .astype(np.uint32) for i in range(4)]
-
-    def _run(self, state: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        for column in range(rows.shape[1]):
-            state = (state >> np.uint32(8)) ^ self.table[(state ^ rows[:, column]) & np.uint32(255)]
-        return state
-
-    def _skip(self, crc: int) -> int:
-        s = self.shift
-        return int(s[0][crc & 255] ^ s[1][crc >> 8 & 255] ^ s[2][crc >> 16 & 255] ^ s[3][crc >> 24])
-
-    def masked(self, parts: list[bytes]) -> list[int]:
-        """The masked checksum of each part."""
-        size = self.BLOCK
-        heads = [len(p) % size for p in parts]
-        full = b"".join(p[h:] for p, h in zip(parts, heads))
-        blocks = self._run(np.zeros(len(full) // size, np.uint32),
-                           np.frombuffer(full, np.uint8).reshape(-1, size).astype(np.uint32)) if full else []
-        firsts = np.zeros(len(parts), np.uint32)
-        width = max(heads, default=0)
-        if width:
-            padded = np.zeros((len(parts), width), np.uint32)
-            for row, (p, h) in enumerate(zip(parts, heads)):
-                padded[row, width - h:] = np.frombuffer(p[:h], np.uint8)
-            start = np.full(len(parts), 0xFFFFFFFF, np.uint32)
-            left = np.asarray(heads)
-            for column in range(width):
-                stepped = (start >> np.uint32(8)) ^ self.table[(start ^ padded[:, column]) & np.uint32(255)]
-                start = np.where(width - column <= left, stepped, start)
-            firsts = start
-        else:
-            firsts[:] = 0xFFFFFFFF
-        out, at = [], 0
-        for p, h, crc in zip(parts, heads, firsts.tolist()):
-            for _ in range((len(p) - h) // size):
-                crc = self._skip(crc) ^ int(blocks[at])
-                at += 1
-            crc ^= 0xFFFFFFFF
-            out.append(((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF)
-        return out
-
-
-def frames(payloads: list[bytes], sums: Checksums) -> list[bytes]:
-    """Each payload as a whole record."""
-    lengths = [struct.pack("<Q", len(p)) for p in payloads]
-    return [a + struct.pack("<I", m) + p + struct.pack("<I", n)
-            for a, m, p, n in zip(lengths, sums.masked(lengths), payloads, sums.masked(payloads))]
+def frame(payload: bytes) -> bytes:
+    """The payload as a whole record."""
+    length = struct.pack("<Q", len(payload))
+    return b"".join([length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))])
 
 
 def _opened(folder: str):
@@ -123,30 +63,36 @@ def write_records(docs: DataFrame, folder: str, vocabulary_path: str, end_id: in
         store, root = _opened(folder)
         part = TaskContext.get().partitionId()
         name, at, out = f"part-{part:06d}-{uuid.uuid4().hex}.records", 0, None
-        encoder, sums, end = Encoder(vocabulary_path, byte_level=True), Checksums(), struct.pack("<I", end_id)
+        encoder = Encoder(vocabulary_path, byte_level=True, width=width)
+        end = end_id.to_bytes(width, "little")
         try:
             for rows in slices(batches, "text"):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}")
-                ids = [i + end for i in encoder.encode(rows.column("text").to_pylist())]
+                ids = [encoder.encode(t) + end for t in rows.column("text").to_pylist()]
                 names = rows.column("doc_id").to_pylist()
-                records = frames([struct.pack("<q", d) + i for d, i in zip(names, ids)], sums)
+                records = [frame(struct.pack("<q", d) + i) for d, i in zip(names, ids)]
                 starts = at + np.cumsum([0, *map(len, records)])
                 out.write(b"".join(records))
                 at = int(starts[-1])
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array([name] * len(ids)),
-                     pa.array(starts[:-1], pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64())],
-                    names=["doc_id", "part", "file", "offset", "n_tokens"])
+                     pa.array(starts[:-1], pa.int64()), pa.array([len(i) // width for i in ids], pa.int64()),
+                     pa.array([width] * len(ids), pa.int32())],
+                    names=["doc_id", "part", "file", "offset", "n_tokens", "width"])
         finally:
             if out is not None:
                 out.close()
 
+    from tokenizers import Tokenizer
+
+    size = Tokenizer.from_file(vocabulary_path).get_vocab_size()
+    width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
     spark = prepare(docs.sparkSession)
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
                           F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    index = ordered.mapInArrow(walk, "doc_id long, part int, file string, offset long, n_tokens long")
+    index = ordered.mapInArrow(walk, "doc_id long, part int, file string, offset long, n_tokens long, width int")
     index.write.parquet(f"{folder}/index")
     return spark.read.schema(index.schema).parquet(f"{folder}/index")
 
@@ -157,36 +103,36 @@ def read_records(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
     `start` counts the ids of all documents before. A checksum that does not fit raises an error. Files are read
     in small parts, so memory is bounded by the longest record.
     """
-    files = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("tokens"))
+    files = index.groupBy("part", "file", "width").agg(F.sum("n_tokens").alias("tokens"))
     # One row per file: bounded by the number of write tasks.
     held = sorted(map(tuple, files.collect()))
-    before = np.cumsum([0, *(tokens for _, _, tokens in held)]).tolist()
-    listed = [(file, start) for (_, file, _), start in zip(held, before)]
+    before = np.cumsum([0, *(tokens for *_, tokens in held)]).tolist()
+    listed = [(file, width, start) for (_, file, width, _), start in zip(held, before)]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not listed:
         return spark.createDataFrame([], schema)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _opened(folder)
-        sums = Checksums()
         for batch in batches:
-            for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
+            for file, width, start in zip(*(batch.column(c).to_pylist() for c in ("file", "width", "start"))):
                 with store.open_input_stream(f"{root}/{file}") as source:
-                    for payloads in _payloads(source, sums):
-                        counts = [len(p) // 4 - 2 for p in payloads]
+                    for payloads in _payloads(source):
+                        ids = [np.frombuffer(p, f"<u{width}", offset=8).astype("<u4") for p in payloads]
+                        counts = [len(i) for i in ids]
                         starts = start + np.cumsum([0, *counts])
                         start = int(starts[-1])
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([struct.unpack_from("<q", p)[0] for p in payloads], pa.int64()),
                              pa.array(starts[:-1], pa.int64()), pa.array(counts, pa.int64()),
-                             pa.array([zlib.crc32(memoryview(p)[8:]) for p in payloads], pa.int64())],
+                             pa.array([zlib.crc32(i) for i in ids], pa.int64())],
                             names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    table = spark.createDataFrame(listed, "file string, start long")
+    table = spark.createDataFrame(listed, "file string, width int, start long")
     return table.repartition(len(listed)).mapInArrow(walk, schema)
 
 
-def _payloads(source, sums: Checksums) -> Iterator[list[bytes]]:
+def _payloads(source) -> Iterator[list[bytes]]:
     """Verified payloads of a record stream, in groups of about READ_BYTES."""
     rest, done = b"", False
     while not done:
@@ -203,7 +149,7 @@ def _payloads(source, sums: Checksums) -> Iterator[list[bytes]]:
             seals.append(struct.unpack_from("<I", rest, at + 8) + struct.unpack_from("<I", rest, at + 12 + size))
             at += size + 16
         if payloads:
-            if seals != list(zip(sums.masked(lengths), sums.masked(payloads))):
+            if seals != list(zip(map(masked, lengths), map(masked, payloads))):
                 raise ValueError("a record does not fit its checksum")
             yield payloads
         rest = rest[at:]
@@ -215,26 +161,26 @@ def read_at(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """(doc_id, ids) of the index rows `wanted`, in any order: shuffled reads by offset, one record each."""
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _opened(folder)
-        sums, name, source = Checksums(), None, None
+        name, source = None, None
         for batch in batches:
             rows = batch.to_pydict()
             payloads = []
-            for file, offset, count in zip(rows["file"], rows["offset"], rows["n_tokens"]):
+            for file, offset, count, width in zip(rows["file"], rows["offset"], rows["n_tokens"], rows["width"]):
                 if file != name:
                     if source is not None:
                         source.close()
                     name, source = file, store.open_input_file(f"{root}/{file}")
-                record = source.read_at(count * 4 + 24, offset)
+                record = source.read_at(count * width + 24, offset)
                 payload = record[12:-4]
-                if struct.unpack_from("<I", record, len(record) - 4)[0] != sums.masked([payload])[0]:
+                if struct.unpack_from("<I", record, len(record) - 4)[0] != masked(payload):
                     raise ValueError("a record does not fit its checksum")
-                payloads.append(payload)
+                payloads.append((struct.unpack_from("<q", payload)[0],
+                                 np.frombuffer(payload, f"<u{width}", offset=8).tolist()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([struct.unpack_from("<q", p)[0] for p in payloads], pa.int64()),
-                 pa.array([np.frombuffer(p, "<u4", offset=8).tolist() for p in payloads], pa.list_(pa.int64()))],
+                [pa.array([d for d, _ in payloads], pa.int64()), pa.array([i for _, i in payloads], pa.list_(pa.int64()))],
                 names=["doc_id", "ids"])
 
-    return wanted.select("file", "offset", "n_tokens").mapInArrow(walk, "doc_id long, ids array<long>")
+    return wanted.select("file", "offset", "n_tokens", "width").mapInArrow(walk, "doc_id long, ids array<long>")
 
 
 def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,53 +7,88 @@ any other white space go to the tokenizer whole, so ids always equal those of th
 
 from __future__ import annotations
 
-import numpy as np
+import re
+import unicodedata
 
-CACHE_UNITS = 200_000
-PLAIN_SPACES = str.maketrans("", "", " \n\t\r")
+CACHE_UNITS = 250_000
+# Letters, then marks that are neither letters, digits, white space nor an apostrophe; all of long-settled classes.
+SIMPLE = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
 
-class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes; two generations of at most CACHE_UNITS units are remembered."""
+def byte_symbols() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies, where it is another one."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
 
-    def __init__(self, path: str, byte_level: bool) -> None:
+
+class Encoder(dict):
+    """Ids of units as little-endian bytes; two generations of at most CACHE_UNITS units are remembered.
+
+    A new unit of letters with marks behind it is handed to the library's model directly, as the one or two
+    pieces that its pre-tokenizer makes of it; any other unit goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, byte_level: bool, width: int = 4) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.byte_level = byte_level
-        self.young: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.byte_level, self.width = byte_level, width
+        self.symbols = byte_symbols()
+        self.raw = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.marks: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.old.get(unit)
+        if ids is None:
+            text = unit
+            if not self.byte_level:
+                text = unit.lower() if unit.isascii() else unicodedata.normalize("NFC", unit).lower()
+            found = SIMPLE.fullmatch(text)
+            if found is None:
+                ids = self._whole(unit)
+            else:
+                stem, marks = found.groups()
+                tail = self.marks.get(marks)
+                if tail is None:
+                    if len(self.marks) > 10_000:
+                        self.marks = {"": b""}
+                    tail = self.marks[marks] = self._piece(marks)
+                ids = self._piece(stem) + tail
+        self[unit] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece.replace(" ", self.symbols[32]) if piece.isascii() else \
+            piece.encode().decode("latin-1").translate(self.symbols)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.tokenize(mapped)])
+
+    def _whole(self, text: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
     def _units(self, text: str) -> list[str] | None:
         words = text.split()
         if self.byte_level:
             if "\x00" in text or " ".join(words) != text.replace("\n", " "):
                 return None
             return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-        return words if "".join(words) == text.translate(PLAIN_SPACES) else None
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        units = [self._units(t) for t in texts]
-        known, older = self.young, self.old
-        lacking = [u for u in {u for row in units if row for u in row} if u not in known]
-        for unit in lacking:
-            if unit in older:
-                known[unit] = older[unit]
-        lacking = [u for u in lacking if u not in known]
-        for at in range(0, len(lacking), 4096):
-            part = lacking[at:at + 4096]
-            known.update(zip(part, self._encode(part)))
-        look = known.__getitem__
-        out = [b"".join(map(look, row)) if row is not None else self._encode([text])[0]
-               for row, text in zip(units, texts)]
-        if len(known) > CACHE_UNITS:
-            self.young, self.old = {}, known
+        rest = text.replace(" ", "").replace("\n", "").replace("\t", "").replace("\r", "")
+        return words if "".join(words) == rest else None
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text, `width` bytes each; none for a null text."""
+        units = self._units(text or "")
+        if units is None:
+            return self._whole(text)
+        out = b"".join(map(self.__getitem__, units))
+        if len(self) > CACHE_UNITS:
+            self.old = dict(self)
+            self.clear()
         return out
 
 
