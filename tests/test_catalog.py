@@ -15,9 +15,11 @@ SAMPLE = ("orders_per_minute", "revenue_by_product_location", "silver_routed_cou
 def test_every_statement_belongs_to_a_query():
     import __spark_entry__ as entry
 
+    from tidewater.plans.catalog import QUERIES, STATEMENTS
+
     queries, statements = entry.queries(), entry.oracle_sql()
-    assert set(statements) <= set(queries) and len(queries) > 80
-    assert set(queries) - set(statements) == {"gbt_forecast", "model_evaluation", "partition_inventory"}
+    assert set(statements) <= set(queries) and len(QUERIES) > 80
+    assert set(QUERIES) == set(STATEMENTS) and set(QUERIES) <= set(queries)
 
 
 @pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the generated tables")

@@ -138,12 +138,28 @@ def test_running_sum_in_segments(spark):
 def test_exact_quantiles(spark):
     rng = random.Random(2)
     data = [("a", rng.expovariate(1)) for _ in range(500)] + [("b", 7.0)] * 9 + [("c", float(i)) for i in range(2)]
+    data += [("d", v) for v in (*(rng.random() for _ in range(300)), 1e15)]
     df = spark.createDataFrame(data, "g string, v double")
     probs = {"p50": .5, "p95": .95}
-    for buckets in (4096, 3):
-        for r in skew.exact_quantiles(df, ["g"], "v", probs, buckets).collect():
+    for segments in (8, 3):
+        for r in skew.exact_quantiles(df, ["g"], "v", probs, segments).collect():
             values = [v for g, v in data if g == r["g"]]
             assert [r["p50"], r["p95"]] == pytest.approx(list(np.quantile(values, [.5, .95])))
+    overall = skew.exact_quantiles(df, [], "v", probs)
+    assert list(overall.first()) == pytest.approx(list(np.quantile([v for _, v in data], [.5, .95])))
+    assert "NestedLoop" not in overall._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("bound", [0, 2, 1000])
+def test_replay_of_tied_requests_does_not_depend_on_size(spark, bound):
+    asks = [("o", 1, "VALIDATED", 1, None), ("o", 2, "INVENTORY_PENDING", 2, None), ("o", 2, "INVENTORY_RESERVED", 3, None),
+            ("o", 2, "INVENTORY_PENDING", 2, None), ("o", None, "VALIDATED", 1, None), ("p", 1, "VALIDATED", None, None),
+            ("p", 1, "VALIDATED", 1, None), ("p", 1, "VALIDATED", 1, None)]
+    df = spark.createDataFrame(asks, "order_id string, seq bigint, to_status string, expected_version bigint, node_id string")
+    got = lifecycle.replay_states(df, bound)
+    want = lifecycle.replay_states(df, 10_000)
+    assert rows(got, *sorted(got.columns)) == rows(want, *sorted(got.columns))
+    assert got.where("verdict = 'applied'").count() == 4
 
 
 def brute_limit(hits, limit, seconds):

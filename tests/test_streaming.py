@@ -62,7 +62,9 @@ def test_three_layers_restart_and_backfill(spark, lake, tmp_path):
     passed, report = backfill.quality_report(spark, lake, DAY)
     assert report.count() == 5
     assert {r["name"]: r["value"] for r in report.collect()}["bronze_silver_reconciliation"] == 0.0
-    assert any(m.layer == "bronze" for m in sinks.METRICS) and sinks.metrics_frame(spark).count() > 0
+    noted = sinks.metrics_frame(spark, lake.metrics)
+    assert noted.where("layer = 'bronze' and outcome = 'valid'").agg(F.sum("rows")).first()[0] == 6
+    assert noted.where("layer = 'silver'").count() > 0
 
 
 def silver_frame(spark, ids, at=BASE):
@@ -89,8 +91,62 @@ def test_swap_leaves_other_days_and_empties_days_without_rows(spark, tmp_path):
     live, other = str(tmp_path / "live"), DAY + timedelta(days=1)
     df = spark.createDataFrame([(1, DAY), (2, other)], "v int, date date")
     sinks.write_day_partitions(df, live, "old")
-    backfill.swap_days(spark, df.where("v = 2").withColumn("v", F.lit(5)), live, [DAY])
-    assert rows(spark.read.parquet(live), "v") == [(2,)]
+    old = backfill.day_entries(spark, live, [DAY])
+    sinks.write_day_partitions(spark.createDataFrame([(9, DAY)], "v int, date date"), live, "meanwhile")
+    backfill.swap_days(spark, df.where("v = 2").withColumn("v", F.lit(5)), live, [DAY], old)
+    assert rows(spark.read.parquet(live), "v") == [(2,), (9,)]
+
+
+def test_a_rebuilt_day_forgets_what_an_earlier_run_staged(spark, lake):
+    silver, gold = lake.silver(C.ORDER_CREATED), lake.gold("orders_per_minute")
+    sinks.write_day_partitions(silver_frame(spark, range(5)), silver, "seed")
+    assert backfill.reprocess_gold(spark, lake, "orders_per_minute", DAY, DAY, apply=True) == 5
+    empty = silver_frame(spark, range(1)).where("false")
+    backfill.swap_days(spark, empty, silver, [DAY], backfill.day_entries(spark, silver, [DAY]))
+    assert backfill.reprocess_gold(spark, lake, "orders_per_minute", DAY, DAY, apply=True) == 0
+    assert L.read_or_empty(spark, gold, spark.range(0).schema).count() == 0
+
+
+def test_a_joined_day_finds_partners_before_the_range(spark, lake):
+    order, shipped = silver_frame(spark, [0]), silver_frame(spark, [0], BASE + timedelta(days=1))
+    sinks.write_day_partitions(order, lake.silver(C.ORDER_CREATED), "seed")
+    sinks.write_day_partitions(shipped, lake.silver(C.ORDER_SHIPPED), "seed")
+    after = DAY + timedelta(days=1)
+    assert backfill.reprocess_gold(spark, lake, "fulfillment_latency", after, after) == 1
+    assert backfill.reprocess_gold(spark, lake, "fulfillment_latency", DAY, DAY) == 0
+
+
+def test_backfilled_files_are_not_streamed_to_gold_again(spark, lake):
+    silver = lake.silver(C.ORDER_CREATED)
+    sinks.write_day_partitions(silver_frame(spark, range(60)), silver, "seed")
+    backfill.swap_days(spark, silver_frame(spark, range(60)), silver, [DAY], [])
+    runner.finish([runner.start_gold(spark, lake, "orders_per_minute", once=True)])
+    got = spark.read.parquet(lake.gold("orders_per_minute"))
+    assert got.count() == 49 and got.agg(F.max("order_count")).first()[0] == 1
+
+
+def test_the_latest_run_is_the_last_in_time_whatever_its_offset(spark, tmp_path):
+    from tidewater.operators import forecasting
+
+    stamps = [("old", "2026-10-25T02:50:00+02:00"), ("new", "2026-10-25T02:10:00+01:00")]
+    spark.createDataFrame(stamps, "run_id string, trained_at string").write.json(str(tmp_path / "runs"))
+    assert forecasting.latest_run(spark, str(tmp_path))["run_id"] == "new"
+    assert forecasting.run_stamp().endswith("+00:00")
+
+
+def test_scratch_needs_a_shared_folder_beyond_local_mode(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidewater import session
+
+    for master, fails in (("local[4]", False), ("local-cluster[2,1,512]", True), ("spark://host:7077", True), ("yarn", True)):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        fake = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+        if fails:
+            with pytest.raises(RuntimeError):
+                session.scratch_path(fake, "x")
+        else:
+            assert session.scratch_path(fake, "x")
 
 
 def test_a_repeated_batch_leaves_one_copy(spark, tmp_path):
@@ -156,7 +212,8 @@ def test_keyed_state_equals_batch(spark, tmp_path):
     from tidewater.streaming import stateful
 
     hits = [(i, f"c{i % 2}", BASE + timedelta(seconds=7 * i)) for i in range(60)]
-    asks = [(i, f"s{i % 3}", "n", 1 + i % 4, BASE + timedelta(seconds=i)) for i in range(40)]
+    asks = [(i, f"s{i % 3}", "n", None if i == 17 else -3 if i % 7 == 3 else 1 + i % 4, BASE + timedelta(seconds=i))
+            for i in range(40)]
     hit_type = "request_id bigint, client string, ts timestamp"
     ask_type = "request_id bigint, sku string, node_id string, qty bigint, requested_at timestamp"
     for part in range(2):  # two files, one per trigger: state carries over

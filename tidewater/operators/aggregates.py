@@ -148,21 +148,25 @@ class Dataset:
 
     inputs: tuple[str, ...]
     build: Callable[..., DataFrame]
+    lookback_days: int = 0  # how long before its output's day an input row may lie
 
 
+HORIZON_DAYS = int(C.FULFILLMENT_HORIZON.split()[0])
+
 # The one registry used by streaming and by backfill.
 DATASETS: dict[str, Dataset] = {
     "orders_per_minute": Dataset((C.ORDER_CREATED,), orders_per_minute),
     "revenue_by_product_location": Dataset(
-        (C.ORDER_CREATED, C.ORDER_SHIPPED), lambda c, s: revenue_by_product_location(explode_lines(c), s)
+        (C.ORDER_CREATED, C.ORDER_SHIPPED), lambda c, s: revenue_by_product_location(explode_lines(c), s),
+        HORIZON_DAYS,
     ),
     "fulfillment_success_rate": Dataset((C.ORDER_SHIPPED, C.ORDER_FAILED), fulfillment_success_rate),
-    "fulfillment_latency": Dataset((C.ORDER_CREATED, C.ORDER_SHIPPED), fulfillment_latency),
+    "fulfillment_latency": Dataset((C.ORDER_CREATED, C.ORDER_SHIPPED), fulfillment_latency, HORIZON_DAYS),
     "inventory_reservation_failure_rate": Dataset(
         (C.INVENTORY_RESERVED, C.INVENTORY_REJECTED), inventory_reservation_failure_rate
     ),
     "stockout_frequency": Dataset((C.INVENTORY_REJECTED,), lambda r: stockout_frequency(explode_reasons(r))),
-    "late_order_rate": Dataset((C.ORDER_SHIPPED, C.FULFILLMENT_ASSIGNED), late_order_rate),
+    "late_order_rate": Dataset((C.ORDER_SHIPPED, C.FULFILLMENT_ASSIGNED), late_order_rate, HORIZON_DAYS),
     "product_demand_by_window": Dataset((C.ORDER_CREATED,), lambda c: product_demand_by_window(explode_lines(c))),
     "dead_letter_volume": Dataset((C.DEAD_LETTER,), dead_letter_volume),
 }

@@ -141,7 +141,11 @@ def quality_checks(history: DataFrame, min_history_days: int) -> DataFrame:
         F.expr("struct('extreme_outliers' as name, true as passed, bigint(outliers) as found)"),
         gate("all_zero_series", "flat"),
     )
-    together = total.withColumn("_k", F.lit(1)).join(outliers.withColumn("_k", F.lit(1)), "_k")
+    # Two single rows of figures, put side by side by an aggregate over both.
+    figures = [c for c in total.columns]
+    stacked = total.withColumn("outliers", F.lit(None).cast("bigint")).unionByName(
+        outliers.select(*[F.lit(None).cast(total.schema[c].dataType).alias(c) for c in figures], "outliers"))
+    together = stacked.agg(*[F.max(c).alias(c) for c in (*figures, "outliers")])
     return together.select("n", F.inline(results)).where((F.col("n") > 0) | (F.col("name") == "not_empty")).drop("n")
 
 
@@ -300,8 +304,7 @@ def select_champion(evaluated: DataFrame, challenger: str, metric: str = "wape")
     values = [F.format_string("%.4f", c) for c in ("challenger_value", "baseline_value")]
     reason = F.when(better, F.concat(F.lit(f"{challenger} {metric}="), values[0], F.lit(f" < {BASELINE} {metric}="),
                                      values[1])).otherwise(
-        F.concat(F.lit(f"{challenger} {metric}="), values[0], F.lit(f" did not beat {BASELINE} {metric}="), values[1],
-                 F.lit("; keeping baseline")))
+        F.concat(F.lit(f"{challenger} {metric}="), values[0], F.lit(f" >= {BASELINE} {metric}="), values[1]))
     return overall.select(
         F.when(better, challenger).otherwise(BASELINE).alias("champion"), F.lit(metric).alias("metric"),
         "baseline_value", "challenger_value", reason.alias("reason"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators import demand as D
+from tidewater.session import cut_lineage
 
 CHALLENGER = "gradient_boosted_trees"
+STEPS_PER_PLAN = 14  # longer horizons are planned in parts, as planning grows faster than the steps
 ABSENT = -1.0
 
 Predictor = Callable[[DataFrame], DataFrame]
@@ -102,6 +104,8 @@ def forecast(history: DataFrame, predict: Predictor, settings: D.ForecastSetting
             *made, f"predicted_units as made_{step}",
         )
         made.append(f"made_{step}")
+        if step % STEPS_PER_PLAN == 0 and step < settings.horizon_days:
+            state = cut_lineage(state)
     rows = ", ".join(
         f"struct('{last + timedelta(days=i)}' as forecast_date, {i} as horizon, made_{i} as predicted_units)"
         for i in range(1, settings.horizon_days + 1)
@@ -123,7 +127,7 @@ def save_run(spark: SparkSession, root: str, model: PipelineModel, metadata: dic
 def latest_run(spark: SparkSession, root: str) -> dict[str, str]:
     """Metadata of the run trained last, by its time and not by its id."""
     runs = spark.read.json(f"{root}/runs")
-    newest = runs.agg(F.max_by(F.struct(*runs.columns), F.col("trained_at")).alias("r")).first()["r"]
+    newest = runs.agg(F.max_by(F.struct(*runs.columns), F.to_timestamp("trained_at")).alias("r")).first()["r"]
     return newest.asDict()
 
 
@@ -132,4 +136,4 @@ def load_model(root: str, run_id: str) -> PipelineModel:
 
 
 def run_stamp() -> str:
-    return datetime.now().astimezone().isoformat()
+    return datetime.now(timezone.utc).isoformat()

@@ -15,7 +15,8 @@ from tidewater.session import cut_lineage
 
 def transition_audit(history: DataFrame, bound: int = skew.GROUP_BOUND) -> DataFrame:
     """Each recorded change as ok, illegal_transition, discontinuous, or bad_start (first of its order)."""
-    chained = skew.previous_value(history, ["order_id"], ["changed_at", "to_status"], "to_status", "before", bound)
+    order = ["changed_at", "to_status", "from_status"]
+    chained = skew.previous_value(history, ["order_id"], order, "to_status", "before", bound)
     finding = (
         f"case when from_status is null and before is null and to_status = 'CREATED' then 'ok'"
         f" when from_status is null or before is null then 'bad_start'"
@@ -30,6 +31,8 @@ def replay_states(requests: DataFrame, bound: int = skew.GROUP_BOUND) -> DataFra
 
     A request applies when the pair is allowed, a node is named where one is needed, and the version it
     expects is the current one; applying raises the version. Adds status_before, version_before, verdict.
+    Requests of one `seq` follow each other by (to_status, expected_version, node_id), nulls first; of equal
+    requests the first is judged first, whatever the number of rows.
     """
     cold, hot = skew.split_by_size(requests, ["order_id"], bound)
     result = _replay_cold(cold)
@@ -60,43 +63,43 @@ def _replay_hot(requests: DataFrame) -> DataFrame:
 
     The state graph has no cycle, so an order changes state fewer times than there are states. Each round
     finds the next request that applies with one aggregate; the states passed, a handful per order, then
-    tell the fate of every request.
+    tell the fate of every request. Equal requests are one row with a count: at most the first applies.
     """
-    requests = requests.select("order_id", "seq", "to_status", "expected_version", "node_id")
+    row = F.struct("seq", "to_status", "expected_version", "node_id")
+    counted = requests.groupBy("order_id", row.alias("r")).agg(F.count("*").alias("copies"))
+    kind = requests.select(row.alias("r")).schema["r"].dataType.simpleString()
     state = requests.select("order_id").distinct().selectExpr(
-        "order_id", "'CREATED' as status", "1L as version", "cast(-9223372036854775808 as bigint) as since"
+        "order_id", "'CREATED' as status", "1L as version", f"cast(null as {kind}) as since"
     )
     passed = [cut_lineage(state)]
     applies = F.expr(rules.verdict_sql("status", "version", "r")) == "applied"
     for _ in C.NEXT_STATES:
-        now = passed[-1]
         step = (
-            requests.select("order_id", F.struct("seq", "to_status", "expected_version", "node_id").alias("r"))
-            .join(now, "order_id")
-            .where((F.col("r.seq") > F.col("since")) & applies)
+            counted.join(passed[-1], "order_id")
+            .where((F.col("since").isNull() | (F.col("r") > F.col("since"))) & applies)
             .groupBy("order_id", "version")
-            .agg(F.min_by(F.struct("r.to_status", "r.seq"), F.col("r.seq")).alias("n"))
-            .select("order_id", F.col("n.to_status").alias("status"), (F.col("version") + 1).alias("version"),
-                    F.col("n.seq").alias("since"))
+            .agg(F.min("r").alias("since"))
+            .select("order_id", F.col("since.to_status").alias("status"), (F.col("version") + 1).alias("version"), "since")
         )
         step = cut_lineage(step)
         if step.isEmpty():
             break
         passed.append(step)
     timeline = reduce(DataFrame.unionByName, passed).groupBy("order_id").agg(
-        F.array_sort(F.collect_list(F.struct("since", "status", "version"))).alias("timeline")
+        F.array_sort(F.collect_list(F.struct("version", "status", "since"))).alias("timeline")
     )
-    current = F.expr("element_at(filter(timeline, t -> t.since < seq), -1)")
-    return (
-        requests.join(timeline, "order_id")
-        .withColumn("t", current)
-        .withColumn("r", F.struct("to_status", "expected_version", "node_id"))
-        .select(
-            "order_id", "seq", "to_status", "expected_version", "node_id",
-            F.col("t.status").alias("status_before"), F.col("t.version").alias("version_before"),
-            F.expr(rules.verdict_sql("t.status", "t.version", "r")).alias("verdict"),
-        )
+    judged = (
+        counted.join(timeline, "order_id")
+        .withColumn("t", F.expr("element_at(filter(timeline, t -> t.since is null or t.since < r), -1)"))
+        .withColumn("verdict", F.expr(rules.verdict_sql("t.status", "t.version", "r")))
+        .withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    )
+    moved = (F.col("copy") > 1) & (F.col("verdict") == "applied")
+    seen = judged.select(
+        "order_id", "r.*", F.when(moved, F.col("r.to_status")).otherwise(F.col("t.status")).alias("status_before"),
+        (F.col("t.version") + moved.cast("bigint")).alias("version_before"), "r",
     )
+    return seen.withColumn("verdict", F.expr(rules.verdict_sql("status_before", "version_before", "r"))).drop("r")
 
 
 def request_hash(columns: list[str]) -> Column:
@@ -194,7 +197,7 @@ def cancelled_while_running(sagas: DataFrame, cancels: DataFrame, reservations:
         .join(held, "order_id", "left")
         .select(
             "saga_id", "order_id", F.lit("FAILED").alias("status"), F.lit("DONE").alias("current_step"),
-            F.lit("order cancelled while saga was running").alias("last_error"),
+            F.lit("cancelled by the customer before the workflow ended").alias("last_error"),
             F.coalesce("n", F.lit(0)).cast("bigint").alias("released"),
         )
     )

@@ -81,26 +81,24 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], col
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float],
-                    buckets: int = 4096) -> DataFrame:
-    """Interpolated quantiles per key, exact for any group size.
+                    segments: int | None = None) -> DataFrame:
+    """Interpolated quantiles per key, exact for any group size and any spread of values.
 
-    Equal values are counted before the shuffle. A histogram of fixed width finds the bucket of each
-    wanted rank, and only the distinct values inside those buckets are ranked.
+    Equal values are counted before the shuffle. The distinct values are cut into ordered segments by a range
+    shuffle; the segments' counts tell which of them hold the wanted ranks, and only these are ranked.
     """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    spans = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    width = (F.col("hi") - F.col("lo")) / buckets
-    bucket = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("lo")) / F.nullif(width, F.lit(0.0))).cast("int"))
-    )
-    placed = _join(counts, spans, keys).withColumn("b", bucket)
+    known = df.where(F.col(value).isNotNull()).withColumn("v", F.col(value).cast("double"))
+    whole = not keys
+    if whole:  # all rows as one group, by a column of the data
+        keys, known = ["_all"], known.withColumn("_all", F.pmod(F.hash("v"), F.lit(1)))
+    counts = known.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = in_segments(counts, keys, ["v"], segments).withColumnRenamed("_seg", "b")
     upto = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     histogram = (
-        placed.groupBy(*keys, "b").agg(F.sum("n").alias("bn"), F.first("total").alias("total"))
+        placed.groupBy(*keys, "b").agg(F.sum("n").alias("bn"))
         .withColumn("b_end", F.sum("bn").over(upto))
+        .withColumn("total", F.sum("bn").over(Window.partitionBy(*keys)))
     )
     wanted = F.array(*[
         F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("total") - 1)).alias("at"))
@@ -129,13 +127,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
     def share(name: str) -> Column:
         return F.max(F.when(F.col("w.name") == name, F.col("w.at") - F.floor("w.at")))
 
-    return chosen.groupBy(*keys).agg(
+    out = chosen.groupBy(*keys).agg(
         *[(side(n, "low") + (side(n, "high") - side(n, "low")) * share(n)).alias(n) for n in probabilities]
     )
-
-
-def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Join on keys, or attach the single row of `right` when there are none."""
-    if keys:
-        return left.join(right, keys)
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return out.drop("_all") if whole else out

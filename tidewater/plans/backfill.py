@@ -28,58 +28,75 @@ def reprocess_silver(spark: SparkSession, lake: L.Lake, event_type: str, first:
     """Bronze days to silver again. Decisions go to a side table and are counted against the distinct
     events before any output is made; without `apply` the live tables stay untouched."""
     days = check_range(first, last)
+    run = uuid.uuid4().hex
+    targets = {refine.ON_TIME: lake.silver, refine.LATE: lake.late, refine.REJECTED: lake.rejects}
+    old = {route: day_entries(spark, target(event_type), days) for route, target in targets.items()}
     bronze = L.bronze_batch(spark, lake, event_type, first, last)
-    side = lake.staging(f"silver/{event_type}")
-    refine.distinct_events(refine.candidates(bronze, event_type)).write.mode("overwrite").parquet(side)
+    side = lake.staging(f"silver/{event_type}/run={run}")
+    refine.distinct_events(refine.candidates(bronze, event_type)).write.parquet(side)
     decided = spark.read.parquet(side)
     ids = bronze.groupBy("event_id").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("n")).first()["n"]
     found = {r["route"]: r["n"] for r in decided.groupBy("route").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = {"bronze_distinct": ids, **{r: found.get(r, 0) for r in (refine.ON_TIME, refine.LATE, refine.REJECTED)}}
     if sum(found.values()) != ids:
         raise RowCountMismatch(f"{event_type} {first}..{last}: {counts}")
-    targets = {refine.ON_TIME: lake.silver, refine.LATE: lake.late, refine.REJECTED: lake.rejects}
     for route, target in targets.items():
         rows = refine.destination(decided, route).drop("event_type")
-        staged = lake.staging(f"silver_{route}/{event_type}")
-        rows.write.mode("overwrite").partitionBy("date").parquet(staged)
+        staged = lake.staging(f"silver_{route}/{event_type}/run={run}")
+        rows.write.partitionBy("date").parquet(staged)
         if apply:
-            swap_days(spark, spark.read.schema(rows.schema).parquet(staged), target(event_type), days)
+            swap_days(spark, spark.read.schema(rows.schema).parquet(staged), target(event_type), days, old[route])
     return counts
 
 
 def reprocess_gold(spark: SparkSession, lake: L.Lake, dataset: str, first: date, last: date,
                    *, apply: bool = False) -> int:
-    """A gold dataset from silver days again, by the same functions the stream uses."""
+    """A gold dataset of some days from silver again, by the same functions the stream uses.
+
+    Joined datasets read their inputs from as many days before as the join reaches back, and a day after, as a
+    window's day is that of its start; only rows of the wanted days are kept.
+    """
     days = check_range(first, last)
-    df = aggregates.build(dataset, lambda t: L.silver_batch(spark, lake, t, first, last))
-    side = lake.staging(f"gold/{dataset}")
-    df.write.mode("overwrite").partitionBy("date").parquet(side)
+    old = day_entries(spark, lake.gold(dataset), days)
+    back = aggregates.DATASETS[dataset].lookback_days if dataset in aggregates.DATASETS else 0
+    df = aggregates.build(
+        dataset, lambda t: L.silver_batch(spark, lake, t, first - timedelta(days=back), last + timedelta(days=1))
+    ).where(F.col("date").between(F.lit(first), F.lit(last)))
+    side = lake.staging(f"gold/{dataset}/run={uuid.uuid4().hex}")
+    df.write.partitionBy("date").parquet(side)
     rebuilt = spark.read.schema(df.schema).parquet(side)
     rows = rebuilt.count()
     if apply:
-        swap_days(spark, rebuilt, lake.gold(dataset), days)
+        swap_days(spark, rebuilt, lake.gold(dataset), days, old)
     return rows
 
 
-def swap_days(spark: SparkSession, rebuilt: DataFrame, live: str, days: list[date]) -> None:
-    """Replace the given days of a live table.
+def day_entries(spark: SparkSession, live: str, days: list[date]) -> list[str]:
+    """What lies in the folders of these days now: names only, one per batch written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    found = []
+    for day in days:
+        folder = hadoop.Path(f"{live}/date={day}")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(folder):
+            found += [entry.getPath().toString() for entry in fs.listStatus(folder)]
+    return found
+
+
+def swap_days(spark: SparkSession, rebuilt: DataFrame, live: str, days: list[date], old: list[str]) -> None:
+    """Replace the given days of a live table. `old` names what the rebuilt rows stand for (`day_entries`).
 
-    The new files are written first and the old ones of these days removed after, so a crash between
-    the two leaves rows twice and never none; running it again repairs that. Days without rebuilt rows
-    end up empty.
+    The new files are written first and the old ones removed after, so a crash between the two leaves rows twice
+    and never none; running it again repairs that. Only what is in `old`, listed before the source was read, is
+    removed: a batch that a running stream adds meanwhile stays. Days without rebuilt rows end up empty.
     """
-    label = f"backfill-{uuid.uuid4().hex[:8]}"
+    label = f"{L.BACKFILL}{uuid.uuid4().hex[:8]}"
     wanted = F.col("date").isin(days)
     write_day_partitions(rebuilt.where(wanted), live, label)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for day in days:
-        folder = hadoop.Path(f"{live}/date={day}")
-        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            continue
-        for entry in fs.listStatus(folder):
-            if entry.getPath().getName() != f"batch={label}":
-                fs.delete(entry.getPath(), True)
+    for name in old:
+        entry = hadoop.Path(name)
+        entry.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(entry, True)
 
 
 def quality_report(spark: SparkSession, lake: L.Lake, day: date, now=None) -> tuple[bool, DataFrame]:

@@ -230,22 +230,38 @@ def _trees(spark, root):
     return rows, split, span[1], featured, M.fit_trees(D.training_rows(featured, split), SETTINGS)
 
 
-@query("gbt_forecast")
+@query("gbt_forecast", _sql(
+    """SELECT sku, location_id, 14 AS forecast_days, 14 AS sound_days, (last + 1)::DATE::VARCHAR AS first_day,
+      (last + 14)::DATE::VARCHAR AS last_day, 'gradient_boosted_trees' AS model_name, cutoff::VARCHAR AS training_cutoff
+    FROM (SELECT DISTINCT sku, location_id FROM history), bounds""", "bounds"))
 def gbt_forecast(spark, root):
-    """Boosted trees on the whole training period, then the recursive forecast."""
+    """Boosted trees on the training period, then the recursive forecast: per series how many days were forecast, and
+    how many of them with a finite figure not below zero."""
     rows, split, last, _, model = _trees(spark, root)
-    return _project(rows, lambda df: M.predict_trees(model, df, SETTINGS), M.CHALLENGER, split, last).select(
-        "forecast_date", "horizon", "sku", "location_id", "predicted_units", "model_name", "training_cutoff"
+    projected = _project(rows, lambda df: M.predict_trees(model, df, SETTINGS), M.CHALLENGER, split, last)
+    sound = F.col("predicted_units").between(0, 1e300)
+    return projected.groupBy("sku", "location_id", "model_name", "training_cutoff").agg(
+        F.count_distinct("forecast_date").alias("forecast_days"), F.count_if(sound).alias("sound_days"),
+        F.min("forecast_date").alias("first_day"), F.max("forecast_date").alias("last_day"),
     )
 
 
-@query("model_evaluation")
+@query("model_evaluation", _sql(
+    """SELECT model_name, level, member, n, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(wape, 4) AS wape,
+      true AS sound FROM measured WHERE model_name = 'seasonal_naive'
+    UNION ALL SELECT 'gradient_boosted_trees', level, member, n, NULL, NULL, NULL, true
+    FROM measured WHERE model_name = 'seasonal_naive'""", "measured"))
 def model_evaluation(spark, root):
-    """Baseline and boosted trees on the same validation days."""
+    """Baseline and boosted trees on the same validation days; of the trees, whose figures depend on the library, only
+    whether errors are finite and no mean exceeds its root mean square."""
     _, split, _, featured, model = _trees(spark, root)
     valid = D.validation_rows(featured, split)
     columns = ["model_name", "date", "sku", "location_id", "units_demanded", "predicted_units"]
     both = D.seasonal_naive(valid).select(*columns).unionByName(
         M.predict_trees(model, valid, SETTINGS).select(*columns)
     )
-    return D.evaluation(both, split.valid_start)
+    found = D.evaluation(both, split.valid_start)
+    exact = F.col("model_name") == D.BASELINE
+    sound = F.col("mae").between(0, 1e300) & (F.col("mae") <= F.col("rmse") + 1e-9)
+    return found.select("model_name", "level", "member", "n", *[
+        F.when(exact, F.round(m, 4)).alias(m) for m in ("mae", "rmse", "wape")], sound.alias("sound"))

@@ -68,5 +68,5 @@ def run_forecast(history: DataFrame, settings: D.ForecastSettings, output: str |
 def latest_forecast(spark, output: str) -> DataFrame:
     """The forecast of the run generated last."""
     runs = spark.read.parquet(f"{output}/forecast")
-    newest = runs.agg(F.max_by("run_id", "forecast_generated_at").alias("run_id"))
+    newest = runs.agg(F.max_by("run_id", F.to_timestamp("forecast_generated_at")).alias("run_id"))
     return runs.join(newest, "run_id", "left_semi")

@@ -319,7 +319,7 @@ def incomplete_sagas(spark, root):
 
 @query("cancelled_while_running", statement(
     """SELECT saga_id, order_id, 'FAILED' AS status, 'DONE' AS current_step,
-      'order cancelled while saga was running' AS last_error,
+      'cancelled by the customer before the workflow ended' AS last_error,
       CASE WHEN k % 10 <> 0 AND k % 6 > 1 THEN 1 ELSE 0 END::BIGINT AS released
     FROM sagas WHERE status = 'RUNNING' AND k % 12 = 4""", "steps", sagas=_SAGAS))
 def cancelled_while_running(spark, root):

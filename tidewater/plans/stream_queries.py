@@ -92,9 +92,3 @@ def stream_routed(spark, root):
     ).foreachBatch(sink).start().awaitTermination()
     schema = StructType.fromDDL("route string, event_id string, date date")
     return reduce(DataFrame.unionByName, [L.read_or_empty(spark, f"{home}/{r}", schema) for r in routes])
-
-
-@query("partition_inventory")
-def partition_inventory(spark, root):
-    """Files and bytes per top-level entry of the data folder."""
-    return L.partition_inventory(spark, root)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,21 +42,28 @@ def build_session(
     return builder.getOrCreate()
 
 
+ADOPTED = ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+           "spark.sql.adaptive.forceOptimizeSkewedJoin")
+
+
 def adopt(spark: SparkSession) -> SparkSession:
-    """Set on a session made elsewhere the one setting results depend on: UTC."""
-    if spark.conf.get("spark.sql.session.timeZone", "") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Set on a session made elsewhere what results (UTC) and hot keys (splitting of skewed joins) rely on."""
+    for key in ADOPTED:
+        if spark.conf.get(key, None) != SETTINGS[key]:
+            spark.conf.set(key, SETTINGS[key])
     return spark
 
 
 def _shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach; a local one is made only where none is configured."""
+    """Folder every executor can reach. One is made only where none is set and all work is in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = tempfile.mkdtemp(prefix="spark-tidewater-")
     spark.sparkContext.setCheckpointDir(root)
     return root

@@ -51,6 +51,10 @@ class Lake:
     def checkpoint(self, name: str) -> str:
         return f"{self.root}/checkpoints/{name}"
 
+    @property
+    def metrics(self) -> str:
+        return f"{self.root}/batch-metrics"
+
     @property
     def reports(self) -> str:
         return f"{self.root}/dq-reports"
@@ -104,20 +108,29 @@ def _with_batch(schema: StructType) -> StructType:
     return StructType([*schema.fields]).add("batch", "string")
 
 
-def _stream(spark: SparkSession, path: str, schema: StructType, event_type: str, files_per_trigger: int | None):
+BACKFILL = "backfill-"
+
+
+def _stream(spark: SparkSession, path: str, schema: StructType, event_type: str, files_per_trigger: int | None,
+            backfilled: bool = True) -> DataFrame:
     ensure_table(spark, path, schema)
     reader = spark.readStream.schema(_with_batch(schema))
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path).drop("batch").withColumn("event_type", F.lit(event_type))
+    rows = reader.parquet(path)
+    if not backfilled:
+        rows = rows.where(~F.coalesce(F.col("batch").startswith(BACKFILL), F.lit(False)))
+    return rows.drop("batch").withColumn("event_type", F.lit(event_type))
 
 
 def bronze_stream(spark: SparkSession, lake: Lake, event_type: str, files_per_trigger: int | None = None) -> DataFrame:
     return _stream(spark, lake.bronze(event_type), C.bronze_type(), event_type, files_per_trigger)
 
 
-def silver_stream(spark: SparkSession, lake: Lake, event_type: str, files_per_trigger: int | None = None) -> DataFrame:
-    return _stream(spark, lake.silver(event_type), C.silver_type(event_type), event_type, files_per_trigger)
+def silver_stream(spark: SparkSession, lake: Lake, event_type: str, files_per_trigger: int | None = None,
+                  backfilled: bool = True) -> DataFrame:
+    """Silver rows of one type; `backfilled=False` leaves out what a backfill swapped in."""
+    return _stream(spark, lake.silver(event_type), C.silver_type(event_type), event_type, files_per_trigger, backfilled)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -27,20 +27,26 @@ def _start(df: DataFrame, name: str, checkpoint: str, sink, once: bool, seconds:
 
 
 def start_bronze(raw: DataFrame, lake: L.Lake, *, once: bool = False, seconds: int = 5) -> StreamingQuery:
-    """Bus records of all topics to bronze, unusable ones to quarantine."""
+    """Bus records of all topics to bronze, unusable ones to quarantine.
+
+    The arrival time is taken in the streaming plan, where it is fixed with the batch: a batch repeated after
+    midnight keeps its dates.
+    """
+    arrived = F.col("_arrived_at")
 
     def tag(batch: DataFrame) -> DataFrame:
         inspected = intake.inspect_records(batch)
         return inspected.withColumn("fate", F.when(F.col("defect").isNull(), "valid").otherwise("malformed"))
 
     def valid(tagged: DataFrame, label: str) -> None:
-        sinks.write_day_partitions(intake.bronze_rows(tagged), lake.bronze_all, label, "event_type")
+        sinks.write_day_partitions(intake.bronze_rows(tagged, arrived), lake.bronze_all, label, "event_type")
 
     def malformed(tagged: DataFrame, label: str) -> None:
-        sinks.write_day_partitions(intake.bronze_rejects(tagged), lake.bronze_rejects, label)
+        sinks.write_day_partitions(intake.bronze_rejects(tagged, arrived), lake.bronze_rejects, label)
 
-    sink = sinks.routed_sink("bronze", "all_topics", tag, "fate", {"valid": valid, "malformed": malformed})
-    return _start(raw, "bronze", lake.checkpoint("bronze"), sink, once, seconds)
+    sink = sinks.routed_sink("bronze", "all_topics", tag, "fate", {"valid": valid, "malformed": malformed},
+                             lake.metrics)
+    return _start(raw.withColumn("_arrived_at", F.current_timestamp()), "bronze", lake.checkpoint("bronze"), sink, once, seconds)
 
 
 def silver_sink(lake: L.Lake, event_type: str):
@@ -51,7 +57,8 @@ def silver_sink(lake: L.Lake, event_type: str):
         sinks.write_day_partitions(rows, paths[route](event_type), label)
 
     return sinks.routed_sink(
-        "silver", event_type, lambda batch: batch, "route", {route: partial(emit, route) for route in paths}
+        "silver", event_type, lambda batch: batch, "route", {route: partial(emit, route) for route in paths},
+        lake.metrics,
     )
 
 
@@ -68,11 +75,12 @@ def start_gold(spark: SparkSession, lake: L.Lake, dataset: str, *, once: bool =
     """One aggregate over silver.
 
     Rows appear when their window has closed. The joined datasets close a window only after the join's
-    time bound of seven days has passed it; earlier figures come from `plans/backfill.py`.
+    time bound of seven days has passed it; earlier figures come from `plans/backfill.py`. Files that a backfill
+    of silver swapped in are not counted again: the same backfill of gold accounts for them.
     """
-    df = aggregates.build(dataset, lambda t: L.silver_stream(spark, lake, t))
+    df = aggregates.build(dataset, lambda t: L.silver_stream(spark, lake, t, backfilled=False))
     return _start(df, f"gold-{dataset}", lake.checkpoint(f"gold/{dataset}"),
-                  sinks.plain_sink("gold", dataset, lake.gold(dataset)), once, seconds)
+                  sinks.plain_sink("gold", dataset, lake.gold(dataset), lake.metrics), once, seconds)
 
 
 def start_all_silver(spark: SparkSession, lake: L.Lake, **options) -> list[StreamingQuery]:

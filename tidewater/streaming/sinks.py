@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 import time
-from collections import deque
 from collections.abc import Callable
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class BatchMetric:
-    layer: str
-    dataset: str
-    batch_id: int
-    rows: dict[str, int]
-    seconds: float
+METRIC_ROW = "batch_id bigint, outcome string, rows bigint, seconds double"
 
 
-METRICS: deque[BatchMetric] = deque(maxlen=10_000)
+def record(batch: DataFrame, path: str, layer: str, dataset: str, batch_id: int, counts: dict[str, int],
+           seconds: float) -> None:
+    """One row per outcome of a batch, in that batch's own folder: a repeated batch replaces its rows."""
+    rows = [(batch_id, outcome, n, seconds) for outcome, n in counts.items()]
+    if rows:
+        frame = batch.sparkSession.createDataFrame(rows, METRIC_ROW).coalesce(1)
+        frame = frame.withColumn("layer", F.lit(layer)).withColumn("dataset", F.lit(dataset))
+        write_batch(frame, path, batch_label(batch, batch_id), "layer", "dataset")
 
 
 def batch_label(df: DataFrame, batch_id: int) -> str:
@@ -48,10 +47,12 @@ def write_batch(df: DataFrame, path: str, label: str, *partitions: str) -> None:
 
 
 def routed_sink(layer: str, dataset: str, tag: Callable[[DataFrame], DataFrame], column: str,
-                outputs: dict[str, Callable[[DataFrame, str], None]]) -> Callable[[DataFrame, int], None]:
+                outputs: dict[str, Callable[[DataFrame, str], None]],
+                metrics: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: `tag` is computed once, each row goes to the output named by `column`.
 
-    The tagged batch is kept while its outputs are written, and outputs without rows are skipped.
+    The tagged batch is kept while its outputs are written, and outputs without rows are skipped. Counts and
+    seconds of each batch go to the table `metrics`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -64,12 +65,13 @@ def routed_sink(layer: str, dataset: str, tag: Callable[[DataFrame], DataFrame],
                     emit(tagged, label)
         finally:
             tagged.unpersist()
-        METRICS.append(BatchMetric(layer, dataset, batch_id, counts, time.monotonic() - started))
+        if metrics:
+            record(batch, metrics, layer, dataset, batch_id, counts, time.monotonic() - started)
 
     return write
 
 
-def plain_sink(layer: str, dataset: str, path: str) -> Callable[[DataFrame, int], None]:
+def plain_sink(layer: str, dataset: str, path: str, metrics: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for aggregates: one dated output."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -81,14 +83,12 @@ def plain_sink(layer: str, dataset: str, path: str) -> Callable[[DataFrame, int]
                 write_day_partitions(kept, path, label)
         finally:
             kept.unpersist()
-        METRICS.append(BatchMetric(layer, dataset, batch_id, {"output": rows} if rows else {}, time.monotonic() - started))
+        if metrics and rows:
+            record(batch, metrics, layer, dataset, batch_id, {"output": rows}, time.monotonic() - started)
 
     return write
 
 
-def metrics_frame(spark) -> DataFrame:
-    """Rows by outcome and seconds per batch, of this driver's batches."""
-    rows = [(m.layer, m.dataset, m.batch_id, o, n, m.seconds) for m in METRICS for o, n in m.rows.items()]
-    return spark.createDataFrame(
-        rows, "layer string, dataset string, batch_id bigint, outcome string, rows bigint, seconds double"
-    )
+def metrics_frame(spark: SparkSession, path: str) -> DataFrame:
+    """Rows by outcome and seconds of every batch of every query that wrote to this metrics table."""
+    return spark.read.schema(f"{METRIC_ROW}, layer string, dataset string, batch string").parquet(path)

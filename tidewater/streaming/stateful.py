@@ -46,7 +46,7 @@ def reserve_stream(requests: DataFrame, stock: DataFrame) -> DataFrame:
     """Streaming form of first-come reservation over (request_id, sku, node_id, qty, requested_at).
 
     `stock` is a batch table with the opening quantity per (sku, node_id); a key it does not know is
-    answered with unknown_stock.
+    answered with unknown_stock, a quantity below 1 with invalid_qty, and an absent one with rejected, as in batch.
     """
 
     def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,7 +57,9 @@ def reserve_stream(requests: DataFrame, stock: DataFrame) -> DataFrame:
         for qty in rows["qty"]:
             if left is None:
                 outcomes.append("unknown_stock")
-            elif qty <= left:
+            elif not pd.isna(qty) and qty <= 0:
+                outcomes.append("invalid_qty")
+            elif not pd.isna(qty) and qty <= left:
                 left -= int(qty)
                 outcomes.append("reserved")
             else:
