@@ -119,6 +119,13 @@ def test_without_dropout_pieces_are_the_librarys(model):
             assert np.frombuffer(coder.encode(text), "<u4").tolist() == model.encode(text)
 
 
+@pytest.mark.parametrize("dropout", [0.0, 0.2, 0.6])
+def test_both_agendas_make_the_same_cuts(dropout):
+    coder = pieces.Pieces(vocabulary("piece_bpe_32k.model"), dropout)
+    for n, word in enumerate({w for _, t in texts()[:60] for w in coder.words(t)} | {"▁▁▁aaaaaaaaaaaa", "é漢", "▁"}):
+        assert coder._short(word, n * 7919) == coder._long(word, n * 7919)
+
+
 def test_dropout_is_keyed_varied_and_lossless(awkward, nothing):
     path = vocabulary("piece_bpe_32k.model")
     encoded = {seed: {r["doc_id"]: bytes(r["ids"]) for r in pieces.encode(awkward, path, seed=seed).collect()} for seed in (1, 2)}

@@ -88,6 +88,7 @@ class Automaton:
         rows = [(s, c, t) for s, out in enumerate(follow) for c, t in out.items()]
         self.states = len(follow)
         self.edges = np.array(rows, np.int32).reshape(-1, 3)
+        times[0] = 0
         self.weight = np.log1p(np.array(times, np.float32))
 
 
@@ -180,11 +181,14 @@ class Parser:
             after = table[state[:n] * SYMBOLS + symbol]
             stuck = np.flatnonzero(after == 0)
             if len(stuck):
-                total[stuck] += weight[state[stuck]]
-                count[stuck] += 1
-                after[stuck] = table[symbol[stuck]]
+                # The phrase so far ends; a symbol that the language lacks is a phrase of its own.
+                ended = state[stuck]
+                again = table[symbol[stuck]]
+                total[stuck] += weight[ended]
+                count[stuck] += (ended != 0).astype(float) + (again == 0)
+                after[stuck] = again
             state[:n] = after
-        return count + 1, total + weight[state]
+        return count + (state != 0), total + weight[state]
 
 
 def learn(docs: DataFrame, left_out=None) -> dict:
