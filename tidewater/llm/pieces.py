@@ -42,33 +42,31 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         special = {i for i in range(len(self.pieces)) if model.is_byte(i) or model.is_control(i) or model.is_unknown(i)}
-        self.id = {p: i for i, p in enumerate(self.pieces) if i not in special}
-        order = {s: n for n, s in enumerate(sorted({-model.get_score(i) for i in self.id.values()}))}
-        self.rank = {p: order[-model.get_score(i)] for p, i in self.id.items()}
-        self.byte_id = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
+        order = {s: n for n, s in enumerate(sorted({-model.get_score(i) for i in ids.values()}))}
+        self.rank = {p: order[-model.get_score(i)] for p, i in ids.items()}
+        self.raw = {p: i.to_bytes(4, "little") for p, i in ids.items()}
+        byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.raw_byte = [i.to_bytes(4, "little") for i in byte_ids]
         self.bytes = [p.replace(GAP, " ").encode() for p in self.pieces]
-        for b, i in enumerate(self.byte_id):
+        for b, i in enumerate(byte_ids):
             self.bytes[i] = bytes([b])
         self.limit = int(dropout * (1 << 32))
         self.seed = seed
         self.young: dict[tuple[int, str], bytes] = {}
         self.old: dict[tuple[int, str], bytes] = {}
 
-    def word_ids(self, word: str, variant: int) -> list[int]:
+    def word_ids(self, word: str, variant: int) -> bytes:
         """Ids of one word by agenda processing; `word` holds GAP for its spaces."""
         import xxhash
 
         key = xxhash.xxh64_intdigest(word, self.seed + variant) if self.limit else 0
         cuts = (self._short if len(word) <= SHORT_WORD else self._long)(word, key)
-        out, ids = [], self.id
-        for a, b in zip(cuts, cuts[1:]):
-            piece = word[a:b]
-            found = ids.get(piece)
-            if found is not None:
-                out.append(found)
-            else:
-                out.extend([self.byte_id[x] for x in piece.encode()])
-        return out
+        raw, out = self.raw, []
+        for piece in [word[a:b] for a, b in zip(cuts, cuts[1:])]:
+            ids = raw.get(piece)
+            out.append(ids if ids is not None else b"".join([self.raw_byte[x] for x in piece.encode()]))
+        return b"".join(out)
 
     def _short(self, word: str, key: int) -> list[int]:
         """Cuts of a short word: the agenda is the list of its neighbouring pairs' ranks, NEVER where there is none."""
@@ -145,7 +143,7 @@ class Pieces:
             if ids is None:
                 ids = old.get(key)
                 if ids is None:
-                    ids = np.asarray(self._ids(word, variant), "<u4").tobytes()
+                    ids = self._ids(word, variant)
                 young[key] = ids
             out.append(ids)
         if len(young) > CACHE_WORDS:
@@ -155,14 +153,12 @@ class Pieces:
     def _literal(self, text: str) -> list[str]:
         return self.words(text.replace(GAP, "\x00" + GAP))
 
-    def _ids(self, word: str, variant: int) -> list[int]:
-        if "\x00" + GAP not in word:
-            return self.word_ids(word, variant)
-        parts = word.split("\x00" + GAP)
-        out = self.word_ids(parts[0], variant) if parts[0] else []
-        for part in parts[1:]:
-            out += [self.byte_id[b] for b in GAP.encode()] + (self.word_ids(part, variant) if part else [])
-        return out
+    def _ids(self, word: str, variant: int) -> bytes:
+        first, *rest = word.split("\x00" + GAP)
+        out = [self.word_ids(first, variant)]
+        for part in rest:
+            out += [self.raw_byte[b] for b in GAP.encode()] + [self.word_ids(part, variant)]
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """The text of encoded ids; byte pieces give their bytes, a gap a space."""
