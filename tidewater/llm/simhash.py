@@ -92,9 +92,10 @@ def links(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
     found = keep(star.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct(), "simhash-star")
     crowded = keep(listed.join(reps.where("n > 2").select("key"), "key", "left_semi"), "simhash-crowded")
     for _ in range(2):
-        members, rest = _by_label(crowded, _labels(found))
-        main = members.where("label = main").select("key", F.col("fp").alias("b"))
-        near_main = rest.join(main, (rest["key"] == main["key"]) & _near("a", "b", most), "left_semi")
+        marked, rest = _by_label(crowded, _labels(found))
+        main = marked.select(F.col("key").alias("b_key"), F.col("fp").alias("b"), F.col("label").alias("b_label"))
+        near_main = rest.join(main, (F.col("key") == F.col("b_key")) & (F.col("main") == F.col("b_label"))
+                              & _near("a", "b", most), "left_semi")
         found = keep(found.unionByName(near_main.select("a", F.col("main").alias("b"))).distinct(), "simhash-links")
     other = rest.select("key", F.col("a").alias("b"), F.col("label").alias("b_label"))
     between = rest.join(other, "key").where("a < b and label <> b_label").where(_near("a", "b", most))
@@ -112,13 +113,15 @@ def _labels(found: DataFrame) -> DataFrame:
 
 
 def _by_label(crowded: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of buckets with several labels, (key, fp, label, main), and those without the bucket's main label."""
-    marked = crowded.join(labels, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
+    """Members of buckets with their label, (key, fp, label), and those without the bucket's most frequent label,
+    (key, a, label, main)."""
+    marked = keep(crowded.join(labels, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label")),
+                  "simhash-marked")
     sizes = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
-                                     F.count("*").alias("parts")).where("parts > 1")
-    members = keep(marked.join(mixed.select("key", "main"), "key"), "simhash-mixed")
-    return members, members.where("label <> main").select("key", F.col("fp").alias("a"), "label", "main")
+                                     F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    rest = marked.join(mixed, "key").where("label <> main").select("key", F.col("fp").alias("a"), "label", "main")
+    return marked, keep(rest, "simhash-rest")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
