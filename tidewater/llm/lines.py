@@ -14,7 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import ODD, Powers, Spans, joined, keep, prepare, read, slices, spread_bits
@@ -22,6 +22,7 @@ from tidewater.llm.common import ODD, Powers, Spans, joined, keep, prepare, read
 EDITS = 2
 SHORTEST = 32
 FILTER_BITS = 24
+BAG_CELLS = 14
 SEED = 42
 
 
@@ -90,6 +91,31 @@ def lines_of(texts: pa.Array, shortest: int) -> Lines:
     return Lines(data, starts[long], ends[long], first[long], chars[long], char_at, hashes)
 
 
+def bags(found: Lines) -> np.ndarray:
+    """Per line how often code points of each of 14 classes occur, modulo 16: 4 bits each, above a free lowest bit.
+
+    An edit changes at most two of the counts by one.
+    """
+    lead = np.arange(256)
+    kind = (lead * 5 + lead // 16) % BAG_CELLS
+    total = int(found.chars.sum())
+    line = np.repeat(np.arange(len(found.chars)), found.chars)
+    within = np.arange(total) - np.repeat(np.cumsum(found.chars) - found.chars, found.chars)
+    cell = kind[found.data[found.char_at[np.repeat(found.first, found.chars) + within]]]
+    counts = np.bincount(line * BAG_CELLS + cell, minlength=len(found.chars) * BAG_CELLS).reshape(-1, BAG_CELLS) & 15
+    return (counts << (4 * np.arange(BAG_CELLS) + 1)).sum(axis=1)
+
+
+def _bags_apart(a: str, b: str) -> Column:
+    """How far two bags differ in all, each cell around its circle of 16."""
+    terms = []
+    for k in range(BAG_CELLS):
+        one, two = (F.shiftright(F.col(c), 4 * k + 1).bitwiseAND(15) for c in (a, b))
+        apart = F.abs(one - two)
+        terms.append(F.least(apart, F.lit(16) - apart))
+    return sum(terms[1:], terms[0])
+
+
 def segment(length: np.ndarray, number: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of one of the edits + 1 even segments of lines of these lengths."""
     parts = edits + 1
@@ -98,18 +124,19 @@ def segment(length: np.ndarray, number: int, edits: int) -> tuple[np.ndarray, np
 
 
 def signatures(texts: pa.Array, edits: int, shortest: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, roles (0 indexed, 1 probing) and line hashes of the long lines of these texts."""
+    """Keys, tags and line hashes of the long lines; a tag is the line's bag with the role (0 indexed, 1 probing)."""
     found = lines_of(texts, shortest)
+    bag = bags(found)
     spans = Spans(found.data, powers)
     edge = np.append(found.char_at, len(found.data))
-    keys, roles, owners = [], [], []
+    keys, tags, owners = [], [], []
 
     def add(role: int, which: np.ndarray, number: int, length: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
         begin = found.first[which] + at
         content = spans.hashes(edge[begin], edge[begin + size])
         label = length.astype(np.uint64) * np.uint64(edits + 1) + np.uint64(number)
         keys.append(spread_bits(content ^ (label * np.uint64(ODD))).view(np.int64))
-        roles.append(np.full(len(which), role, np.int8))
+        tags.append(bag[which] | role)
         owners.append(found.hashes[which])
 
     everyone = np.arange(len(found.hashes))
@@ -127,7 +154,7 @@ def signatures(texts: pa.Array, edits: int, shortest: int, powers: Powers) -> tu
                 place = at + move
                 fits = (place >= 0) & (place + size <= length + less)
                 add(1, which[fits], number, length[fits], place[fits], size[fits])
-    return np.concatenate(keys), np.concatenate(roles), np.concatenate(owners)
+    return np.concatenate(keys), np.concatenate(tags), np.concatenate(owners)
 
 
 def _text_column(docs: DataFrame) -> DataFrame:
@@ -136,16 +163,17 @@ def _text_column(docs: DataFrame) -> DataFrame:
 
 
 def shared_keys(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
-    """Signature rows (key, role, h, rep) of keys that several distinct lines share; rep is the key's smallest line."""
+    """Signature rows (key, tag, h, rep) of keys that several distinct lines share; rep is the key's smallest line."""
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for part in slices(batches, "text"):
             columns = signatures(part.column("text"), edits, shortest, powers)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "role", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "tag", "h"])
 
-    # One exchange serves both the aggregate and the join.
-    dealt = _text_column(docs).mapInArrow(walk, "key long, role byte, h long").repartition("key")
-    reps = dealt.groupBy("key").agg(F.min("h").alias("rep"), F.max("h").alias("top")).where("rep <> top")
+    # One exchange serves both the aggregate and the join: both read all three columns.
+    dealt = _text_column(docs).mapInArrow(walk, "key long, tag long, h long").repartition("key")
+    reps = dealt.groupBy("key").agg(F.min("h").alias("rep"), F.max("h").alias("top"), F.max("tag").alias("tags")) \
+        .where("rep <> top and tags is not null")
     return dealt.join(reps.select("key", "rep"), "key").distinct()
 
 
@@ -182,8 +210,8 @@ def later_of_near(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
     """(h) of every distinct line to which a line of smaller hash is near (at most `edits` edits).
 
     First each line is verified against the smallest line of each key it shares. Only a line that this leaves
-    standing is then held against all smaller lines of its keys, so a group of near lines costs one comparison
-    each, not one per pair.
+    standing is then held against the smaller lines of its keys, so a group of near lines costs one comparison each,
+    not one per pair; lines that share a segment but differ in the rest are told apart by their bags within the join.
     """
     shared = keep(shared_keys(docs, edits, shortest), "line-keys")
     texts = keep(texts_of(docs, shared.select("h").distinct(), shortest), "line-texts")
@@ -199,8 +227,9 @@ def later_of_near(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
 
     first = keep(verified(shared.where("h > rep").select("h", F.col("rep").alias("other")).distinct()), "line-first")
     standing = shared.where("h > rep").join(first, "h", "left_anti")
-    smaller = shared.select("key", F.col("role").alias("other_role"), F.col("h").alias("other"))
-    pairs = standing.join(smaller, "key").where("other < h and other <> rep and other_role <> role")
+    smaller = shared.select("key", F.col("tag").alias("other_tag"), F.col("h").alias("other"))
+    pairs = standing.join(smaller, "key").where("other < h and other <> rep and other_tag & 1 <> tag & 1") \
+        .where(_bags_apart("tag", "other_tag") <= 2 * edits)
     return first.unionByName(verified(pairs.select("h", "other").distinct()))
 
 

@@ -22,7 +22,8 @@ def byte_symbols() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """Ids of units as little-endian bytes; two generations of at most CACHE_UNITS units are remembered.
+    """Ids of units as little-endian bytes; two generations of at most CACHE_UNITS units are remembered, and as many
+    of their letter parts.
 
     A new unit of letters with marks behind it is handed to the library's model directly, as the one or two
     pieces that its pre-tokenizer makes of it; any other unit goes through the whole tokenizer.
@@ -39,6 +40,7 @@ class Encoder(dict):
         self.symbols = byte_symbols()
         self.raw = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.marks: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
@@ -57,7 +59,12 @@ class Encoder(dict):
                     if len(self.marks) > 10_000:
                         self.marks = {"": b""}
                     tail = self.marks[marks] = self._piece(marks)
-                ids = self._piece(stem) + tail
+                head = self.stems.get(stem)
+                if head is None:
+                    if len(self.stems) > CACHE_UNITS:
+                        self.stems = {}
+                    head = self.stems[stem] = self._piece(stem)
+                ids = head + tail
         self[unit] = ids
         return ids
 
