@@ -150,3 +150,12 @@ def top_products(spark, root):
         F.round(F.sum(F.col("qty") * F.col("unit_price")), 4).alias("revenue"), F.sum("qty").alias("qty_sold")
     )
     return sales.orderBy(F.desc("revenue"), "sku").limit(10)
+
+
+@query("top_stockouts", statement(
+    """SELECT 'P' || l_partkey AS sku, count(*) AS stockout_count FROM lineitem JOIN steps s ON l_orderkey = s.k
+    WHERE s.rejected_at IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""", "steps"))
+def top_stockouts(spark, root):
+    """The chart of products most often out of stock: a top-10 report, hence the limit."""
+    counts = R.rejection_reasons(spark, root).groupBy("sku").agg(F.count(F.lit(1)).alias("stockout_count"))
+    return counts.orderBy(F.desc("stockout_count"), "sku").limit(10)
