@@ -247,8 +247,8 @@ def gbt_forecast(spark, root):
 
 
 @query("model_evaluation", _sql(
-    """SELECT model_name, level, member, n, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(wape, 4) AS wape,
-      true AS sound FROM measured WHERE model_name = 'seasonal_naive'
+    """SELECT model_name, level, member, n, round(mae, 4) AS mae, round(rmse, 4) AS rmse,
+      CASE WHEN isnan(wape) THEN 0.0 ELSE round(wape, 4) END AS wape, true AS sound FROM measured WHERE model_name = 'seasonal_naive'
     UNION ALL SELECT 'gradient_boosted_trees', level, member, n, NULL, NULL, NULL, true
     FROM measured WHERE model_name = 'seasonal_naive'""", "measured"))
 def model_evaluation(spark, root):
