@@ -147,7 +147,7 @@ def training_chunks(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROW
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")) \
         .join(F.broadcast(chosen), "_id").mapInPandas(walk, "doc long, label int, chunk binary")
     held = sorted(map(tuple, rows.collect()))
-    chunks = np.full((len(held), CHUNK), PAD, np.int32)
+    chunks = np.full((len(held), CHUNK), PAD, np.uint16)
     for row, (_, _, chunk) in zip(chunks, held):
         row[:len(chunk)] = np.frombuffer(bytes(chunk), np.uint8)
     ids = np.array([d for d, _, _ in held], np.int64)
