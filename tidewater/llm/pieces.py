@@ -1,39 +1,43 @@
 """SentencePiece encoding with seeded merge dropout, and decoding.
 
 A word's characters are merged by the vocabulary's scores from an agenda, highest score and then leftmost first,
-as the merge type of the model does; each candidate taken from the agenda is skipped where a keyed hash of seed,
-word, variant and place falls under the dropout rate. What is not in the vocabulary becomes byte pieces. With
-dropout 0 the pieces are the library's.
+as the merge type of the model does; each candidate taken from the agenda is skipped with the dropout rate. Which
+ones are skipped is drawn for every occurrence of a word, by a keyed hash of seed, doc_id and the word's place, as gaps
+of geometric length between skipped candidates. Cuts are remembered per word and list of skipped candidates, which
+settle them. What is not in the vocabulary becomes byte pieces. With dropout 0 the pieces are the library's.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import BASE, MASK, ODD, prepare, read, slices
+from tidewater.llm.common import BASE, MASK, ODD, prepare, read, slices, spread_bits
 from tidewater.llm.tokens import vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 1234
-VARIANTS = 2
 CACHE_WORDS = 150_000
 GAP = "▁"
 SHORT_WORD = 48
+CACHED_SKIPS = 2
 NEVER = 1 << 60
 
 
 class Pieces:
     """Encoder and decoder over the vocabulary of a model file.
 
-    Words are encoded once per variant and remembered, in two generations of at most CACHE_WORDS.
+    Ids are remembered by word and skipped candidates (at most CACHED_SKIPS, in words of at most SHORT_WORD), in two
+    generations of at most CACHE_WORDS before the last text; other occurrences are cut each for itself.
     """
 
     def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED) -> None:
@@ -51,16 +55,31 @@ class Pieces:
         self.bytes = [p.replace(GAP, " ").encode() for p in self.pieces]
         for b, i in enumerate(byte_ids):
             self.bytes[i] = bytes([b])
-        self.limit = int(dropout * (1 << 32))
-        self.seed = seed
-        self.young: dict[tuple[int, str], bytes] = {}
-        self.old: dict[tuple[int, str], bytes] = {}
-
-    def word_ids(self, word: str, variant: int) -> bytes:
-        """Ids of one word by agenda processing; `word` holds GAP for its spaces."""
-        import xxhash
-
-        key = xxhash.xxh64_intdigest(word, self.seed + variant) if self.limit else 0
+        self.dropout, self.seed = dropout, seed
+        # Ascending chances, in 2 ** -53, of at least so many candidates before the next skipped one, from the last to 1.
+        stay = 1.0 - dropout
+        far = ceil(37 / -np.log(stay)) if 0 < dropout < 1 else 0
+        self.chances = (stay ** np.arange(far, 0, -1) * float(1 << 53)).astype(np.int64)
+        self.chance_list = self.chances.tolist()
+        self.young: dict[tuple[str, tuple[int, ...]], tuple[bytes, int]] = {}
+        self.old: dict[tuple[str, tuple[int, ...]], tuple[bytes, int]] = {}
+        self.taken = 0
+
+    def _skips(self, key: int) -> Iterator[int]:
+        """Numbers of the candidates that an occurrence skips, ascending."""
+        at, turn = -1, 0
+        while self.dropout:
+            at += 1 + len(self.chance_list) - bisect_left(self.chance_list, _draw(key, turn) + 1)
+            yield at
+            turn += 1
+
+    def _first_skips(self, keys: np.ndarray) -> np.ndarray:
+        """The first of `_skips` for many keys."""
+        drawn = (spread_bits(keys) >> np.uint64(11)).astype(np.int64)
+        return len(self.chances) - np.searchsorted(self.chances, drawn + 1)
+
+    def word_ids(self, word: str, key: int | tuple[int, ...]) -> bytes:
+        """Ids of one word by agenda processing; `word` holds GAP for its spaces, `key` the occurrence or its skips."""
         cuts = (self._short if len(word) <= SHORT_WORD else self._long)(word, key)
         raw, out = self.raw, []
         for piece in [word[a:b] for a, b in zip(cuts, cuts[1:])]:
@@ -68,9 +87,10 @@ class Pieces:
             out.append(ids if ids is not None else b"".join([self.raw_byte[x] for x in piece.encode()]))
         return b"".join(out)
 
-    def _short(self, word: str, key: int) -> list[int]:
+    def _short(self, word: str, key: int | tuple[int, ...]) -> list[int]:
         """Cuts of a short word: the agenda is the list of its neighbouring pairs' ranks, NEVER where there is none."""
-        rank, limit = self.rank.get, self.limit
+        rank, skips = self.rank.get, self._skips(key) if isinstance(key, int) else iter(key)
+        skip, taken = next(skips, NEVER), -1
         cuts = list(range(len(word) + 1))
         agenda = [rank(word[i:i + 2], NEVER) for i in range(len(word) - 1)]
         while agenda:
@@ -78,19 +98,24 @@ class Pieces:
             if best == NEVER:
                 break
             at = agenda.index(best)
-            if limit and _draw(key, cuts[at], cuts[at + 1], cuts[at + 2]) < limit:
+            taken += 1
+            if taken == skip:
                 agenda[at] = NEVER
+                skip = next(skips, NEVER)
                 continue
             del cuts[at + 1], agenda[at]
             if at:
                 agenda[at - 1] = rank(word[cuts[at - 1]:cuts[at + 1]], NEVER)
             if at < len(agenda):
                 agenda[at] = rank(word[cuts[at]:cuts[at + 2]], NEVER)
+        self.taken = taken + 1
         return cuts
 
-    def _long(self, word: str, key: int) -> list[int]:
+    def _long(self, word: str, key: int | tuple[int, ...]) -> list[int]:
         """The same cuts with a heap for the agenda, in time that grows little faster than the word."""
         size, rank = len(word), self.rank.get
+        skips = self._skips(key) if isinstance(key, int) else iter(key)
+        skip, taken = next(skips, NEVER), -1
         end, before, alive = list(range(1, size + 1)), list(range(-1, size - 1)), [True] * size
         agenda: list[tuple[int, int, int, int]] = []
 
@@ -105,7 +130,9 @@ class Pieces:
             _, a, b, stop = heapq.heappop(agenda)
             if not alive[a] or not alive[b] or end[a] != b or end[b] != stop:
                 continue
-            if self.limit and _draw(key, a, b, stop) < self.limit:
+            taken += 1
+            if taken == skip:
+                skip = next(skips, NEVER)
                 continue
             alive[b] = False
             end[a] = stop
@@ -114,6 +141,7 @@ class Pieces:
                 propose(a, stop)
             if before[a] >= 0:
                 propose(before[a], a)
+        self.taken = taken + 1
         return [i for i in range(size) if alive[i]] + [size]
 
     def words(self, text: str) -> list[str]:
@@ -129,35 +157,62 @@ class Pieces:
             out.append(GAP * gaps)
         return out
 
-    def encode(self, text: str | None, variant: int = 0) -> bytes:
+    def encode(self, text: str | None, doc: int | None = 0) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit bytes; none for a null or empty text.
 
         A GAP character of the text itself is written as its three bytes, so that it is not taken for a space.
         """
+        import xxhash
+
         if not text:
             return b""
-        young, old, out = self.young, self.old, []
-        for word in self.words(text) if GAP not in text else self._literal(text):
-            key = (variant, word)
-            ids = young.get(key)
-            if ids is None:
-                ids = old.get(key)
-                if ids is None:
-                    ids = self._ids(word, variant)
-                young[key] = ids
-            out.append(ids)
+        words, out = self.words(text) if GAP not in text else self._literal(text), []
+        if self.dropout:
+            document = np.uint64(xxhash.xxh64_intdigest(str(doc), self.seed & MASK))
+            keys = spread_bits(document + np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(ODD))
+            each = zip(words, keys.tolist(), self._first_skips(keys).tolist())
+        else:
+            each = ((word, 0, NEVER) for word in words)
+        young = self.young
+        for word, key, skip in each:
+            whole = young.get((word, ())) or self._held(word, ())
+            out.append(whole[0] if skip >= whole[1] else self._varied(word, key, skip))
         if len(young) > CACHE_WORDS:
             self.young, self.old = {}, young
         return b"".join(out)
 
+    def _held(self, word: str, skips: tuple[int, ...]) -> tuple[bytes, int]:
+        """Ids of a word that skips these candidates only, and how many candidates it takes."""
+        found = self.young.get((word, skips)) or self.old.get((word, skips))
+        if found is None:
+            found = self._ids(word, skips), self.taken
+            if "\x00" + GAP in word:
+                found = found[0], NEVER if self.dropout else 0
+        self.young[word, skips] = found
+        return found
+
+    def _varied(self, word: str, key: int, skip: int) -> bytes:
+        """Ids of an occurrence whose first skipped candidate is `skip`."""
+        if len(word) > SHORT_WORD or "\x00" + GAP in word:
+            return self._ids(word, key)
+        skips, turn = (skip,), 1
+        while len(skips) <= CACHED_SKIPS:
+            ids, taken = self._held(word, skips)
+            skip += 1 + len(self.chance_list) - bisect_left(self.chance_list, _draw(key, turn) + 1)
+            if skip >= taken:
+                return ids
+            skips, turn = (*skips, skip), turn + 1
+        return self._ids(word, key)
+
     def _literal(self, text: str) -> list[str]:
         return self.words(text.replace(GAP, "\x00" + GAP))
 
-    def _ids(self, word: str, variant: int) -> bytes:
+    def _ids(self, word: str, key: int | tuple[int, ...]) -> bytes:
         first, *rest = word.split("\x00" + GAP)
-        out = [self.word_ids(first, variant)]
-        for part in rest:
-            out += [self.raw_byte[b] for b in GAP.encode()] + [self.word_ids(part, variant)]
+        out = [self.word_ids(first, key)]
+        for n, part in enumerate(rest, 1):
+            own = (key + n * BASE) & MASK if isinstance(key, int) else key
+            out += [self.raw_byte[b] for b in GAP.encode()] + [self.word_ids(part, own)]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -165,29 +220,26 @@ class Pieces:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()[1:]
 
 
-def _draw(key: int, start: int, middle: int, end: int) -> int:
-    """32 bits of a keyed hash of one candidate merge."""
-    mixed = ((key ^ (start << 42 | middle << 21 | end)) * ODD) & MASK
-    return ((mixed ^ mixed >> 29) * BASE & MASK) >> 32
-
-
-def variant_of(doc_id: int | None, variants: int) -> int:
-    return 0 if doc_id is None else zlib.crc32(b"%d" % doc_id) % variants
+def _draw(key: int, turn: int) -> int:
+    """53 bits of a keyed hash; for turn 0 those of `spread_bits`."""
+    mixed = (key + turn * BASE) & MASK
+    mixed = ((mixed ^ mixed >> 30) * 0xBF58476D1CE4E5B9) & MASK
+    mixed = ((mixed ^ mixed >> 27) * 0x94D049BB133111EB) & MASK
+    return (mixed ^ mixed >> 31) >> 11
 
 
-def encode(docs: DataFrame, vocabulary_path: str, dropout: float = DROPOUT, seed: int = SEED,
-           variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, vocabulary_path: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, ids) of every row of (doc_id, text): ids are little-endian unsigned 32-bit binary.
 
-    Documents are spread over `variants` keys by doc_id, so a word is cut in up to that many ways in one epoch; another
-    seed gives other cuts, and the same seed always the same. Null and empty texts have no ids. Equal rows get
+    Every occurrence of a word varies by itself, keyed by doc_id and its place; another seed gives other cuts, and the
+    same seed always the same. Null and empty texts have no ids. Equal rows get
     equal ids; a null doc_id stays null; an empty table gives no rows. Other columns are not read.
     """
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Pieces(vocabulary_path, dropout, seed)
         for part in slices(batches, "text"):
             names = part.column("doc_id").to_pylist()
-            ids = [coder.encode(t, variant_of(d, variants)) for d, t in zip(names, part.column("text").to_pylist())]
+            ids = [coder.encode(t, d) for d, t in zip(names, part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     prepare(docs.sparkSession)
