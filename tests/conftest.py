@@ -1,13 +1,10 @@
 import sys
-from datetime import datetime
 from pathlib import Path
 
 import pytest
 
 sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
-BASE = datetime(2026, 7, 1, 12, 0, 0)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,9 +16,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df, *columns):
-    """Rows as sorted tuples of the given columns."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

@@ -2,7 +2,7 @@ from datetime import timedelta
 
 import pytest
 
-from conftest import BASE, rows
+from samples import BASE, rows
 from tidewater.operators import aggregates as A
 from tidewater.operators import assurance
 

@@ -3,7 +3,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from samples import rows
 from tidewater.operators import demand as D
 from tidewater.operators import forecasting as M
 from tidewater.plans import forecast_run

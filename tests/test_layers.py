@@ -3,7 +3,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from conftest import BASE, rows
+from samples import BASE, rows
 from tidewater import contracts as C
 from tidewater.operators import conformity, intake, refine
 

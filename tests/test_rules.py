@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import BASE, rows
+from samples import BASE, rows
 from tidewater import contracts as C
 from tidewater.operators import allocation, lifecycle, requests, scoring, skew
 

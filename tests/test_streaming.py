@@ -4,7 +4,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import BASE, rows
+from samples import BASE, rows
 from tidewater import contracts as C
 from tidewater.operators import aggregates as A
 from tidewater.operators import refine
