@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.session import adopt, scratch_path
 
@@ -51,6 +52,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             start = stop
 
 
+def bitmap_of(hashes: DataFrame, column: str, bits: int = 24) -> np.ndarray:
+    """Bitmap of 2**bits bits, of fixed size at any scale, with the low bits of every hash set.
+
+    `marked` asks it. It never misses a hash it was made of; others may pass, the more the fuller it is.
+    """
+    low = F.col(column).bitwiseAND((1 << bits) - 1)
+    words = hashes.select(F.shiftright(low, 5).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 31 as int))").alias("bit")) \
+        .groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    bitmap = np.zeros(1 << (bits - 5), np.uint32)
+    # At most 2 ** (bits - 5) rows.
+    held = words.toPandas()
+    bitmap[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64).astype(np.uint32)
+    return bitmap
+
+
+def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = (hashes & np.uint64(32 * len(bitmap) - 1)).astype(np.int64)
+    return (bitmap[low >> 5] >> (low & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 of all texts with a line feed after each, and where each text starts (one more at the end)."""
     texts = pc.fill_null(texts, "")

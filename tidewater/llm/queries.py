@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewater.llm.collocations import op13_collocations
 from tidewater.llm.convnet import op4_convnet
 from tidewater.llm.hilbert import op1_hilbert
 from tidewater.llm.language import op9_language
@@ -17,6 +18,6 @@ from tidewater.llm.winnow import op6_winnow
 
 QUERIES = {f.__name__: f for f in (op1_hilbert, op2_pieces, op3_simhash, op4_convnet, op5_records, op6_winnow,
                                    op7_rules, op8_packing, op9_language, op10_lines, op11_secrets,
-                                   op12_trie)}
+                                   op12_trie, op13_collocations)}
 # None of these can be said in DuckDB's SQL (no CRC-32, XXH64, tokenizers or trained models): see tests/llm.
 STATEMENTS: dict[str, str] = {}
