@@ -30,8 +30,8 @@ TOP = 2000
 UNKNOWN = "und"
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 BLANKS = b"\x20\x09"
-SLICE = 4 << 20
-TALLY = 1 << 21
+SLICE = 2 << 20
+TALLY = 1 << 19
 SALTS = 64
 
 
