@@ -13,7 +13,7 @@ all texts, and told to the tasks by two bitmaps of fixed size; what these let th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -71,33 +71,42 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
 
 
 class Tally:
-    """Counts of hashes over many slices, in memory for at most about TALLY distinct ones."""
+    """Counts of runs of `width` words over many slices, in memory for at most about TALLY distinct ones."""
 
-    def __init__(self) -> None:
-        self.keys, self.counts, self.held = [], [], 0
+    def __init__(self, width: int = 1) -> None:
+        self.width = width
+        self._clear()
 
-    def add(self, hashes: np.ndarray) -> bool:
+    def _clear(self) -> None:
+        self.runs, self.counts, self.held = [np.zeros((0, self.width), np.uint64)], [np.zeros(0, np.int64)], 0
+
+    def _mixed(self, runs: np.ndarray) -> np.ndarray:
+        mixed = runs[:, 0]
+        for column in runs.T[1:]:
+            mixed = spread_bits(mixed * np.uint64(ODD) + column)
+        return mixed
+
+    def add(self, runs: np.ndarray) -> bool:
         """Whether it is time to take what has been counted."""
-        keys, counts = np.unique(hashes, return_counts=True)
-        self.keys.append(keys)
+        _, first, counts = np.unique(self._mixed(runs), return_index=True, return_counts=True)
+        self.runs.append(runs[first])
         self.counts.append(counts)
-        self.held += len(keys)
+        self.held += len(first)
         if self.held > 2 * TALLY:
             self._merge()
         return self.held > TALLY
 
     def _merge(self) -> None:
-        if len(self.keys) > 1:
-            keys, which = np.unique(np.concatenate(self.keys), return_inverse=True)
-            self.counts = [np.bincount(which, np.concatenate(self.counts), len(keys)).astype(np.int64)]
-            self.keys, self.held = [keys], len(keys)
+        runs = np.concatenate(self.runs)
+        _, first, which = np.unique(self._mixed(runs), return_index=True, return_inverse=True)
+        self.counts = [np.bincount(which, np.concatenate(self.counts), len(first)).astype(np.int64)]
+        self.runs, self.held = [runs[first]], len(first)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         self._merge()
-        keys = self.keys[0] if self.keys else np.zeros(0, np.uint64)
-        counts = self.counts[0] if self.counts else np.zeros(0, np.int64)
-        self.__init__()
-        return keys, counts.astype(np.int64)
+        runs, counts = self.runs[0], self.counts[0]
+        self._clear()
+        return runs, counts
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -105,33 +114,57 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
 
 
-def _hash_counts(texts: DataFrame, hashes: Callable[[Pieces], np.ndarray], totals: bool) -> DataFrame:
-    """(h, lang, n): how often each hash occurs, with a null lang; with `totals` also each language's words, with a
-    null h. Several rows may count one hash."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(h, lang, n): how often each word occurs, with a null lang, and each language's words, with a null h. Several
+    rows may count the same."""
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, tally, words = Powers(), Tally(), {}
 
         def rows() -> pa.RecordBatch:
-            keys, counts = tally.take()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.string()), pa.array(counts)],
+            runs, counts = tally.take()
+            return pa.RecordBatch.from_arrays([pa.array(runs[:, 0].view(np.int64)), pa.nulls(len(runs), pa.string()), pa.array(counts)],
                                               names=["h", "lang", "n"])
 
         for part in slices(batches, "text", SLICE):
             found = pieces_of(part.column("text"), part.column("lang"), powers)
-            if totals:
-                sizes = np.bincount(found.doc, minlength=part.num_rows)
-                for lang, n in zip(part.column("lang").to_pylist(), sizes.tolist()):
-                    words[lang] = words.get(lang, 0) + n
-            if tally.add(hashes(found)):
+            sizes = np.bincount(found.doc, minlength=part.num_rows)
+            for lang, n in zip(part.column("lang").to_pylist(), sizes.tolist()):
+                words[lang] = words.get(lang, 0) + n
+            if tally.add(found.words[:, None]):
                 yield rows()
         yield rows()
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(words.keys(), pa.string()),
-                                              pa.array(words.values(), pa.int64())], names=["h", "lang", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(words.keys(), pa.string()),
+                                          pa.array(words.values(), pa.int64())], names=["h", "lang", "n"])
 
     return texts.mapInArrow(walk, "h long, lang string, n long")
 
 
+def _linked(found: Pieces, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words the bitmap marks, and which of these the next one follows in the same piece."""
+    known = marked(words, found.words)
+    return known, found.linked & known & np.append(known[1:], False)[:len(known)]
+
+
+def pair_counts(texts: DataFrame, words: np.ndarray) -> DataFrame:
+    """(h, n): how often each pair of neighbouring marked words occurs. Several rows may count the same."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, tally = Powers(), Tally()
+
+        def rows() -> pa.RecordBatch:
+            runs, counts = tally.take()
+            return pa.RecordBatch.from_arrays([pa.array(runs[:, 0].view(np.int64)), pa.array(counts)], names=["h", "n"])
+
+        for part in slices(batches, "text", SLICE):
+            found = pieces_of(part.column("text"), part.column("lang"), powers)
+            if tally.add(pair_hashes(found.words)[_linked(found, shared.value)[1], None]):
+                yield rows()
+        yield rows()
+
+    return texts.mapInArrow(walk, "h long, n long")
+
+
 def edges_of(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int) -> DataFrame:
     """(g, n, word, lang): runs of word hashes with their counts, and the words themselves with n = 0.
 
@@ -143,34 +176,28 @@ def edges_of(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: in
     names = ["g", "n", "word", "lang"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, tally, told = Powers(), Tally(), np.zeros(0, np.uint64)
+        powers, told = Powers(), np.zeros(0, np.uint64)
+        tallies = [Tally(size) for size in range(1, longest + 1)]
 
-        def runs(rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+        def runs(tally: Tally) -> pa.RecordBatch:
+            rows, counts = tally.take()
+            offsets = np.arange(0, rows.size + 1, tally.width, dtype=np.int32)
             g = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1).view(np.int64)))
             none = pa.nulls(len(rows), pa.string())
-            return pa.RecordBatch.from_arrays([g, pa.array(counts.astype(np.int64)), none, none], names=names)
+            return pa.RecordBatch.from_arrays([g, pa.array(counts), none, none], names=names)
 
         for part in slices(batches, "text", SLICE):
             found = pieces_of(part.column("text"), part.column("lang"), powers)
-            known = marked(shared_words.value, found.words)
-            linked = found.linked & known & np.append(known[1:], False)[:len(known)] & marked(shared_pairs.value, pair_hashes(found.words))
+            known, linked = _linked(found, shared_words.value)
+            linked = linked & marked(shared_pairs.value, pair_hashes(found.words))
             length, go = known.astype(np.int8), linked
             for step in range(1, longest):
                 length = length + go
                 go = go & np.append(linked[step:], np.zeros(min(step, len(linked)), bool))[:len(linked)]
-            if tally.add(found.words[length == 1]):
-                keys, counts = tally.take()
-                yield runs(keys[:, None], counts)
-            for size in range(2, longest + 1):
+            for size, tally in enumerate(tallies, 1):
                 at = np.flatnonzero(length == size)
-                if len(at):
-                    rows = found.words[at[:, None] + np.arange(size)]
-                    mixed = np.zeros(len(rows), np.uint64)
-                    for column in rows.T:
-                        mixed = spread_bits(mixed * np.uint64(ODD) + column)
-                    _, first, counts = np.unique(mixed, return_index=True, return_counts=True)
-                    yield runs(rows[first], counts)
+                if tally.add(found.words[at[:, None] + np.arange(size)]):
+                    yield runs(tally)
             # Words of runs of two or more, once per task while they are remembered.
             inside = linked | np.append(False, linked[:-1])[:len(linked)]
             new, first = np.unique(found.words[inside], return_index=True)
@@ -183,8 +210,8 @@ def edges_of(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: in
                 g = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32)), pa.array(new.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([g, pa.array(np.zeros(len(new), np.int64)), spelled,
                                                   part.column("lang").take(pa.array(found.doc[at]))], names=names)
-        keys, counts = tally.take()
-        yield runs(keys[:, None], counts)
+        for tally in tallies:
+            yield runs(tally)
 
     return texts.mapInArrow(walk, "g array<long>, n long, word string, lang string")
 
@@ -238,17 +265,10 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int | None = TOP, lon
     """
     texts = _texts(docs)
     enough = F.col("n") >= least
-    words = keep(_hash_counts(texts, lambda p: p.words, True).groupBy("h", "lang").agg(F.sum("n").alias("n"))
-                 .where(enough | F.col("h").isNull()), "words")
+    words = keep(word_counts(texts).groupBy("h", "lang").agg(F.sum("n").alias("n")).where(enough | F.col("h").isNull()), "words")
     totals = words.where("h is null").select("lang", "n")
     seen = bitmap_of(words.where("h is not null"), "h")
-    shared = docs.sparkSession.sparkContext.broadcast(seen)
-
-    def pairs_of(p: Pieces) -> np.ndarray:
-        known = marked(shared.value, p.words)
-        return pair_hashes(p.words)[p.linked & known & np.append(known[1:], False)[:len(known)]]
-
-    pairs = _hash_counts(texts, pairs_of, False).groupBy("h").agg(F.sum("n").alias("n")).where(enough)
+    pairs = pair_counts(texts, seen).groupBy("h").agg(F.sum("n").alias("n")).where(enough)
     edges = keep(edges_of(texts, seen, bitmap_of(pairs, "h"), longest).groupBy("g", "word", "lang").agg(F.sum("n").alias("n")), "edges")
     spelling = edges.where("word is not null").groupBy(F.col("g")[0].alias("w")).agg(F.min("word").alias("word"), F.min("lang").alias("lang"))
     flows = node_flows(edges.where("word is null").select("g", "n"), least, longest)
