@@ -218,3 +218,45 @@ def test_stock_upsert_and_expiry(spark):
     ended = allocation.expired(held, F.lit(BASE + timedelta(seconds=1)))
     got = allocation.give_back(stock, ended).first()
     assert (got["available_qty"], got["reserved_qty"], got["version"]) == (7, 0, 2)
+
+
+def serial_rounds(orders, lines, choices, stock, rounds):
+    """The stated rounds of the fallback allocation, one order and one line at a time."""
+    left, need, out = dict(stock), {}, {}
+    for order, sku, qty in lines:
+        need.setdefault(order, {}).setdefault(sku, 0)
+        need[order][sku] += qty
+    for turn in range(1, rounds + 1):
+        asked, won = {}, []
+        for order in [o for o, _ in sorted(orders, key=lambda x: (x[1], x[0])) if o not in out and len(choices.get(o, [])) >= turn]:
+            node, granted = choices[order][turn - 1], True
+            for sku, qty in need.get(order, {}).items():
+                asked[sku, node] = asked.get((sku, node), 0) + qty
+                granted &= asked[sku, node] <= left.get((sku, node), 0)
+            if granted:
+                won.append((order, node))
+        for order, node in won:
+            out[order] = (node, turn)
+            for sku, qty in need.get(order, {}).items():
+                left[sku, node] = left.get((sku, node), 0) - qty
+    assert all(v >= 0 for v in left.values())
+    return out
+
+
+@pytest.mark.parametrize("seed, rounds", [(1, 3), (2, 6), (3, 1)])
+def test_fallback_allocation_equals_its_rounds_walked_serially(spark, seed, rounds):
+    rng = random.Random(seed)
+    orders = [(f"o{i}", rng.randrange(40)) for i in range(300)]
+    lines = [(o, f"s{min(rng.randrange(12), rng.randrange(12))}", rng.randint(1, 6)) for o, _ in orders[5:] for _ in range(rng.randint(1, 4))]
+    nodes = [f"n{i}" for i in range(6)]
+    choices = {o: rng.sample(nodes, rng.randint(0, 6)) for o, _ in orders}
+    stock = {(f"s{s}", n): rng.randint(0, 120) for s in range(12) for n in nodes if rng.random() < 0.9}
+    got = allocation.allocate_with_fallback(
+        spark.createDataFrame(orders, "order_id string, at int"), spark.createDataFrame(lines, "order_id string, sku string, qty bigint"),
+        spark.createDataFrame([(o, n, r) for o, c in choices.items() for r, n in enumerate(c, 1)], "order_id string, node_id string, rank int"),
+        spark.createDataFrame([(*k, v) for k, v in stock.items()], "sku string, node_id string, available_qty int"),
+        ["at"], None if rounds == 6 else rounds)
+    want = serial_rounds(orders, lines, choices, stock, rounds)
+    failed = {o: "no inventory" if not c else "all nodes refused" for o, c in choices.items()}
+    assert rows(got) == sorted(((o, *want.get(o, (None, None)), None if o in want else failed[o]) for o, _ in orders), key=repr)
+    assert {r for _, r in want.values()} == set(range(1, max(r for _, r in want.values()) + 1))

@@ -107,6 +107,57 @@ def _reserve_hot(rows: DataFrame, order: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, finished)
 
 
+def allocate_with_fallback(orders: DataFrame, lines: DataFrame, choices: DataFrame, stock: DataFrame, order: list[str],
+                           rounds: int | None = None) -> DataFrame:
+    """One node for all lines of an order, or the next best one: (order_id, node_id, round, failure) of every order.
+
+    `choices` ranks each order's candidate nodes from 1. In round r every order without a node asks its r-th one for
+    all it needs. Per (sku, node) the asking orders come in the given order (its columns are those of `orders`, its
+    last resort the order_id), and a line is granted while the running sum of what is asked stays within what is
+    left. An order with all lines granted has its node; one refused in part gives everything back and asks its next
+    node in the next round. It ends when no order has an untried node, or after `rounds` rounds. An order without
+    candidates fails with `no inventory`, one refused everywhere with `all nodes refused`. An order without lines
+    takes its first node.
+
+    This is not the result of serving orders one after the other, whose rounds would be as many as orders; no stock
+    is ever sold twice, and a round is one ordered pass whose keys may be of any size.
+    """
+    position = [c for c in order if c != "order_id"]
+    need = lines.groupBy("order_id", "sku").agg(F.sum("qty").alias("qty"))
+    ranked = choices.select("order_id", "node_id", "rank")
+    # Orders without lines ask for nothing of no sku, which every node grants.
+    asking = cut_lineage(orders.select("order_id", *position).join(need, "order_id", "left"))
+    ranked = cut_lineage(ranked if rounds is None else ranked.where(F.col("rank") <= rounds))
+    held = stock.select(*KEYS, F.col("available_qty").cast("bigint").alias("_stock"))
+    sequence = [*position, "order_id"]
+    schema = "order_id string, node_id string, round int"
+    spark = orders.sparkSession
+    placed, taken, turn = spark.createDataFrame([], schema), None, 0
+    while rounds is None or turn < rounds:
+        turn += 1
+        asks = asking.join(ranked.where(F.col("rank") == turn).select("order_id", "node_id"), "order_id") \
+            .join(placed.select("order_id"), "order_id", "left_anti").join(held, KEYS, "left")
+        left = F.coalesce("_stock", F.lit(0))
+        if taken is not None:
+            asks = asks.join(taken, KEYS, "left")
+            left = left - F.coalesce("_taken", F.lit(0))
+        asks = skew.in_segments(asks.select(*sequence, *KEYS, "qty", left.alias("_left")), KEYS, sequence)
+        if asks.isEmpty():
+            break
+        summed = skew.running_sum(asks.where(F.col("sku").isNotNull()), KEYS, sequence, F.col("qty"), "_upto")
+        refused = summed.where(F.col("qty").isNull() | (F.col("_upto") > F.col("_left"))).select("order_id").distinct()
+        won = cut_lineage(asks.join(refused, "order_id", "left_anti"))
+        now = won.where(F.col("sku").isNotNull()).groupBy(*KEYS).agg(F.sum("qty").alias("_taken"))
+        both = now if taken is None else taken.unionByName(now)
+        taken = cut_lineage(both.groupBy(*KEYS).agg(F.sum("_taken").alias("_taken")))
+        placed = cut_lineage(placed.unionByName(
+            won.select("order_id", "node_id", F.lit(turn).alias("round")).distinct()))
+    known = ranked.groupBy("order_id").agg(F.count(F.lit(1)).alias("_nodes"))
+    failure = F.when(F.col("_nodes").isNull(), "no inventory").when(F.col("node_id").isNull(), "all nodes refused")
+    return orders.select("order_id").join(placed, "order_id", "left").join(known, "order_id", "left").select(
+        "order_id", "node_id", "round", failure.alias("failure"))
+
+
 def result_events(outcomes: DataFrame, at: str, ttl_minutes: int = C.RESERVATION_TTL_MINUTES) -> DataFrame:
     """Rows for inventory.reserved (with expiry) and inventory.rejected (with what was available)."""
     return outcomes.where(F.col("outcome").isin(RESERVED, REJECTED)).select(

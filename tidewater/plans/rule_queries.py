@@ -141,6 +141,52 @@ def reservation_allocation(spark, root):
     )
 
 
+FALLBACK_ROUNDS = 3
+
+
+def _fallback_steps() -> dict[str, str]:
+    """The rounds of the fallback allocation, written out one after the other."""
+    steps = {
+        "wants": """SELECT order_id, sku, sum(qty) AS qty, min(k) AS k, min(occurred_at) AS requested_at
+            FROM lines GROUP BY ALL""",
+        "ranks": """SELECT order_id, node_id, row_number() OVER (PARTITION BY order_id ORDER BY score DESC, node_id) AS rank
+            FROM scores""",
+        "placed0": "SELECT NULL::VARCHAR AS order_id, NULL::VARCHAR AS node_id, 0 AS round WHERE false",
+        "taken0": "SELECT NULL::VARCHAR AS sku, NULL::VARCHAR AS node_id, 0 AS taken WHERE false",
+    }
+    for turn in range(1, FALLBACK_ROUNDS + 1):
+        before = turn - 1
+        steps |= {
+            f"asks{turn}": f"""SELECT w.order_id, w.sku, r.node_id, w.qty,
+                coalesce(s.available_qty, 0) - coalesce(t.taken, 0) AS left_qty,
+                sum(w.qty) OVER (PARTITION BY w.sku, r.node_id ORDER BY w.requested_at, w.k ROWS UNBOUNDED PRECEDING) AS upto
+                FROM wants w JOIN ranks r ON r.order_id = w.order_id AND r.rank = {turn}
+                LEFT JOIN stock s ON s.sku = w.sku AND s.node_id = r.node_id
+                LEFT JOIN taken{before} t ON t.sku = w.sku AND t.node_id = r.node_id
+                WHERE w.order_id NOT IN (SELECT order_id FROM placed{before})""",
+            f"won{turn}": f"""SELECT order_id, node_id, {turn} AS round FROM asks{turn} GROUP BY ALL
+                HAVING bool_and(upto <= left_qty)""",
+            f"placed{turn}": f"SELECT * FROM placed{before} UNION ALL SELECT * FROM won{turn}",
+            f"taken{turn}": f"""SELECT sku, node_id, sum(taken) AS taken FROM (SELECT * FROM taken{before} UNION ALL
+                SELECT a.sku, a.node_id, a.qty FROM asks{turn} a JOIN won{turn} USING (order_id)) GROUP BY ALL""",
+        }
+    return steps
+
+
+@query("fallback_allocation", statement(
+    f"""SELECT f.order_id, p.node_id, p.round::INTEGER AS round,
+      CASE WHEN f.order_id NOT IN (SELECT order_id FROM ranks) THEN 'no inventory'
+           WHEN p.node_id IS NULL THEN 'all nodes refused' END AS failure
+    FROM facts f LEFT JOIN placed{FALLBACK_ROUNDS} p ON p.order_id = f.order_id
+    WHERE f.order_id IN (SELECT order_id FROM wants)""",
+    "lines", "stock", "nodes", **_SCORES, **_fallback_steps()))
+def fallback_allocation(spark, root):
+    lines = R.order_lines(spark, root)
+    orders = lines.groupBy("order_id").agg(F.min("occurred_at").alias("requested_at"), F.min("k").alias("k"))
+    return allocation.allocate_with_fallback(
+        orders, lines, scoring.ranked(scores(spark, root)), R.stock(spark, root), ["requested_at", "k"], FALLBACK_ROUNDS)
+
+
 @query("reservation_events", statement(
     """SELECT CASE WHEN qty <= before THEN 'inventory.reserved' ELSE 'inventory.rejected' END AS event_type,
       order_id, sku, node_id, qty, CASE WHEN qty <= before THEN requested_at + INTERVAL 15 MINUTE END AS expires_at,
