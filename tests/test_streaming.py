@@ -208,23 +208,45 @@ def collect_stream(df, tmp_path, name):
 
 
 def test_keyed_state_equals_batch(spark, tmp_path):
+    import random
+
     from tidewater.operators import allocation, requests
     from tidewater.streaming import stateful
 
-    hits = [(i, f"c{i % 2}", BASE + timedelta(seconds=7 * i)) for i in range(60)]
-    asks = [(i, f"s{i % 3}", "n", None if i == 17 else -3 if i % 7 == 3 else 1 + i % 4, BASE + timedelta(seconds=i))
+    rng = random.Random(1)
+    hits = [(i, f"c{i % 2}", BASE + timedelta(seconds=rng.choice([7, 1, 0.3]) * i)) for i in range(60)]
+    hits += [(100 + i, "idle", BASE) for i in range(5)]
+    asks = [(i, f"s{i % 3}", "n", None if i == 17 else -3 if i % 7 == 3 else 1 + i % 4, BASE + timedelta(seconds=i // 3))
             for i in range(40)]
     hit_type = "request_id bigint, client string, ts timestamp"
     ask_type = "request_id bigint, sku string, node_id string, qty bigint, requested_at timestamp"
+    far = BASE + timedelta(hours=2)
+    rng.shuffle(hits), rng.shuffle(asks)  # rows come in any order within the watermark's delay
     for part in range(2):  # two files, one per trigger: state carries over
-        spark.createDataFrame(hits[part * 30:part * 30 + 30], hit_type).coalesce(1).write.mode("append").parquet(str(tmp_path / "h"))
+        spark.createDataFrame(hits[part * 30:part * 30 + 35], hit_type).coalesce(1).write.mode("append").parquet(str(tmp_path / "h"))
         spark.createDataFrame(asks[part * 20:part * 20 + 20], ask_type).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+    hits = hits[:30] + hits[30:35] * 2 + hits[35:65]
+    spark.createDataFrame([(-1, "last", far)], hit_type).coalesce(1).write.mode("append").parquet(str(tmp_path / "h"))
+    spark.createDataFrame([(-1, "last", "n", 1, far)], ask_type).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
     read = spark.readStream.option("maxFilesPerTrigger", 1)
     got = collect_stream(stateful.admit_stream(read.schema(hit_type).parquet(str(tmp_path / "h")), 3, 60), tmp_path, "hits")
     want = requests.rate_limit(spark.createDataFrame(hits, hit_type), 3, 60)
-    assert rows(got, "request_id", "admitted") == rows(want, "request_id", "admitted")
+    assert rows(got, "request_id", "client", "admitted") == rows(want, "request_id", "client", "admitted")
     stock = spark.createDataFrame([("s0", "n", 9, 0), ("s1", "n", 30, 0)],
                                   "sku string, node_id string, available_qty int, reorder_threshold int")
     got = collect_stream(stateful.reserve_stream(read.schema(ask_type).parquet(str(tmp_path / "a")), stock), tmp_path, "asks")
     want = allocation.reserve(spark.createDataFrame(asks, ask_type), stock, ["requested_at", "request_id"])
     assert rows(got, "request_id", "outcome") == rows(want, "request_id", "outcome")
+
+
+def test_idle_clients_leave_the_state(spark, tmp_path):
+    from tidewater.streaming import stateful
+
+    hit_type = "request_id bigint, client string, ts timestamp"
+    for n, (client, minutes) in enumerate([("a", 0), ("b", 1), ("c", 200), ("c", 400), ("c", 600)]):
+        spark.createDataFrame([(n, client, BASE + timedelta(minutes=minutes))], hit_type).coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "h"))
+    stream = stateful.admit_stream(spark.readStream.schema(hit_type).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "h")), 3, 60)
+    collect_stream(stream, tmp_path, "idle")
+    state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "state").load(str(tmp_path / "idle-checkpoint"))
+    assert {r["key"]["client"] for r in state.collect()} <= {"c"}

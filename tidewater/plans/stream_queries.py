@@ -13,11 +13,12 @@ from tidewater.operators import aggregates as A
 from tidewater.operators import intake, refine
 from tidewater.plans.gold_queries import _window
 from tidewater.plans.layer_queries import _sql
-from tidewater.plans.registry import query, statement
+from tidewater.plans.registry import STATEMENTS, query, statement
+from tidewater.plans.request_queries import LIMIT, WINDOW_SECONDS
 from tidewater.session import scratch_path
 from tidewater.sources import lake as L
 from tidewater.sources import retail as R
-from tidewater.streaming import sinks
+from tidewater.streaming import sinks, stateful
 
 
 def table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -92,3 +93,13 @@ def stream_routed(spark, root):
     ).foreachBatch(sink).start().awaitTermination()
     schema = StructType.fromDDL("route string, event_id string, date date")
     return reduce(DataFrame.unionByName, [L.read_or_empty(spark, f"{home}/{r}", schema) for r in routes])
+
+
+_REPLAY = STATEMENTS["rate_limit_replay"]
+
+
+@query("stream_rate_limit", f"""SELECT request_id, client::VARCHAR AS client, admitted FROM ({_REPLAY})
+    WHERE date_trunc('second', ts) + INTERVAL 1 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_rate_limit(spark, root):
+    """Verdicts of all seconds the watermark has passed."""
+    return run_to_end(stateful.admit_stream(R.log_of(table_stream(spark, root, "events")), LIMIT, WINDOW_SECONDS), "rate-limit")

@@ -364,7 +364,11 @@ def stock_changes(spark: SparkSession, root: str) -> DataFrame:
 
 def request_log(spark: SparkSession, root: str) -> DataFrame:
     """Access log: latency in ms, client, scenario and whether the request failed."""
-    return table(spark, root, "events").selectExpr(
+    return log_of(table(spark, root, "events"))
+
+
+def log_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id as request_id", "cast(ts as timestamp) as ts", "user_id as client", "event_type as scenario",
         "value as latency_ms", "event_type = 'error' as failed",
     )

@@ -1,77 +1,142 @@
 """Rules that depend on earlier verdicts, as keyed state over a stream.
 
-State per key is small and fixed: the admitted times of one window, or the units left. A trigger's rows
-of one key are ordered and walked through together, so bound a trigger by the source's rate options.
+Rows wait in state, in buckets of one second of event time per key, until the watermark has passed their second; a
+timer then takes the bucket, orders it and walks it on from the verdicts before. So verdicts equal those of a batch
+over the same rows, in whatever order and triggers the rows came in up to the watermark's delay; later rows are
+left out, as they are by every append-mode aggregate. Frames are consumed one by one: what a task holds is one Arrow
+batch and one second of one key, however many rows a key or a trigger has.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewater import contracts as C
 
+SECOND = 1_000_000
 
-def admit_stream(hits: DataFrame, limit: int = C.RATE_LIMIT_HITS, seconds: int = C.RATE_LIMIT_SECONDS) -> DataFrame:
-    """Streaming form of the sliding-window limit over (request_id, client, ts)."""
-    span = seconds * 1_000_000
-
-    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        admitted = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(batches)).sort_values(["at", "request_id"])
-        verdicts = []
-        for at in rows["at"]:
-            while admitted and at - admitted[0] > span:
-                admitted.popleft()
-            verdicts.append(len(admitted) < limit)
-            if verdicts[-1]:
-                admitted.append(int(at))
-        state.update((list(admitted),))
-        yield pd.DataFrame({"request_id": rows["request_id"], "client": key[0], "admitted": verdicts})
-
-    source = hits.select(F.col("request_id").cast("bigint"), F.col("client").cast("string"),
-                         F.unix_micros("ts").alias("at"))
-    return source.groupBy("client").applyInPandasWithState(
-        walk, "request_id bigint, client string, admitted boolean", "times array<bigint>", "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
-def reserve_stream(requests: DataFrame, stock: DataFrame) -> DataFrame:
-    """Streaming form of first-come reservation over (request_id, sku, node_id, qty, requested_at).
-
-    `stock` is a batch table with the opening quantity per (sku, node_id); a key it does not know is
-    answered with unknown_stock, a quantity below 1 with invalid_qty, and an absent one with rejected, as in batch.
+
+def _processor(columns: tuple[str, ...], state_schema: str, open_state, walk, forget) -> StatefulProcessor:
+    """A processor whose class is made here, so that it travels to the workers by value.
+
+    `columns` are long columns of the input that a bucket keeps; the first two order it. `open_state(frame)` gives
+    the state a new key starts with, `walk(state, row)` yields the next state and the row's verdict, and
+    `forget(state)` says when, in event time (ms), a state that no row has touched may go (None: never).
+    """
+    lists = ", ".join(f"{c} array<bigint>" for c in columns)
+
+    class InEventOrder(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.buckets = handle.getMapState("buckets", "second bigint", lists)
+            self.state = handle.getValueState("state", state_schema)
+            self.ends = handle.getValueState("ends", "at bigint")
+
+        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+            for frame in rows:
+                if not self.state.exists():
+                    opening = open_state(frame)
+                    if opening is not None:
+                        self.state.update(opening)
+                for second, part in frame.groupby(frame["at"] // SECOND):
+                    new = [[None if pd.isna(v) else int(v) for v in part[c]] for c in columns]
+                    if self.buckets.containsKey((int(second),)):
+                        held = self.buckets.getValue((int(second),))
+                        new = [[*old, *more] for old, more in zip(held, new)]
+                    else:
+                        self.handle.registerTimer((int(second) + 1) * 1000)
+                    self.buckets.updateValue((int(second),), tuple(new))
+            yield from ()
+
+        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+            at = expiredTimerInfo.getExpiryTimeInMs()
+            second = (at // 1000 - 1,)
+            if self.buckets.containsKey(second):
+                bucket = sorted(zip(*self.buckets.getValue(second)), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+                self.buckets.removeKey(second)
+                state = self.state.get() if self.state.exists() else None
+                verdicts = []
+                for row in bucket:
+                    state, verdict = walk(state, row)
+                    verdicts.append(verdict)
+                if state is not None:
+                    self.state.update(state)
+                    end = forget(state)
+                    if end is not None:
+                        self.ends.update((end,))
+                        self.handle.registerTimer(end)
+                names = [f"key_{i}" for i in range(len(key))]
+                yield pd.DataFrame({"request_id": pd.array([r[1] for r in bucket], "Int64"),
+                                    **{n: [k] * len(bucket) for n, k in zip(names, key)}, "verdict": verdicts})
+            elif self.ends.exists() and self.ends.get()[0] == at:  # no row has moved the end since
+                self.state.clear()
+                self.ends.clear()
+
+        def close(self) -> None:
+            pass
+
+    return InEventOrder()
+
+
+def admit_stream(hits: DataFrame, limit: int = C.RATE_LIMIT_HITS, seconds: int = C.RATE_LIMIT_SECONDS,
+                 delay: str = "10 minutes") -> DataFrame:
+    """Streaming form of the sliding-window limit over (request_id, client, ts): (request_id, client, admitted).
+
+    A client's state is at most `limit` admitted times, and goes when the last of them has left the window.
+    """
+    span = seconds * SECOND
+
+    def walk(state, row):
+        admitted = [t for t in (state[0] if state else []) if row[0] - t <= span]
+        granted = len(admitted) < limit
+        return ((admitted + [row[0]] if granted else admitted,), granted)
+
+    def forget(state):
+        # The last admitted time is out of the window one second after this at the latest, on no bucket's own end.
+        return (max(state[0]) + span) // 1000 + 1001 if state[0] else None
+
+    timed = hits.withWatermark("ts", delay).select(
+        F.col("request_id").cast("bigint"), F.col("client").cast("string"), F.unix_micros("ts").alias("at"), "ts")
+    processor = _processor(("at", "request_id"), "times array<bigint>", lambda frame: None, walk, forget)
+    out = timed.groupBy("client").transformWithStateInPandas(
+        processor, "request_id bigint, key_0 string, verdict boolean", "Append", "EventTime")
+    return out.select("request_id", F.col("key_0").alias("client"), F.col("verdict").alias("admitted"))
+
+
+def reserve_stream(requests: DataFrame, stock: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Streaming form of first-come reservation over (request_id, sku, node_id, qty, requested_at):
+    (request_id, sku, node_id, outcome).
+
+    `stock` is a batch table with the opening quantity per (sku, node_id); a key it does not know is answered with
+    unknown_stock, a quantity below 1 with invalid_qty, and an absent one with rejected, as in batch. What is left
+    of a key is one number, and stays.
     """
 
-    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["requested_at", "request_id"])
-        opening = rows["available_qty"].iloc[0]
-        left = state.get[0] if state.exists else (None if pd.isna(opening) else int(opening))
-        outcomes = []
-        for qty in rows["qty"]:
-            if left is None:
-                outcomes.append("unknown_stock")
-            elif not pd.isna(qty) and qty <= 0:
-                outcomes.append("invalid_qty")
-            elif not pd.isna(qty) and qty <= left:
-                left -= int(qty)
-                outcomes.append("reserved")
-            else:
-                outcomes.append("rejected")
-        if left is not None:
-            state.update((left,))
-        yield pd.DataFrame({"request_id": rows["request_id"], "sku": key[0], "node_id": key[1], "outcome": outcomes})
-
-    opened = requests.select("request_id", "sku", "node_id", F.col("qty").cast("bigint"), "requested_at").join(
-        stock.select("sku", "node_id", F.col("available_qty").cast("bigint")), ["sku", "node_id"], "left"
-    )
-    return opened.groupBy("sku", "node_id").applyInPandasWithState(
-        walk, "request_id bigint, sku string, node_id string, outcome string", "available bigint", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    def opening(frame: pd.DataFrame):
+        held = frame["available_qty"].iloc[0]
+        return None if pd.isna(held) else (int(held),)
+
+    def walk(state, row):
+        qty = row[2]
+        if state is None:
+            return None, "unknown_stock"
+        if qty is not None and qty <= 0:
+            return state, "invalid_qty"
+        if qty is not None and qty <= state[0]:
+            return (state[0] - qty,), "reserved"
+        return state, "rejected"
+
+    opened = requests.withWatermark("requested_at", delay).select(
+        F.col("request_id").cast("bigint"), "sku", "node_id", F.col("qty").cast("bigint"),
+        F.unix_micros("requested_at").alias("at"), "requested_at",
+    ).join(stock.select("sku", "node_id", F.col("available_qty").cast("bigint")), ["sku", "node_id"], "left")
+    processor = _processor(("at", "request_id", "qty"), "available bigint", opening, walk, lambda state: None)
+    out = opened.groupBy("sku", "node_id").transformWithStateInPandas(
+        processor, "request_id bigint, key_0 string, key_1 string, verdict string", "Append", "EventTime")
+    return out.select("request_id", F.col("key_0").alias("sku"), F.col("key_1").alias("node_id"), F.col("verdict").alias("outcome"))
