@@ -115,3 +115,34 @@ def test_causation_classes(spark):
         "event_id string, event_type string, correlation_id string, causation_id string")
     assert rows(conformity.causation_classes(df), "event_id", "causation") == [
         ("a", "root"), ("b", "ok"), ("d", "orphan"), ("e", "non_root_without_parent")]
+
+
+def test_contract_findings_at_any_depth(spark):
+    from tidewater.operators import conformity
+
+    created = C.ORDER_CREATED
+    payloads = [
+        (created, "1.0.0", '{"order_id":"o","customer_id":"c","items":[{"sku":"s","qty":1,"unit_price":2}],"order_total":2.5,'
+                           '"currency":"EUR","idempotency_key":"i"}'),
+        (created, "1.0.0", '{"order_id":7,"customer_id":null,"items":[{"sku":"s","qty":"x"},{"sku":"t","qty":1.5,"unit_price":1e3,"odd, name":1}],'
+                           '"order_total":1,"currency":"EUR","idempotency_key":"i","extra":{"deep":[1,"a"]}}'),
+        (created, "1.0.0", "[1]"), (created, "1.0.0", "{bad"), (created, "1.0.0", None), (created, "1.0.0", '{"items":{"sku":"s"}}'),
+        (C.ORDER_FAILED, "1.0.0", '{"order_id":"o","failed_step":"s","reason":"r","compensations_applied":["a",1]}'),
+        (C.ORDER_FAILED, "1.0.0", '{"order_id":"o","failed_step":"s","reason":"r","compensations_applied":[]}'),
+        (C.FULFILLMENT_ASSIGNED, "1.0.0", '{"score_breakdown":{"stock":1,"more":2}}'), (created, "2.0.0", "{}"), ("x", None, "{}"),
+    ]
+    bronze = spark.createDataFrame(payloads, "event_type string, schema_version string, data_json string").repartition(3)
+    got = {(r["event_type"], r["schema_version"], r["field"], r["status"]): (r["containers"], r["missing"], r["drifted"], r["extra"])
+           for r in conformity.contract_findings(bronze).collect()}
+    assert got[created, "1.0.0", "order_id", "declared"] == (6, 4, 1, 0)
+    assert got[created, "1.0.0", "customer_id", "declared"] == (6, 5, 0, 0)
+    assert got[created, "1.0.0", "items", "declared"] == (6, 3, 1, 0)
+    assert got[created, "1.0.0", "items[].qty", "declared"] == (3, 0, 2, 0)
+    assert got[created, "1.0.0", "items[].unit_price", "declared"] == (3, 1, 0, 0)
+    assert got[created, "1.0.0", "items[].odd, name", "extra"] == (1, 0, 0, 1)
+    assert got[created, "1.0.0", "extra", "extra"][3] == got[created, "1.0.0", "extra.deep", "extra"][3] == 1
+    assert got[C.ORDER_FAILED, "1.0.0", "compensations_applied", "declared"] == (2, 0, 1, 0)
+    assert got[C.FULFILLMENT_ASSIGNED, "1.0.0", "score_breakdown.more", "extra"][3] == 1
+    assert got[C.FULFILLMENT_ASSIGNED, "1.0.0", "score_breakdown.distance", "declared"] == (1, 1, 0, 0)
+    assert got[C.FULFILLMENT_ASSIGNED, "1.0.0", "order_id", "declared"] == (1, 1, 0, 0)
+    assert got[created, "2.0.0", "*", "unknown_contract"][0] == got["x", None, "*", "unknown_contract"][0] == 1

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tidewater import contracts as C
 
@@ -36,6 +41,134 @@ def contract_report(bronze: DataFrame, event_type: str, version: str = C.V1) ->
     )
 
 
+# Values whose inner form the contract leaves open: the failed event of a dead letter.
+_OPEN = {(C.DEAD_LETTER, "original_event")}
+_LISTS = "[]"
+
+
+def declared_fields() -> dict[tuple[str, str], dict[str, dict[str, str]]]:
+    """Per contract and scope (the payload, or the elements of a list of objects) its fields and their kinds."""
+    def kind(data_type) -> str:
+        name = data_type.simpleString()
+        return "object" if name.startswith("struct") else name
+
+    out: dict[tuple[str, str], dict[str, dict[str, str]]] = {}
+    for (event_type, version), ddl in C.PAYLOADS.items():
+        scopes: dict[str, dict[str, str]] = {}
+
+        def walk(struct: StructType, scope: str, prefix: str) -> None:
+            fields = scopes.setdefault(scope, {})
+            for field in struct.fields:
+                path = f"{prefix}{field.name}"
+                if (event_type, path) in _OPEN:
+                    fields[path] = "any"
+                elif isinstance(field.dataType, ArrayType) and isinstance(field.dataType.elementType, StructType):
+                    fields[path] = "array"
+                    walk(field.dataType.elementType, path + _LISTS, path + _LISTS + ".")
+                else:
+                    fields[path] = kind(field.dataType)
+                    if isinstance(field.dataType, StructType):
+                        walk(field.dataType, scope, path + ".")
+
+        walk(StructType.fromDDL(ddl), "", "")
+        out[(event_type, version)] = scopes
+    return out
+
+
+def contract_findings(bronze: DataFrame) -> DataFrame:
+    """Missing, drifted and extra fields of all contracts at any depth, from one pass over the payloads:
+    (event_type, schema_version, field, status, containers, missing, drifted, extra).
+
+    A payload is read as a variant, and only its shape (the names and types it holds) is kept, as is that of every
+    element of a list of objects; equal shapes are counted before the shuffle. The few distinct shapes are then held
+    against the contract. `containers` counts the objects that should hold the field; an absent or null field is
+    missing, one of another type is drifted, and a field that no contract declares is extra, counted where it occurs.
+    A pair of type and version that nobody registered has one row with status `unknown_contract`. A payload that is
+    no JSON object lacks all fields.
+    """
+    contracts = declared_fields()
+    lists = sorted({scope.removesuffix(_LISTS) for scopes in contracts.values() for scope in scopes if scope})
+    elements = [
+        f"coalesce(transform(try_variant_get(v, '$.{name}', 'array<variant>'),"
+        f" x -> struct('{name}{_LISTS}' as scope, schema_of_variant(x) as shape)), array())" for name in lists
+    ]
+    shapes = bronze.select("event_type", "schema_version", F.try_parse_json("data_json").alias("v")).selectExpr(
+        "event_type", "schema_version",
+        f"inline(concat(array(struct('' as scope, schema_of_variant(v) as shape)), {', '.join(elements)}))",
+    ).groupBy("event_type", "schema_version", "scope", "shape").agg(F.count(F.lit(1)).alias("n"))
+    names = ["event_type", "schema_version", "field", "status", "containers", "missing", "drifted", "extra"]
+    numbers = {"bigint": {"BIGINT"}, "double": {"BIGINT", "DOUBLE", "FLOAT", "DECIMAL"}, "string": {"STRING"},
+               "boolean": {"BOOLEAN"}}
+
+    def parsed(text: str) -> dict[str, str]:
+        """Paths of a shape with their types; a nested object's fields follow it, a list's elements do not."""
+        out: dict[str, str] = {}
+
+        def value(at: int, path: str, keep: bool) -> int:
+            head = re.compile(r"[A-Z_]+").match(text, at)
+            kind, at = head[0], head.end()
+            if kind == "ARRAY" and text.startswith("<", at):
+                start = at + 1
+                at = value(start, path, False)
+                kind = f"ARRAY<{text[start:at]}>"
+                at += 1
+            elif kind == "OBJECT" and text.startswith("<", at):
+                at += 1
+                while text[at] != ">":
+                    if text.startswith(", ", at):
+                        at += 2
+                    name = re.compile(r"`((?:[^`]|``)*)`: |([^:`]+): ").match(text, at)
+                    field = (name[1].replace("``", "`") if name[1] is not None else name[2])
+                    at = value(name.end(), f"{path}.{field}" if path else field, keep)
+                at += 1
+            elif kind == "DECIMAL":
+                at = text.index(")", at) + 1
+            if keep and path:
+                out[path] = kind
+            return at
+
+        value(0, "", True)
+        return out
+
+    def fits(kind: str, seen: str) -> bool:
+        if kind in ("any", seen.lower()):
+            return True
+        if kind.startswith("array"):
+            inner = kind[6:-1]
+            return seen.startswith("ARRAY") and (not inner or seen == "ARRAY<VOID>" or fits(inner, seen[6:-1].split("(")[0]))
+        return seen in numbers.get(kind, ())
+
+    def held_against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for event_type, version, scope, shape, n in batch.itertuples(index=False):
+                declared = contracts.get((event_type, version))
+                if declared is None:
+                    if not scope:
+                        out.append((event_type, version, "*", "unknown_contract", n, 0, 0, 0))
+                    continue
+                if scope not in declared:
+                    continue
+                seen = parsed(shape) if isinstance(shape, str) and shape.startswith("OBJECT") else {}
+                prefix = f"{scope}." if scope else ""
+                seen = {prefix + path: kind for path, kind in seen.items() if kind != "VOID"}
+                for path, kind in declared[scope].items():
+                    parent = path.removeprefix(prefix).rpartition(".")[0]
+                    if parent and seen.get(prefix + parent) != "OBJECT":
+                        continue
+                    found = seen.get(path)
+                    out.append((event_type, version, path, "declared", n, n * (found is None),
+                                n * (found is not None and not fits(kind, found)), 0))
+                opened = tuple(p + "." for p, k in declared[scope].items() if k != "object")
+                out += [(event_type, version, path, "extra", n, 0, 0, n) for path in seen
+                        if path not in declared[scope] and not path.startswith(opened)]
+            yield pd.DataFrame(out, columns=names)
+
+    rows = shapes.mapInPandas(held_against, "event_type string, schema_version string, field string, status string, "
+                                            "containers bigint, missing bigint, drifted bigint, extra bigint")
+    return rows.groupBy(*names[:4]).agg(*(F.sum(c).alias(c) for c in names[4:]))
+
+
 def unknown_contracts(bronze: DataFrame) -> DataFrame:
     """Pairs of type and version nobody registered, with their counts."""
     known = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(v).alias("v")) for t, v in C.PAYLOADS])

@@ -160,6 +160,55 @@ def raw_records(spark: SparkSession, root: str, *types: str) -> DataFrame:
     return records_of(spread(order_facts(spark, root)), *(types or RAW_TYPES))
 
 
+UNREGISTERED = "order.returned"
+_CATALOGUE_TIME = {
+    **_RAW_TIME, C.RESERVATION_REQUESTED: "requested_at", C.INVENTORY_RESERVED: "reserved_at",
+    C.INVENTORY_REJECTED: "rejected_at", C.FULFILLMENT_ASSIGNED: "assigned_at", C.ORDER_CANCELLED: "cancelled_at",
+    C.ORDER_FAILED: "failed_at", C.INVENTORY_LOW: "low_at",
+    UNREGISTERED: "if(k % 9 = 4, created_at + interval 30 days, null)",
+}
+_ORDER_REF = "if(k % 227 <> 0, order_id, null) as order_id"
+_CATALOGUE_PAYLOAD = {
+    **_RAW_PAYLOAD,
+    C.ORDER_CREATED: f"""struct({_ORDER_REF}, customer_id, items, total as order_total, 'EUR' as currency,
+        concat('key-', k) as idempotency_key)""",
+    C.RESERVATION_REQUESTED: f"""struct({_ORDER_REF}, transform(items, i -> struct(i.sku, i.qty)) as items,
+        transform(sequence(0, 2), n -> concat('N', (k + n) % 25)) as candidate_node_ids)""",
+    C.INVENTORY_RESERVED: f"""struct({_ORDER_REF}, transform(items, (i, n) -> struct(i.sku, node_id, i.qty,
+        concat('R', k, '-', n) as reservation_id, {{iso}} as expires_at)) as reservations)""",
+    C.INVENTORY_REJECTED: f"""struct({_ORDER_REF},
+        transform(items, i -> struct(i.sku, i.qty as requested_qty, 0L as available_qty)) as reasons)""",
+    C.FULFILLMENT_ASSIGNED: f"""struct({_ORDER_REF}, if(k % 233 <> 0, node_id, null) as node_id, 0.75D as score,
+        struct(1D as stock, 0.5D as distance, if(k % 31 <> 0, 0.25D, null) as capacity, 0.5D as delivery_estimate,
+               0.5D as backlog) as score_breakdown, {{iso}} as estimated_ship_date)""",
+    C.ORDER_CANCELLED: f"""struct({_ORDER_REF}, 'customer' as cancelled_by, 'changed mind' as reason,
+        'CREATED' as previous_state)""",
+    C.ORDER_FAILED: f"""struct({_ORDER_REF}, if(k % 10 = 0, 'RESERVE_INVENTORY', 'PROCESS_PAYMENT') as failed_step,
+        'refused' as reason, if(k % 10 = 0, array(), array('RELEASE_INVENTORY')) as compensations_applied)""",
+    C.INVENTORY_LOW: "struct(get(items, 0).sku as sku, node_id, 3L as available_qty, 10L as threshold)",
+    UNREGISTERED: f"struct({_ORDER_REF}, size(items) as parcels)",
+}
+
+
+def catalogue_records(spark: SparkSession, root: str) -> DataFrame:
+    """Bus records of all eleven registered types and an unregistered one, with the orders' own lines as items.
+
+    Faults as in `records_of`; besides, every 241st key has text for the quantities of items and every 251st names a
+    field that no contract knows.
+    """
+    lines = table(spark, root, "lineitem").join(
+        table(spark, root, "part").selectExpr("p_partkey as l_partkey", "p_retailprice"), "l_partkey")
+    # One list per order, of its own lines.
+    items = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(F.expr(
+        "struct(concat('P', l_partkey) as sku, bigint(l_quantity) as qty, double(p_retailprice) as unit_price)"))).alias("items"))
+    facts = order_facts(spark, root).join(items, "k", "left") \
+        .withColumn("items", F.coalesce("items", F.expr("cast(array() as array<struct<sku:string,qty:bigint,unit_price:double>>)"))) \
+        .withColumn("total", F.expr("aggregate(items, 0D, (t, i) -> t + i.qty * i.unit_price)"))
+    document = """if(k % 241 = 0, replace(document, '"qty":', '"qty":"many","was_qty":'), document)"""
+    document = f"""if(k % 251 = 0, replace({document}, '"data":{{', '"data":{{"channel":"app",'), {document})"""
+    return records_of(facts, *_CATALOGUE_PAYLOAD, payloads=_CATALOGUE_PAYLOAD, times=_CATALOGUE_TIME, document=document)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """JSON work is bound by CPU, and a small table comes in fewer pieces than there are cores: only then
     its rows are dealt out. Tables of at least as many pieces are left as they are."""
@@ -167,25 +216,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _document(event_type: str) -> str:
-    at = _RAW_TIME[event_type]
+def _document(event_type: str, payloads: dict[str, str], times: dict[str, str]) -> str:
+    at = times[event_type]
     iso = _ISO.format(at=at)
     return f"""struct('{event_type}' as topic, {at} as at, to_json(struct(
         if(k % 229 <> 0, concat('{event_type}:', k), null) as event_id, '{event_type}' as event_type,
         case when k % 213 = 0 then '9.9.9' when k % 211 <> 0 then '{C.V1}' end as schema_version,
         if(k % 223 = 0, 'not-a-time', {iso}) as occurred_at, 'order-service' as producer,
         concat('cor-', k) as correlation_id, struct(concat('00-', k) as traceparent) as trace_context,
-        {_RAW_PAYLOAD[event_type].replace("{iso}", iso)} as data)) as document)"""
+        {payloads[event_type].replace("{iso}", iso)} as data)) as document)"""
 
 
-def records_of(facts: DataFrame, *types: str) -> DataFrame:
+def records_of(facts: DataFrame, *types: str, payloads: dict[str, str] = _RAW_PAYLOAD, times: dict[str, str] = _RAW_TIME,
+               document: str = "document") -> DataFrame:
     """Every 20th key is delivered twice; some values are null, not JSON, or JSON without an envelope;
     some envelopes miss the id, the version, a mandatory key, or carry an unusable time; some totals
     are text instead of a number.
     """
     return (
-        facts.selectExpr("k", f"inline(array({', '.join(_document(t) for t in types)}))")
+        facts.selectExpr("k", f"inline(array({', '.join(_document(t, payloads, times) for t in types)}))")
         .where("at is not null")
+        .selectExpr("k", "topic", "at", f"{document} as document")
         .selectExpr("k", "topic", "at", """posexplode(array_repeat(
             case when k % 350 = 7 then null when k % 50 = 1 then '{bad' when k % 450 = 2 then '{"note":"no envelope"}'
                  when k % 239 = 0 then replace(document, '"order_total":', '"order_total":"?","was":')
