@@ -250,3 +250,29 @@ def test_idle_clients_leave_the_state(spark, tmp_path):
     collect_stream(stream, tmp_path, "idle")
     state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "state").load(str(tmp_path / "idle-checkpoint"))
     assert {r["key"]["client"] for r in state.collect()} <= {"c"}
+
+
+def test_batches_are_counted_while_they_are_written(spark, tmp_path):
+    tracker = spark.sparkContext.statusTracker()
+    frame = spark.createDataFrame([(1, DAY, "a"), (2, DAY, "a"), (3, DAY, "b"), (4, DAY, None)], "n int, date date, way string").repartition(3)
+    path, noted = str(tmp_path / "out"), str(tmp_path / "noted")
+
+    def emit(name):
+        return lambda tagged, label: sinks.write_day_partitions(tagged.where(F.col("way") == name).drop("way"), f"{path}-{name}", label)
+
+    write = sinks.routed_sink("l", "d", lambda b: b, "way", {"c": emit("c"), "a": emit("a"), "b": emit("b")}, noted)
+    for _ in range(2):  # a repeated batch leaves one copy, of rows and of counts
+        write(frame, 7)
+    assert rows(spark.read.parquet(f"{path}-a"), "n") == [(1,), (2,)] and rows(spark.read.parquet(f"{path}-b"), "n") == [(3,)]
+    assert rows(sinks.metrics_frame(spark, noted), "batch_id", "outcome", "rows") == [(7, "a", 2), (7, "b", 1)]
+    spark.sparkContext.setJobGroup("plain", "plain")
+    sinks.plain_sink("l", "e", f"{path}-e")(frame.drop("way"), 1)
+    jobs = len(tracker.getJobIdsForGroup("plain"))
+    spark.sparkContext.setJobGroup("before", "before")
+    counted = frame.drop("way").persist()
+    counted.count()
+    sinks.write_day_partitions(counted, f"{path}-f", "x")
+    assert jobs < len(tracker.getJobIdsForGroup("before"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    sinks.plain_sink("l", "e", f"{path}-g", noted)(frame.drop("way").where("n > 9"), 1)
+    assert sinks.metrics_frame(spark, noted).where("dataset = 'e'").count() == 0

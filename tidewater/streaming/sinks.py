@@ -5,7 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,45 +47,53 @@ def write_batch(df: DataFrame, path: str, label: str, *partitions: str) -> None:
     )
 
 
+def _observed(watch: Observation) -> dict[str, int] | None:
+    """What the finished write has counted; None where a result without rows was planned away, and the count with it."""
+    try:
+        return {name: n or 0 for name, n in watch.get.items()}
+    except Py4JJavaError:
+        return None
+
+
 def routed_sink(layer: str, dataset: str, tag: Callable[[DataFrame], DataFrame], column: str,
                 outputs: dict[str, Callable[[DataFrame, str], None]],
                 metrics: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: `tag` is computed once, each row goes to the output named by `column`.
 
-    The tagged batch is kept while its outputs are written, and outputs without rows are skipped. Counts and
-    seconds of each batch go to the table `metrics`.
+    Rows are counted by outcome while the first output is written, which also keeps the tagged batch for the others;
+    of these, the ones without rows are skipped. Counts and seconds of each batch go to the table `metrics`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        started, label = time.monotonic(), batch_label(batch, batch_id)
-        tagged = tag(batch).persist()
+        started, label, watch = time.monotonic(), batch_label(batch, batch_id), Observation()
+        each = [F.count_if(F.col(column) == name).alias(name) for name in outputs]
+        tagged = tag(batch).observe(watch, *each).persist()
+        counts: dict[str, int] | None = None
         try:
-            counts = {r[0]: r[1] for r in tagged.groupBy(column).count().collect()}  # one row per output
             for name, emit in outputs.items():
-                if counts.get(name):
+                if counts is None or counts.get(name):
                     emit(tagged, label)
+                if counts is None:
+                    counts = _observed(watch)
+            if counts is None:
+                counts = {r[0]: r[1] for r in tagged.groupBy(column).count().collect()}  # one row per outcome
         finally:
             tagged.unpersist()
         if metrics:
-            record(batch, metrics, layer, dataset, batch_id, counts, time.monotonic() - started)
+            record(batch, metrics, layer, dataset, batch_id, {k: n for k, n in counts.items() if n}, time.monotonic() - started)
 
     return write
 
 
 def plain_sink(layer: str, dataset: str, path: str, metrics: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function for aggregates: one dated output."""
+    """A foreachBatch function for aggregates: one dated output, counted while it is written."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        started, label = time.monotonic(), batch_label(batch, batch_id)
-        kept = batch.persist()
-        try:
-            rows = kept.count()
-            if rows:
-                write_day_partitions(kept, path, label)
-        finally:
-            kept.unpersist()
-        if metrics and rows:
-            record(batch, metrics, layer, dataset, batch_id, {"output": rows}, time.monotonic() - started)
+        started, label, watch = time.monotonic(), batch_label(batch, batch_id), Observation()
+        write_day_partitions(batch.observe(watch, F.count(F.lit(1)).alias("output")), path, label)
+        counts = _observed(watch)
+        if metrics and counts and counts["output"]:
+            record(batch, metrics, layer, dataset, batch_id, counts, time.monotonic() - started)
 
     return write
 
