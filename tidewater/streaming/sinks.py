@@ -76,7 +76,7 @@ def routed_sink(layer: str, dataset: str, tag: Callable[[DataFrame], DataFrame],
                 if counts is None:
                     counts = _observed(watch)
             if counts is None:
-                counts = {r[0]: r[1] for r in tagged.groupBy(column).count().collect()}  # one row per outcome
+                counts = tagged.agg(*each).first().asDict()
         finally:
             tagged.unpersist()
         if metrics:
