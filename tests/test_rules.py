@@ -260,3 +260,37 @@ def test_fallback_allocation_equals_its_rounds_walked_serially(spark, seed, roun
     failed = {o: "no inventory" if not c else "all nodes refused" for o, c in choices.items()}
     assert rows(got) == sorted(((o, *want.get(o, (None, None)), None if o in want else failed[o]) for o, _ in orders), key=repr)
     assert {r for _, r in want.values()} == set(range(1, max(r for _, r in want.values()) + 1))
+
+
+def test_steps_count_in_order_only_however_many_events_a_correlation_has(spark):
+    steps = lifecycle.FUNNEL
+    rng = random.Random(4)
+    data = [("c%d" % rng.randrange(30), rng.choice([*steps, C.ORDER_CANCELLED]), BASE + timedelta(seconds=rng.randrange(40))) for _ in range(500)]
+    data += [("same", s, BASE) for s in steps] + [("back", s, BASE - timedelta(seconds=i)) for i, s in enumerate(steps)]
+    data += [(None, steps[0], BASE), ("none", C.ORDER_CANCELLED, BASE), ("timeless", steps[0], None)]
+    events = spark.createDataFrame(data, "correlation_id string, event_type string, occurred_at timestamp")
+    want = {}
+    for c in {c for c, e, at in data if c is not None and at is not None and e in steps}:
+        reached, front = 0, None
+        for i, step in enumerate(steps):
+            times = [at for cc, e, at in data if cc == c and e == step and at is not None and (front is None or at >= front)]
+            if not times:
+                break
+            reached, front = i + 1, min(times)
+        want[c] = (reached, front)
+    for bound in (1000, 3):
+        got = {r[0]: (r[1], r[2]) for r in lifecycle.steps_reached(events, bound=bound).collect()}
+        assert got == want
+    assert want["same"][0] == 6 and want["back"][0] == 1
+
+
+def test_failure_is_read_from_the_payload(spark):
+    events = spark.createDataFrame([
+        ("a", C.ORDER_CREATED, BASE, "{}"), ("a", C.ORDER_FAILED, BASE + timedelta(seconds=9), '{"failed_step":"later"}'),
+        ("a", C.ORDER_FAILED, BASE, '{"failed_step":"pay","compensations_applied":["x","y"]}'),
+        ("b", C.ORDER_FAILED, BASE, "{bad"), ("c", C.ORDER_CANCELLED, BASE, None), ("d", C.ORDER_CREATED, BASE, None),
+    ], "correlation_id string, event_type string, occurred_at timestamp, data_json string")
+    paths = lifecycle.workflow_paths(events)
+    assert rows(paths, "correlation_id", "reached", "outcome", "failed_step", "compensations") == [
+        ("a", 1, "failed", "pay", ["x", "y"]), ("b", 0, "failed", None, []), ("c", 0, "cancelled", None, None), ("d", 1, "open", None, None)]
+    assert rows(lifecycle.funnel(paths)) == [(1, C.ORDER_CREATED, 2, 1, 0, 1, 1)]

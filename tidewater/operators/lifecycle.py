@@ -165,6 +165,74 @@ def order_lifecycle(events: DataFrame) -> DataFrame:
     )
 
 
+FUNNEL = (C.ORDER_CREATED, C.ORDER_VALIDATED, C.RESERVATION_REQUESTED, C.INVENTORY_RESERVED, C.FULFILLMENT_ASSIGNED,
+          C.ORDER_SHIPPED)
+
+
+def steps_reached(events: DataFrame, steps: tuple[str, ...] = FUNNEL, bound: int = skew.GROUP_BOUND) -> DataFrame:
+    """(correlation_id, reached, reached_at): how many of the steps each correlation took in order, and when the last.
+
+    A step counts from its first event at or after the step before it; earlier ones, repeats and other events do not
+    disturb. Events are (correlation_id, event_type, occurred_at); those without a correlation or a time are left
+    out. Repeats are folded before the shuffle; a correlation of few events is walked once, in order, and one of
+    more than `bound` by an aggregate per step.
+    """
+    known = events.where(F.col("correlation_id").isNotNull() & F.col("occurred_at").isNotNull()) \
+        .select("correlation_id", "occurred_at", F.array_position(F.lit(list(steps)), F.col("event_type")).alias("step")) \
+        .where("step > 0").distinct()
+    cold, hot = skew.split_by_size(known, ["correlation_id"], bound)
+    # At most `bound` events; at one time, later steps follow earlier ones.
+    walked = cold.groupBy("correlation_id").agg(F.sort_array(F.collect_list(F.struct("occurred_at", "step"))).alias("path"))
+    state = F.aggregate(
+        "path", F.struct(F.lit(0).cast("bigint").alias("reached"), F.lit(None).cast("timestamp").alias("reached_at")),
+        lambda s, e: F.when(e["step"] == s["reached"] + 1, F.struct(e["step"].alias("reached"), e["occurred_at"].alias("reached_at")))
+        .otherwise(s))
+    out = walked.select("correlation_id", state.alias("s")).select("correlation_id", "s.*")
+    if hot is not None:
+        front = hot.where("step = 1").groupBy("correlation_id").agg(F.min("occurred_at").alias("reached_at"))
+        done = hot.select("correlation_id").distinct().select("correlation_id", F.lit(0).cast("bigint").alias("reached"),
+                                                              F.lit(None).cast("timestamp").alias("reached_at"))
+        for step in range(1, len(steps) + 1):
+            front = cut_lineage(front)
+            done = done.unionByName(front.select("correlation_id", F.lit(step).cast("bigint").alias("reached"), "reached_at"))
+            front = hot.where(F.col("step") == step + 1).join(front, "correlation_id").where("occurred_at >= reached_at") \
+                .groupBy("correlation_id").agg(F.min("occurred_at").alias("reached_at"))
+        last = done.groupBy("correlation_id").agg(F.max("reached").alias("reached"), F.max_by("reached_at", "reached").alias("reached_at"))
+        out = out.unionByName(last)
+    return out
+
+
+def workflow_paths(events: DataFrame, steps: tuple[str, ...] = FUNNEL, bound: int = skew.GROUP_BOUND) -> DataFrame:
+    """(correlation_id, reached, reached_at, outcome, failed_step, compensations) of every correlation, where the step
+    that failed and what was undone are read from the payload (data_json) of its first failure."""
+    kind, at = F.col("event_type"), F.col("occurred_at")
+    failure = F.when(kind == C.ORDER_FAILED, F.struct(
+        at, F.get_json_object("data_json", "$.failed_step").alias("failed_step"),
+        F.from_json(F.get_json_object("data_json", "$.compensations_applied"), "array<string>").alias("compensations")))
+    ends = events.where("correlation_id is not null").groupBy("correlation_id").agg(
+        F.min(failure).alias("failure"), F.bool_or(kind == C.ORDER_CANCELLED).alias("cancelled"))
+    reached = F.coalesce("reached", F.lit(0).cast("bigint"))
+    outcome = (F.when(reached == len(steps), "shipped").when(F.col("failure").isNotNull(), "failed")
+               .when(F.col("cancelled"), "cancelled").otherwise("open"))
+    return ends.join(steps_reached(events, steps, bound), "correlation_id", "left").select(
+        "correlation_id", reached.alias("reached"), "reached_at", outcome.alias("outcome"),
+        F.when(outcome == "failed", F.col("failure.failed_step")).alias("failed_step"),
+        F.when(outcome == "failed", F.coalesce("failure.compensations", F.array())).alias("compensations"))
+
+
+def funnel(paths: DataFrame, steps: tuple[str, ...] = FUNNEL) -> DataFrame:
+    """(step, event_type, reached, failed, cancelled, open, compensated): correlations that reached each step, and of
+    those that went no further how they ended and how many of them had something undone."""
+    here = F.col("step") == F.col("reached")
+    each = paths.where("reached > 0").withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("reached"))))
+    return each.groupBy("step").agg(
+        F.count(F.lit(1)).alias("n"),
+        *(F.count_if(here & (F.col("outcome") == name)).alias(name) for name in ("failed", "cancelled", "open")),
+        F.count_if(here & (F.coalesce(F.size("compensations"), F.lit(0)) > 0)).alias("compensated"),
+    ).select("step", F.element_at(F.lit(list(steps)), F.col("step").cast("int")).alias("event_type"),
+             F.col("n").alias("reached"), "failed", "cancelled", "open", "compensated")
+
+
 def saga_duration(sagas: DataFrame) -> DataFrame:
     """Median and 95th percentile of seconds from start to end, by result."""
     ended = sagas.where("status <> 'RUNNING'").select(

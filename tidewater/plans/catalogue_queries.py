@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater import contracts as C
-from tidewater.operators import assurance, conformity, intake, refine
+from tidewater.operators import assurance, conformity, intake, lifecycle, refine
 from tidewater.plans.registry import query, statement
 from tidewater.sources import retail as R
 
@@ -130,3 +130,42 @@ def _findings_sql() -> str:
 @query("contract_findings", statement(_findings_sql(), "steps", events11=_EVENTS))
 def contract_findings(spark, root):
     return conformity.contract_findings(bronze(spark, root))
+
+
+_FLAGS = ", ".join(f"bool_or(event_type = '{t}') AS s{i}" for i, t in enumerate(lifecycle.FUNNEL, 1))
+_PATHS = f"""
+    SELECT *, CASE WHEN reached = 6 THEN 'shipped' WHEN failed THEN 'failed' WHEN cancelled THEN 'cancelled' ELSE 'open' END
+      AS outcome
+    FROM (SELECT *, CASE {' '.join(f"WHEN NOT s{i} THEN {i - 1}" for i in range(1, 7))} ELSE 6 END AS reached
+      FROM (SELECT k, {_FLAGS}, bool_or(event_type = 'order.failed') AS failed,
+              bool_or(event_type = 'order.cancelled') AS cancelled
+            FROM events11 WHERE event_time IS NOT NULL GROUP BY k))"""
+
+
+def workflow_events(spark, root):
+    return bronze(spark, root).select(
+        "correlation_id", "event_type", "data_json", F.try_to_timestamp("occurred_at").alias("occurred_at")
+    ).where("occurred_at is not null")
+
+
+@query("workflow_paths", statement(
+    """SELECT 'cor-' || k AS correlation_id, reached::BIGINT AS reached, outcome,
+      CASE WHEN outcome = 'failed' THEN CASE WHEN k % 10 = 0 THEN 'RESERVE_INVENTORY' ELSE 'PROCESS_PAYMENT' END END
+        AS failed_step,
+      CASE WHEN outcome = 'failed' THEN CASE WHEN k % 10 = 0 THEN '' ELSE 'RELEASE_INVENTORY' END END AS compensations
+    FROM paths""", "steps", events11=_EVENTS, paths=_PATHS))
+def workflow_paths(spark, root):
+    return lifecycle.workflow_paths(workflow_events(spark, root)).select(
+        "correlation_id", "reached", "outcome", "failed_step", F.array_join("compensations", ",").alias("compensations"))
+
+
+@query("workflow_funnel", statement(
+    f"""SELECT step::BIGINT AS step, event_type, count(*) AS reached,
+      count(*) FILTER (WHERE p.reached = step AND outcome = 'failed') AS failed,
+      count(*) FILTER (WHERE p.reached = step AND outcome = 'cancelled') AS cancelled,
+      count(*) FILTER (WHERE p.reached = step AND outcome = 'open') AS open,
+      count(*) FILTER (WHERE p.reached = step AND outcome = 'failed' AND k % 10 <> 0) AS compensated
+    FROM paths p JOIN (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(lifecycle.FUNNEL, 1))}) s(step, event_type)
+      ON step <= p.reached GROUP BY ALL""", "steps", events11=_EVENTS, paths=_PATHS))
+def workflow_funnel(spark, root):
+    return lifecycle.funnel(lifecycle.workflow_paths(workflow_events(spark, root)))
