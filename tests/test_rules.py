@@ -294,3 +294,17 @@ def test_failure_is_read_from_the_payload(spark):
     assert rows(paths, "correlation_id", "reached", "outcome", "failed_step", "compensations") == [
         ("a", 1, "failed", "pay", ["x", "y"]), ("b", 0, "failed", None, []), ("c", 0, "cancelled", None, None), ("d", 1, "open", None, None)]
     assert rows(lifecycle.funnel(paths)) == [(1, C.ORDER_CREATED, 2, 1, 0, 1, 1)]
+
+
+@pytest.mark.parametrize("active", [150, 0])
+def test_serving_nodes_equal_testing_each_node(spark, active):
+    rng = random.Random(9)
+    sites = [(f"n{i:03}", 0.0, 0.0, 1, 0, i < active) for i in range(160)]
+    stock = {(f"s{s}", n[0]): rng.randrange(10) for s in range(6) for n in sites if rng.random() < 0.9}
+    lines = [(f"o{o}", f"s{rng.randrange(7)}", rng.randrange(1, 8)) for o in range(60) for _ in range(rng.randint(1, 3))]
+    got = scoring.serving_nodes(spark.createDataFrame(lines, "order_id string, sku string, qty bigint"),
+                                spark.createDataFrame([(*k, v) for k, v in stock.items()], "sku string, node_id string, available_qty int"),
+                                nodes(spark, *sites))
+    want = [(o, n[0]) for o in {x[0] for x in lines} for n in sites if n[5]
+            and all(stock.get((sku, n[0]), -1) >= qty for order, sku, qty in lines if order == o)]
+    assert rows(got, "order_id", "node_id") == sorted(want, key=repr)

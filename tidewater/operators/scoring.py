@@ -39,31 +39,35 @@ def stock_sufficiency(wanted: DataFrame, stock: DataFrame, *, sum_by_sku: bool =
     )
 
 
+WORD_BITS = 63
+
+
 def serving_nodes(lines: DataFrame, stock: DataFrame, nodes: DataFrame) -> DataFrame:
     """(order_id, node_id) of active nodes that hold enough for every line of the order.
 
-    Only the largest line per (order, sku) matters. Stock is folded to one row per sku with its list
-    of nodes, at most one entry per node, so a popular sku meets one row instead of one per node, and
-    nodes that fall short are removed before anything is expanded.
+    Only the largest line per (order, sku) matters. Active nodes are numbered, and stock is folded to one row per sku
+    with the numbers and quantities of its nodes, at most one entry per node; so a popular sku meets one row instead of
+    one per node. A line then is a bitmap of the nodes able to serve it, one row per WORD_BITS nodes, and an order
+    the intersection of its lines' bitmaps, which combines before the shuffle. Only nodes that survive become rows.
     """
     need = lines.groupBy("order_id", "sku").agg(F.max("qty").alias("qty"))
-    active = nodes.where("active").select("node_id")
-    per_sku = stock.join(active, "node_id", "left_semi").groupBy("sku").agg(
-        F.collect_list(F.struct("node_id", "available_qty")).alias("held")
-    )
-    # Besides the nodes able to serve it, every line names the null node: its count is the number to reach.
-    able = need.join(per_sku, "sku", "left").selectExpr(
-        "order_id",
-        "explode(concat(array(cast(null as string)),"
-        " coalesce(filter(held, h -> h.available_qty >= qty).node_id, array()))) as node_id",
-    )
-    served = able.groupBy("order_id", "node_id").agg(F.count(F.lit(1)).alias("served"))
-    wanted = F.max(F.when(F.col("node_id").isNull(), F.col("served"))).over(Window.partitionBy("order_id"))
-    return (
-        served.withColumn("wanted", wanted)
-        .where(F.col("node_id").isNotNull() & (F.col("served") == F.col("wanted")))
-        .select("order_id", "node_id")
-    )
+    # Nodes are a dimension: numbering them is one small sort.
+    numbered = nodes.where("active").select("node_id").distinct().select(
+        "node_id", (F.row_number().over(Window.orderBy("node_id")) - 1).alias("number")).selectExpr(
+        "node_id", f"number div {WORD_BITS} as word", f"cast(number % {WORD_BITS} as int) as bit")
+    words = numbered.agg(F.max("word")).first()[0]
+    if words is None:
+        return need.join(numbered.select("node_id"), F.lit(False)).select("order_id", "node_id")
+    held = F.collect_list(F.struct("word", "bit", "available_qty"))
+    per_sku = stock.join(numbered, "node_id").groupBy("sku").agg(held.alias("held"))
+    # A line of a sku that no active node holds has empty bitmaps: its order cannot be served.
+    able = need.join(per_sku, "sku", "left").selectExpr("order_id", f"""posexplode(transform(sequence(0L, {words}L), w ->
+        aggregate(filter(coalesce(held, array()), h -> h.word = w and h.available_qty >= qty), 0L,
+                  (bits, h) -> bits | shiftleft(1L, h.bit)))) as (word, bits)""")
+    common = able.groupBy("order_id", "word").agg(F.bit_and("bits").alias("bits")).where("bits <> 0")
+    served = common.selectExpr("order_id", "bigint(word) as word",
+                               f"explode(filter(sequence(0, {WORD_BITS - 1}), b -> getbit(bits, b) = 1)) as bit")
+    return served.join(numbered, ["word", "bit"]).select("order_id", "node_id")
 
 
 def node_scores(candidates: DataFrame, customers: DataFrame, nodes: DataFrame) -> DataFrame:
