@@ -11,12 +11,12 @@ from tokenizers import Tokenizer
 from tidewater.llm import packing, pieces, records
 from tidewater.llm.tokens import Encoder, vocabulary
 
-ODD = ["it's  two", " lead", "trail ", "a\tb", "a\n\nb", "\n", "a \nb", "A b", "é x", "x\x1cy", "'s 's don't", "１２3 4", "\x00 a b"]
+ODD = ["it's  two", " lead", "trail ", "a\tb", "a\n\nb", "\n", "a \nb", "A b", "é x", "x\x1cy", "'s 's don't", "１２3 4", "\x00 a b",
+       "a <|endoftext|> b", "x<|endoftext|>y <|ENDOFTEXT|>", " <|startoftext|>z  \n", "<|endoftext|"]
 
 
 def library(name):
     tokenizer = Tokenizer.from_file(vocabulary(name))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 

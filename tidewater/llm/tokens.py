@@ -2,7 +2,8 @@
 
 A unit is a piece of text whose ids do not depend on its neighbours: for the byte-level vocabulary a word
 with the single space before it, or a line feed between words; for the word-end vocabulary a word. Texts with
-any other white space go to the tokenizer whole, so ids always equal those of the library on the whole text.
+any other white space or with one of the vocabulary's special marks go to the tokenizer whole, so ids always equal
+those of the library on the whole text.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        marks = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        # In any case, as a normaliser may lower it before the marks are looked for.
+        self.special = re.compile("|".join(map(re.escape, marks)), re.IGNORECASE) if marks else None
         self.tokenize = self.tokenizer.model.tokenize
         self.byte_level, self.width = byte_level, width
         self.symbols = byte_symbols()
@@ -79,6 +82,8 @@ class Encoder(dict):
         return b"".join([raw[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _units(self, text: str) -> list[str] | None:
+        if self.special is not None and self.special.search(text):
+            return None
         words = text.split()
         if self.byte_level:
             if "\x00" in text or " ".join(words) != text.replace("\n", " "):
