@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater import contracts as C
@@ -233,6 +233,29 @@ def funnel(paths: DataFrame, steps: tuple[str, ...] = FUNNEL) -> DataFrame:
              F.col("n").alias("reached"), "failed", "cancelled", "open", "compensated")
 
 
+def workflow_measures(events: DataFrame, paths: DataFrame) -> DataFrame:
+    """(outcome, workflows, share, avg_seconds, max_seconds) by outcome: how many correlations ended so, their share
+    of all, and the seconds from a correlation's first event to its last."""
+    spans = events.where("correlation_id is not null").groupBy("correlation_id").agg(
+        (F.max("occurred_at").cast("double") - F.min("occurred_at").cast("double")).alias("seconds"))
+    grouped = paths.join(spans, "correlation_id", "left").groupBy("outcome").agg(
+        F.count(F.lit(1)).alias("workflows"), F.avg("seconds").alias("avg_seconds"), F.max("seconds").alias("max_seconds"))
+    # One row per outcome.
+    whole = Window.partitionBy(F.lit(1))
+    return grouped.select("outcome", "workflows", (F.col("workflows") / F.sum("workflows").over(whole)).alias("share"),
+                          "avg_seconds", "max_seconds")
+
+
+def incident_counters(outcomes: DataFrame, letters: DataFrame) -> DataFrame:
+    """(counter, label, n): refused reservations by sku, dead letters by event type, and retries by consumer."""
+    refused = outcomes.where("outcome = 'rejected'").groupBy(F.col("sku").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    dead = letters.groupBy(F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    retries = letters.groupBy(F.col("failed_consumer").alias("label")).agg(F.sum(F.col("attempt_count") - 1).alias("n"))
+    named = [df.select(F.lit(name).alias("counter"), "label", F.col("n").cast("bigint").alias("n"))
+             for name, df in (("conflict", refused), ("dead_letter", dead), ("retry", retries))]
+    return reduce(DataFrame.unionByName, named)
+
+
 def saga_duration(sagas: DataFrame) -> DataFrame:
     """Median and 95th percentile of seconds from start to end, by result."""
     ended = sagas.where("status <> 'RUNNING'").select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater import contracts as C
 from tidewater.operators import assurance, conformity, intake, lifecycle, refine
 from tidewater.plans.registry import query, statement
+from tidewater.sources import lake
 from tidewater.sources import retail as R
 
 _TIMES = {
@@ -169,3 +170,29 @@ def workflow_paths(spark, root):
       ON step <= p.reached GROUP BY ALL""", "steps", events11=_EVENTS, paths=_PATHS))
 def workflow_funnel(spark, root):
     return lifecycle.funnel(lifecycle.workflow_paths(workflow_events(spark, root)))
+
+
+@query("workflow_measures", statement(
+    """SELECT outcome, count(*) AS workflows, round(count(*) / (SELECT count(*) FROM paths), 4) AS share,
+      round(avg(seconds), 4) AS avg_seconds, max(seconds)::DOUBLE AS max_seconds
+    FROM paths JOIN (SELECT k, epoch(max(event_time)) - epoch(min(event_time)) AS seconds FROM events11
+      WHERE event_time IS NOT NULL GROUP BY k) USING (k) GROUP BY outcome""", "steps", events11=_EVENTS, paths=_PATHS))
+def workflow_measures(spark, root):
+    events = workflow_events(spark, root)
+    measures = lifecycle.workflow_measures(events, lifecycle.workflow_paths(events))
+    return measures.withColumns({c: F.round(c, 4) for c in ("share", "avg_seconds")})
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+          "pages", "benchmark", "labels", "conversations")
+
+
+@query("table_inventory", "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count, count(*) AS numbered_rows FROM {t}" for t in TABLES))
+def table_inventory(spark, root):
+    """Rows of the files of each table, and how many their row numbers say there are."""
+    from functools import reduce
+
+    per_file = [lake.file_inventory(R.table(spark, root, t)).withColumn("table_name", F.lit(t)) for t in TABLES]
+    return reduce(lambda a, b: a.unionByName(b), per_file).groupBy("table_name").agg(
+        F.sum("rows").alias("row_count"), F.sum(F.col("last_row") + 1).alias("numbered_rows"))

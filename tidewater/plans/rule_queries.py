@@ -203,6 +203,16 @@ def low_stock_alerts(spark, root):
     return allocation.low_stock(outcomes(spark, root))
 
 
+@query("incident_counters", statement(
+    """SELECT 'conflict' AS counter, sku AS label, count(*) AS n FROM walk WHERE qty > before GROUP BY sku
+    UNION ALL SELECT 'dead_letter', CASE k % 3 WHEN 0 THEN 'order.created' WHEN 1 THEN 'order.validated' ELSE 'order.shipped' END,
+      count(*) FROM steps WHERE dead_at IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'retry', CASE k % 2 WHEN 0 THEN 'order-validator' ELSE 'fulfillment-orchestrator' END, sum(k % 5)::BIGINT
+      FROM steps WHERE dead_at IS NOT NULL GROUP BY 2""", "steps", "lines", "stock", recursive=True, **_ALLOCATION))
+def incident_counters(spark, root):
+    return lifecycle.incident_counters(outcomes(spark, root), R.dead_letters(spark, root))
+
+
 _NOW = "1998-06-01 00:00:00"
 _HELD = """SELECT 'R' || k AS reservation_id, order_id, 'P' || (k % 200) AS sku, node_id, (k % 5 + 1)::INTEGER AS qty,
     CASE k % 6 WHEN 0 THEN 'RELEASED' WHEN 1 THEN 'COMMITTED' ELSE 'ACTIVE' END AS status,

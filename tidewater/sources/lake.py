@@ -190,3 +190,14 @@ def partition_inventory(spark: SparkSession, path: str) -> DataFrame:
         .groupBy("segment")
         .agg(F.count(F.lit(1)).alias("objects"), F.sum("length").alias("bytes"))
     )
+
+
+def file_inventory(table: DataFrame) -> DataFrame:
+    """(file, bytes, rows, first_row, last_row, share) of every file of a Parquet table, from a scan of its rows'
+    hidden metadata: what a file holds, not what its name says, and its share of the rows of an average file."""
+    meta = F.col("_metadata")
+    files = table.select(meta["file_path"].alias("file"), meta["file_size"].alias("bytes"), meta["row_index"].alias("at")) \
+        .groupBy("file", "bytes").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first_row"), F.max("at").alias("last_row"))
+    # One row per file.
+    mean = files.agg(F.avg("rows").alias("mean")).first()["mean"]
+    return files.withColumn("share", F.col("rows") / F.lit(mean))
