@@ -308,3 +308,20 @@ def test_serving_nodes_equal_testing_each_node(spark, active):
     want = [(o, n[0]) for o in {x[0] for x in lines} for n in sites if n[5]
             and all(stock.get((sku, n[0]), -1) >= qty for order, sku, qty in lines if order == o)]
     assert rows(got, "order_id", "node_id") == sorted(want, key=repr)
+
+
+def test_any_range_of_slices_gives_quantiles_within_the_stated_error(spark, tmp_path):
+    rng = random.Random(2)
+    log = [(BASE + timedelta(minutes=rng.randrange(60 * 48)), rng.choice("ab"), rng.lognormvariate(3, 1)) for _ in range(20_000)]
+    log += [(BASE + timedelta(hours=5), "tied", 7.0)] * 500 + [(None, "a", 1.0), (BASE, "a", None)]
+    frame = spark.createDataFrame(log, "ts timestamp, scenario string, latency_ms double").repartition(5)
+    requests.latency_slices(frame).write.parquet(f"{tmp_path}/slices")
+    slices = spark.read.parquet(f"{tmp_path}/slices")
+    for first, last in ((0, 48), (3, 9), (47, 48)):
+        low, high = BASE + timedelta(hours=first), BASE + timedelta(hours=last)
+        for row in requests.latency_of_range(slices, F.lit(low), F.lit(high), {"p50": 0.5, "p99": 0.99}).collect():
+            held = np.array([v for at, s, v in log if at is not None and v is not None and low <= at < high and s == row["scenario"]])
+            assert row["n"] == len(held)
+            for name, p in (("p50", 0.5), ("p99", 0.99)):
+                assert np.mean(held < row[name]) <= p + requests.SKETCH_ERROR and np.mean(held <= row[name]) >= p - requests.SKETCH_ERROR
+    assert requests.latency_of_range(slices, F.lit(BASE), F.lit(BASE), {"p50": 0.5}).count() == 0

@@ -52,6 +52,30 @@ def latency_summary(log: DataFrame) -> DataFrame:
     return plain.join(skew.exact_quantiles(log, ["scenario"], "latency_ms", TREND), "scenario")
 
 
+SKETCH_SIZE = 800  # rank error of about 0.004; `SKETCH_ERROR` is five times that
+SKETCH_ERROR = 0.02
+
+
+def latency_slices(log: DataFrame, length: str = "1 hour") -> DataFrame:
+    """(scenario, slice_start, slice_end, n, sketch): a mergeable quantile sketch per scenario and slice of time.
+
+    To be stored: a slice costs a few kilobytes however many requests it saw, and any range of slices can be asked
+    later without the log. Requests without a time or a latency are left out.
+    """
+    return log.where("ts is not null and latency_ms is not null").groupBy("scenario", F.window("ts", length).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(SKETCH_SIZE)).alias("sketch"),
+    ).select("scenario", F.col("w.start").alias("slice_start"), F.col("w.end").alias("slice_end"), "n", "sketch")
+
+
+def latency_of_range(slices: DataFrame, first: Column, end: Column, probabilities: dict[str, float]) -> DataFrame:
+    """(scenario, n, one column per probability) over the slices that lie in [first, end): quantiles whose rank is off
+    by at most SKETCH_ERROR of all requests, but for one case in many thousands."""
+    inside = slices.where((F.col("slice_start") >= first) & (F.col("slice_end") <= end))
+    merged = inside.groupBy("scenario").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_SIZE)).alias("s"))
+    return merged.select("scenario", "n", *(F.kll_sketch_get_quantile_double("s", F.lit(p)).alias(name)
+                                           for name, p in probabilities.items()))
+
+
 def failure_rate(log: DataFrame) -> DataFrame:
     failed = F.col("failed").cast("double")
     return log.groupBy("scenario").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import requests as Q
 from tidewater.plans.registry import query, statement
+from tidewater.session import scratch_path
 from tidewater.sources import retail as R
 
 # The log is thin, so the limit is tried over days instead of minutes.
@@ -91,3 +92,26 @@ def client_window_hits(spark, root):
           FROM walk w JOIN numbered r ON r.client = w.client AND r.n = w.n + 1)"""))
 def rate_limit_replay(spark, root):
     return Q.rate_limit(R.request_log(spark, root), LIMIT, WINDOW_SECONDS)
+
+
+@query("latency_by_slices", statement(
+    f"""SELECT scenario, count(*) AS n, true AS p50_within, true AS p95_within, true AS p99_within FROM log,
+      (SELECT date_trunc('day', min(ts)) + INTERVAL 3 DAY AS first, date_trunc('day', max(ts)) - INTERVAL 2 DAY AS last FROM log)
+    WHERE ts >= first AND ts < last GROUP BY scenario""", "log"))
+def latency_by_slices(spark, root):
+    """Quantiles of a range of days from stored hourly sketches, and whether each lies within the stated rank error
+    when it is held against the log itself: the share of requests below it, and of those not above it."""
+    log = R.request_log(spark, root)
+    # One row: the range.
+    first, end = log.selectExpr("date_trunc('day', min(ts)) + interval 3 days", "date_trunc('day', max(ts)) - interval 2 days").first()
+    path = scratch_path(spark, "latency-slices")
+    Q.latency_slices(log).write.parquet(path)
+    wanted = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    asked = Q.latency_of_range(spark.read.parquet(path), F.lit(first), F.lit(end), wanted)
+    held = log.where((F.col("ts") >= F.lit(first)) & (F.col("ts") < F.lit(end))).join(asked, "scenario")
+    below = {name: F.avg((F.col("latency_ms") < F.col(name)).cast("double")) for name in wanted}
+    upto = {name: F.avg((F.col("latency_ms") <= F.col(name)).cast("double")) for name in wanted}
+    return held.groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("n"),
+        *(((below[name] <= p + Q.SKETCH_ERROR) & (upto[name] >= p - Q.SKETCH_ERROR) & (F.first("n") == F.count(F.lit(1))))
+          .alias(f"{name}_within") for name, p in wanted.items()))
