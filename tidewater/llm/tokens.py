@@ -8,6 +8,7 @@ those of the library on the whole text.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 
@@ -38,6 +39,8 @@ class Encoder(dict):
         marks = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         # In any case, as a normaliser may lower it before the marks are looked for.
         self.special = re.compile("|".join(map(re.escape, marks)), re.IGNORECASE) if marks else None
+        # What all marks begin with, up to the first letter: found much faster than the marks.
+        self.hint = re.match(r"[^A-Za-z]*", os.path.commonprefix(marks))[0]
         self.tokenize = self.tokenizer.model.tokenize
         self.byte_level, self.width = byte_level, width
         self.symbols = byte_symbols()
@@ -82,7 +85,7 @@ class Encoder(dict):
         return b"".join([raw[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _units(self, text: str) -> list[str] | None:
-        if self.special is not None and self.special.search(text):
+        if self.special is not None and self.hint in text and self.special.search(text):
             return None
         words = text.split()
         if self.byte_level:
