@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import keep
+from tidewater.llm.common import Scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,17 +15,21 @@ def components(edges: DataFrame) -> DataFrame:
     of high degree is combined before the shuffle and never held as a list. Rounds grow with the logarithm
     of the longest path. Loops and repeated edges do no harm; no edges give no rows.
     """
-    stars = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(),
-                 "edges")
-    before = None
+    spark = edges.sparkSession
+    before, held = None, Scratch(spark)
+    stars = held.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(),
+                      "edges")
     while True:
-        both = stars.unionByName(stars.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        low = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("least"))
-        large = both.join(low, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
-        large = keep(large.distinct(), "large-star")
-        low = large.groupBy("hi").agg(F.min("lo").alias("least"))
-        small = large.join(low, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
-        stars = keep(small.unionByName(low.select("hi", F.col("least").alias("lo"))).distinct(), "small-star")
+        with held, Scratch(spark) as within:
+            both = stars.unionByName(stars.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+            low = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("least"))
+            large = both.join(low, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
+            large = within.keep(large.distinct(), "large-star")
+            low = large.groupBy("hi").agg(F.min("lo").alias("least"))
+            small = large.join(low, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
+            after = Scratch(spark)
+            stars = after.keep(small.unionByName(low.select("hi", F.col("least").alias("lo"))).distinct(), "small-star")
+        held = after
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             break
