@@ -1,11 +1,13 @@
 """Rules, language, winnowing and the network against slow versions of themselves."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from llm_data import awkward_rows, prose, rows, texts
 
 from tidewater.llm import convnet, language, rules, winnow
@@ -138,6 +140,21 @@ def test_winnowing_selects_the_rightmost_minimum_and_guarantees_matches():
     assert set(winnow.select(one, powers, 4, 6)[0]) & set(winnow.select(two, powers, 4, 6)[0])
 
 
+@pytest.mark.parametrize("n", [20, 60, 90, 127, 150, 255, 300, 511, 600, 2000])
+def test_texts_of_any_length_meet_their_own_half_and_not_another_text(n):
+    rng, powers = random.Random(n), Powers()
+
+    def print_of(text):
+        return np.unique(winnow.select_all(winnow._codes(text), powers)[0])
+
+    for _ in range(40):
+        one, other = prose(rng, n)[:n], prose(rng, n)[:n]
+        half = n // 2
+        for edited in (one[:n - half] + other[:half], one[:n - half] + "?"):
+            near = winnow.likeness(print_of(one), print_of(edited))
+            assert near > 0.02 + winnow.likeness(print_of(one), print_of(other))
+
+
 def test_edited_pairs_follow_descending_ids(awkward, nothing, spark):
     got = [tuple(r) for r in winnow.edited_pairs(awkward).collect()]
     low = -(1 << 63)
@@ -150,7 +167,7 @@ def test_edited_pairs_follow_descending_ids(awkward, nothing, spark):
         want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), edited, text, after))
 
     def print_of(text):
-        return winnow.select(winnow._codes(text), Powers())
+        return winnow.select_all(winnow._codes(text), Powers())
 
     assert len(got) == len(want)
     for g, w in zip(sorted(got, key=lambda r: (-r[0], r[1], r[2])), sorted(want, key=lambda r: (-r[0], r[1], r[2]))):

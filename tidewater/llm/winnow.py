@@ -1,7 +1,10 @@
 """Winnowing fingerprints: rolling k-gram hashes, the rightmost minimum of each window, positions kept.
 
-Any two texts that share a passage of WINDOW + GRAM - 1 code points share a selected hash, and passages under GRAM
-code points never match.
+Texts of LONG_FROM code points or more have k-grams of GRAM in windows of WINDOW: any two that share a passage of
+WINDOW + GRAM - 1 code points share a selected hash. Texts under SHORT_BELOW have k-grams of SHORT_GRAM in windows of a
+sixteenth of their length, rounded down to a power of two: what the larger of two such windows selects, the smaller
+one selects too, so two of them share a hash from SHORT_GRAM - 1 and the larger window on. Texts between the
+two limits have both, so that a text meets its own half across either limit. Shorter passages never match.
 """
 
 from __future__ import annotations
@@ -19,6 +22,9 @@ from tidewater.llm.common import Powers, Spans, keep, prepare, read, slices
 
 GRAM = 32
 WINDOW = 64
+SHORT_GRAM = 8
+LONG_FROM = 128
+SHORT_BELOW = 512
 
 
 def select(codes: np.ndarray, powers: Powers, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +48,23 @@ def select(codes: np.ndarray, powers: Powers, gram: int = GRAM, window: int = WI
         (np.uint64(0xFFFFFFFF) - (chosen & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
+def short_window(n: int) -> int:
+    """The window of a text of n code points under SHORT_BELOW: 1 under 32, 2 under 64, and so on to 16."""
+    return 1 << max((n // 16).bit_length() - 1, 0)
+
+
+def select_all(codes: np.ndarray, powers: Powers, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions, in order of position, of what a text of this length has selected."""
+    n, found = len(codes), []
+    if n < SHORT_BELOW:
+        found.append(select(codes, powers, min(SHORT_GRAM, gram), short_window(n)))
+    if n >= LONG_FROM:
+        found.append(select(codes, powers, gram, window))
+    hashes, positions = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(positions, kind="stable")
+    return hashes[order], positions[order]
+
+
 def packed(hashes: np.ndarray, positions: np.ndarray) -> str:
     """Eight hex digits of hash and four of the distance from the previous position, per selected k-gram."""
     out = np.empty(len(hashes), dtype=[("hash", ">u4"), ("gap", ">u2")])
@@ -68,7 +91,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for part in slices(batches, "text"):
-            prints = [packed(*select(_codes(t or ""), powers, gram, window)) for t in part.column("text").to_pylist()]
+            prints = [packed(*select_all(_codes(t or ""), powers, gram, window)) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints, pa.string())],
                                              names=["doc_id", "fingerprint"])
 
@@ -130,7 +153,7 @@ def edited_pairs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
         powers = Powers()
 
         def look(text: str):
-            hashes, positions = select(_codes(text), powers, gram, window)
+            hashes, positions = select_all(_codes(text), powers, gram, window)
             return packed(hashes, positions), np.unique(hashes)
 
         def close(one, following) -> tuple:
