@@ -73,14 +73,14 @@ def slow_dedup(held, edits, shortest):
     first = {}
     for doc, text in sorted(held):
         for n, line in enumerate(text.split("\n")):
-            if len(line) >= shortest:
+            if line.strip(" \t\r\x0b\x0c"):
                 first[line] = min(first.get(line, (doc, n)), (doc, n))
     order = {line: int(np.uint64(xxhash.xxh64_intdigest(line.encode(), 42)).astype(np.int64)) for line in first}
-    known = list(first)
+    known = [line for line in first if len(line) >= shortest]
     gone = {max(a, b, key=order.get) for i, a in enumerate(known) for b in known[:i]
             if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits}
     return [(doc, "\n".join(line for n, line in enumerate(text.split("\n"))
-                            if len(line) < shortest or (first[line] == (doc, n) and line not in gone))) for doc, text in held]
+                            if line not in first or (first[line] == (doc, n) and line not in gone))) for doc, text in held]
 
 
 @pytest.mark.parametrize("edits", [1, 2, 3])
@@ -93,6 +93,15 @@ def test_lines_go_as_in_a_comparison_of_all_pairs(spark, edits):
     assert rows(got) == sorted(slow_dedup(held, edits, 12), key=repr)
 
 
+def test_short_lines_go_only_where_they_repeat_and_rows_of_one_id_are_told_apart(spark):
+    held = [(None, "short\none\n\nshort"), (None, "a\nshort"), (4, "b\n \nshort"), (4, "c\nb"), (4, "one\nshore"), (9, "b\n\n")]
+    got = lines.dedup_lines(spark.createDataFrame(held, "doc_id long, text string").repartition(3)).collect()
+    out = [line for r in got for line in r["text"].split("\n")]
+    assert sorted(line for line in out if line.strip()) == ["a", "b", "c", "one", "shore", "short"]
+    nulls = {line for r in got if r["doc_id"] is None for line in r["text"].split("\n")}
+    assert {"short", "one", "a"} <= nulls and {r["text"] for r in got if r["doc_id"] == 9} == {"\n"}
+
+
 def test_line_dedup_of_awkward_rows(awkward, nothing):
     out = lines.dedup_lines(awkward)
     assert out.columns == awkward.columns and out.count() == len(awkward_rows())

@@ -23,6 +23,7 @@ EDITS = 2
 SHORTEST = 32
 FILTER_BITS = 24
 BAG_CELLS = 14
+BLANKS = " \t\r\x0b\x0c"
 SEED = 42
 
 
@@ -236,19 +237,21 @@ def later_of_near(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
 def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """The rows of `docs`, all columns, without repeated lines; `n_chars`, where present, is counted anew.
 
-    Lines are what line feeds separate. A line of `shortest` code points or more stays only at its first place (by
-    doc_id, then line number), and only if no line of smaller XXH64 is within `edits` edits of it; shorter lines
-    always stay. No row goes: a text may become empty, a null text stays null. Lines of rows with equal doc_ids
-    count by their numbers together; a null doc_id comes before all. An empty table stays empty.
+    Lines are what line feeds separate. A line with a word stays only at its first place (by doc_id, where null comes
+    first, then by hash of the text, then by line number). A line of `shortest` code points or more goes too if one of
+    smaller XXH64 is within `edits` edits of it; in a shorter one so many edits would make another text, so only equal
+    ones go. Lines of white space stay. No row goes: a text may become empty, a null text stays null. Rows of equal
+    doc_id and text keep the same lines. An empty table stays empty.
     """
-    owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    text, own = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    owner = {"_line_known": own.isNotNull(), "_line_doc": F.coalesce(own, F.lit(0)), "_line_text": F.xxhash64(text)}
     prepare(docs.sparkSession)
-    each = docs.select(owner.alias("_doc"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("_line", "text"))
-    long = each.where(F.char_length("text") >= shortest)
-    first = long.groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("_doc", "_line")).alias("at"))
+    each = docs.select(*(c.alias(name) for name, c in owner.items()), F.posexplode(F.split(text, "\n")).alias("_line", "text"))
+    first = each.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy(F.xxhash64("text").alias("h")) \
+        .agg(F.min(F.struct(*owner, "_line")).alias("at"))
     stay = first.join(later_of_near(docs, edits, shortest), "h", "left_anti")
     # One list per document, of its own line numbers.
-    lists = stay.groupBy(F.col("at._doc").alias("_doc")).agg(F.collect_list("at._line").alias("_stay"))
+    lists = stay.groupBy(*(F.col(f"at.{name}").alias(name) for name in owner)).agg(F.collect_list("at._line").alias("_line_stay"))
 
     @F.pandas_udf("string")
     def kept_text(texts: pd.Series, stays: pd.Series) -> pd.Series:
@@ -259,11 +262,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -
                 continue
             numbers = set(stay) if stay is not None else ()
             out.append("\n".join([line for n, line in enumerate(text.split("\n"))
-                                  if len(line) < shortest or n in numbers]))
+                                  if n in numbers or not line.strip(BLANKS)]))
         return pd.Series(out, dtype=object)
 
-    joined_rows = docs.withColumn("_doc", owner).join(lists, "_doc", "left")
-    out = joined_rows.withColumn("text", kept_text(F.col("text").cast("string"), "_stay"))
+    out = docs.withColumns(owner).join(lists, [*owner], "left").withColumn("text", kept_text(text, "_line_stay"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
