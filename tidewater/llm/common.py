@@ -87,8 +87,8 @@ def bitmap_of(hashes: DataFrame, column: str, bits: int = 24) -> np.ndarray:
         .groupBy("word").agg(F.bit_or("bit").alias("bits"))
     bitmap = np.zeros(1 << (bits - 5), np.uint32)
     # At most 2 ** (bits - 5) rows.
-    held = words.toPandas()
-    bitmap[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64).astype(np.uint32)
+    held = words.toArrow()
+    bitmap[held.column("word").to_numpy()] = held.column("bits").to_numpy().astype(np.uint32)
     return bitmap
 
 
