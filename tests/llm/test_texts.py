@@ -106,6 +106,38 @@ def test_fewest_phrases_win():
     assert language.Parser(language.build_model({})).predict(["text"])[0] == ["und"]
 
 
+def test_scripts_of_any_number_of_letters_are_told_apart():
+    rng = random.Random(11)
+    scripts = {"el": (0x3B1, 24), "en": (0x61, 26), "ko": (0xAC00, 900), "ru": (0x430, 32), "zh": (0x4E00, 1200)}
+    words = {k: ["".join(chr(first + int(n * rng.random() ** 2)) for _ in range(rng.randint(1, 6)))
+                 for _ in range(300)] for k, (first, n) in scripts.items()}
+    # A second language of the same wide script has other words of the same letters.
+    words["ja"] = ["".join(rng.choice(words["zh"])[0] for _ in range(rng.randint(2, 4))) for _ in range(300)]
+    prose = {k: [" ".join(rng.choice(w) for _ in range(400)) for _ in range(2)] for k, w in words.items()}
+    model = language.build_model({k: texts[:1] for k, texts in prose.items()})
+    parser, table = language.Parser(model), language.letter_table()
+    assert len(model["alphabet"]) > 1000 and language.ABSENT not in model["alphabet"].values()
+    text_of = {k: "".join(map(chr, language.letters_of(v[0], table))) for k, v in prose.items()}
+    for name, (_, fresh) in prose.items():
+        mixed = fresh + " " + prose["zh"][1][:100] + " \u05d0\u05d1 \u0e01"
+        for text in (fresh, mixed):
+            codes = "".join(map(chr, language.letters_of(text, table)))[:language.SEGMENT]
+            found = {k: slow_phrases(codes, t) for k, t in text_of.items()}
+            (guess,), (score,) = parser.predict([codes[1:-1].replace("\0", " ")])
+            inner = language.letters_of(codes[1:-1].replace("\0", " "), table)
+            if len(inner) <= language.SEGMENT:
+                slow = {k: slow_phrases("".join(map(chr, inner)), t) for k, t in text_of.items()}
+                low, next_low = sorted(slow.values())[:2]
+                assert slow[guess] == low and abs(score - (1 - low / next_low)) < 1e-9
+            assert guess == name == min(found, key=found.get)
+
+
+def test_every_text_of_a_language_gives_an_equal_share():
+    parts = [np.arange(n) for n in (100, 3, 50, 0, 40)]
+    cut = language.equal_shares(parts, 93)
+    assert [len(c) for c in cut] == [30, 3, 30, 0, 30] and sum(map(len, language.equal_shares(parts, 500))) == 193
+
+
 def test_languages_of_awkward_rows(spark, awkward, nothing):
     model = language.learn(awkward)
     got = language.identify(awkward, model)

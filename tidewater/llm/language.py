@@ -3,7 +3,8 @@
 For each language a suffix automaton of labelled text recognises every substring of it. A document is parsed
 greedily: the longest match is a phrase, the next phrase starts after it. The language with the fewest phrases
 per character is the prediction; equal counts go to the language whose phrases are more frequent in its training
-text. Documents are cut into segments that are parsed side by side, one array step per character.
+text. Documents are cut into segments that are parsed side by side, one array step per character. Every letter of
+the training texts is a symbol: transitions by the most frequent ones lie in a dense table, all others in sorted keys.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from tidewater.llm.common import prepare, read, slices
 
 TRAINING_CHARS = 1 << 18
 MOST_CHARS = 1 << 16
+SPAN_CHARS = 1 << 13
 SAMPLE_BUCKETS = 64
-SYMBOLS = 64
+DENSE = 64
+ABSENT = DENSE - 1
 SEGMENT = 512
 UNKNOWN = "und"
 
@@ -92,42 +95,66 @@ class Automaton:
         self.weight = np.log1p(np.array(times, np.float32))
 
 
+def equal_shares(parts: list[np.ndarray], budget: int) -> list[np.ndarray]:
+    """The parts cut so that together they hold at most `budget` letters: each gives the same, or all it has."""
+    room, out = budget, {}
+    for done, k in enumerate(sorted(range(len(parts)), key=lambda k: len(parts[k]))):
+        out[k] = parts[k][:room // (len(parts) - done)]
+        room -= len(out[k])
+    return [out[k] for k in range(len(parts))]
+
+
 def build_model(samples: dict[str, list[str]]) -> dict:
     """One automaton per language over a common alphabet, as plain arrays that any worker can read.
 
-    Symbol 0 is a gap, then come the most frequent letters; the last symbol stands for all others and never matches.
+    Symbol 0 is a gap, then come all letters of the training texts, the most frequent first; symbol ABSENT is left
+    out, it stands for letters that no language has and never matches. Each text of a language gives an equal share.
     """
     table = letter_table()
     budget = min(MOST_CHARS, max(4096, TRAINING_CHARS // max(len(samples), 1)))
     texts = {}
     for lang in sorted(samples):
-        parts = [letters_of(t, table) for t in samples[lang]]
-        joined = np.concatenate([p for p in parts if len(p)] or [np.zeros(0, np.int32)])
-        if len(joined):
-            texts[lang] = joined[:budget]
+        parts = [p for p in (letters_of(t, table) for t in samples[lang]) if len(p)]
+        if parts:
+            texts[lang] = np.concatenate(equal_shares(parts, budget))
     counts: Counter = Counter()
     for codes in texts.values():
         counts.update(codes[codes > 0].tolist())
-    ranked = sorted(counts, key=lambda c: (-counts[c], c))[:SYMBOLS - 3]
-    alphabet = {c: i + 1 for i, c in enumerate(ranked)}
-    automata = [Automaton([alphabet.get(c, SYMBOLS - 2) if c else 0 for c in codes.tolist()])
-                for codes in texts.values()]
+    ranked = sorted(counts, key=lambda c: (-counts[c], c))
+    alphabet = {c: i + 1 + (i + 1 >= ABSENT) for i, c in enumerate(ranked)}
+    automata = [Automaton([alphabet[c] if c else 0 for c in codes.tolist()]) for codes in texts.values()]
     return {"alphabet": alphabet, "languages": list(texts), "states": [a.states for a in automata],
             "edges": [a.edges for a in automata], "weights": [a.weight for a in automata]}
 
 
+class Transitions:
+    """Next states of one automaton: a dense table for symbols under DENSE, sorted keys for the others."""
+
+    def __init__(self, states: int, edges: np.ndarray) -> None:
+        common = edges[edges[:, 1] < DENSE]
+        self.dense = np.zeros(states * DENSE, np.int32)
+        self.dense[common[:, 0] * DENSE + common[:, 1]] = common[:, 2]
+        rare = edges[edges[:, 1] >= DENSE]
+        keys = rare[:, 0].astype(np.int64) << 32 | rare[:, 1]
+        order = np.argsort(keys)
+        # A last key that no state has, so that a search always ends on an entry.
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.targets = np.append(rare[order, 2], 0).astype(np.int32)
+
+    def of_rare(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        wanted = state.astype(np.int64) << 32 | symbol
+        at = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[at] == wanted, self.targets[at], 0)
+
+
 class Parser:
-    """Predictions by a model; holds the transition tables of one worker."""
+    """Predictions by a model; holds the transitions of one worker."""
 
     def __init__(self, model: dict) -> None:
         self.languages, self.letters = model["languages"], letter_table()
-        self.tables = []
-        for states, edges in zip(model["states"], model["edges"]):
-            table = np.zeros(states * SYMBOLS, np.int32)
-            table[edges[:, 0] * SYMBOLS + edges[:, 1]] = edges[:, 2]
-            self.tables.append(table)
+        self.tables = [Transitions(states, edges) for states, edges in zip(model["states"], model["edges"])]
         self.weights = model["weights"]
-        self.symbol = np.full(sys.maxunicode + 1, SYMBOLS - 1, np.uint8)
+        self.symbol = np.full(sys.maxunicode + 1, ABSENT, np.int32)
         self.symbol[0] = 0
         for code, symbol in model["alphabet"].items():
             self.symbol[code] = symbol
@@ -145,16 +172,18 @@ class Parser:
                 doc.append(i)
                 symbols.append(s[at:at + SEGMENT])
         order = np.argsort([-len(s) for s in symbols], kind="stable")
-        grid = np.zeros((SEGMENT, len(order)), np.uint8)
+        grid = np.zeros((SEGMENT, len(order)), np.int32)
         lengths = np.array([len(symbols[k]) for k in order])
         for column, k in enumerate(order):
             grid[:lengths[column], column] = symbols[k]
         doc = np.array(doc)[order]
         live = np.searchsorted(-lengths, -np.arange(SEGMENT), side="left")
+        common = np.minimum(grid, ABSENT).astype(np.uint8)
+        rare = [np.flatnonzero(row >= DENSE) for row in grid] if grid.max(initial=0) >= DENSE else None
         phrases = np.zeros((len(languages), len(texts)))
         weights = np.zeros_like(phrases)
         for i, (table, rarity) in enumerate(zip(self.tables, self.weights)):
-            count, weight = self._parse(grid, live, table, rarity)
+            count, weight = self._parse(grid, common, rare, live, table, rarity)
             phrases[i] = np.bincount(doc, weights=count, minlength=len(texts))
             weights[i] = np.bincount(doc, weights=weight, minlength=len(texts))
         ranked = np.lexsort((-weights, phrases), axis=0)
@@ -169,7 +198,7 @@ class Parser:
         return names, np.where(sizes > 0, np.clip(score, 0.0, 1.0), 0.0)
 
     @staticmethod
-    def _parse(grid, live, table, weight) -> tuple[np.ndarray, np.ndarray]:
+    def _parse(grid, common, rare, live, table, weight) -> tuple[np.ndarray, np.ndarray]:
         state = np.zeros(grid.shape[1], np.int32)
         count = np.zeros(grid.shape[1])
         total = np.zeros(grid.shape[1])
@@ -177,13 +206,18 @@ class Parser:
             n = live[row]
             if not n:
                 break
-            symbol = grid[row, :n]
-            after = table[state[:n] * SYMBOLS + symbol]
+            symbol = common[row, :n]
+            after = table.dense[state[:n] * DENSE + symbol]
+            if rare is not None and len(rare[row]):
+                at = rare[row]
+                after[at] = table.of_rare(state[at], grid[row, at])
             stuck = np.flatnonzero(after == 0)
             if len(stuck):
                 # The phrase so far ends; a symbol that the language lacks is a phrase of its own.
-                ended = state[stuck]
-                again = table[symbol[stuck]]
+                ended, again = state[stuck], table.dense[symbol[stuck]]
+                if rare is not None:
+                    full = grid[row, stuck]
+                    again = np.where(full >= DENSE, table.of_rare(np.zeros_like(ended), full), again)
                 total[stuck] += weight[ended]
                 count[stuck] += (ended != 0).astype(float) + (again == 0)
                 after[stuck] = again
@@ -194,8 +228,9 @@ class Parser:
 def learn(docs: DataFrame, left_out=None) -> dict:
     """A model from (text, lang) rows with a known language.
 
-    The sample is bounded: of each language the row of smallest hash in each of 64 hash classes of doc_id, and
-    of these at most TRAINING_CHARS letters over all languages, MOST_CHARS of one.
+    The sample is bounded: of each language the row of smallest hash in each of 64 hash classes of doc_id, of each
+    of these at most SPAN_CHARS from a place given by the hash, and equal shares of at most TRAINING_CHARS letters
+    over all languages, MOST_CHARS of one.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
@@ -206,8 +241,9 @@ def learn(docs: DataFrame, left_out=None) -> dict:
     chosen = hashed.groupBy("lang", F.pmod("h", F.lit(SAMPLE_BUCKETS)).alias("class")) \
         .agg(F.min_by("doc_id", F.struct("h", "doc_id")).alias("doc_id")).select("doc_id", "lang")
     # At most 64 ids per language.
+    start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.char_length("text") - SPAN_CHARS, F.lit(0)) + 1)
     texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select(
-        "lang", "doc_id", F.substring("text", 1, MOST_CHARS // 8).alias("text")).collect()
+        "lang", "doc_id", F.col("text").substr(start.cast("int") + 1, F.lit(SPAN_CHARS)).alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for lang, _, text in sorted(map(tuple, texts), key=lambda r: (r[0], r[1] if r[1] is not None else -1, r[2])):
         samples.setdefault(lang, []).append(text)
