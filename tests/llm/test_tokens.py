@@ -104,6 +104,34 @@ def test_plans_hold_the_histogram_in_few_sequences(seed):
     used, least = sum(c for _, c in plan), -(-int(sizes.sum()) // 2048)
     assert used <= ([1.03, 1.002, 1.2, 2.0][seed]) * least
     assert seed != 3 or used == 500
+    # Columns of the program hold nearly all pieces, and those of lengths as texts have need no more sequences than
+    # best fit, so the plan is the program's.
+    columns, left = packing.solve(histogram)
+    assert sum(left.values()) <= packing.LAST_PIECES
+    assert used <= sum(c for _, c in packing._best_fit(dict(histogram), 2048))
+    assert seed != 1 or plan[:len(columns)] == columns
+
+
+def test_patterns_fit_and_are_filled_by_exchange():
+    lengths = np.array([1, 5, 7, 30, 64, 100])
+    most = np.array([0, 3, 2, 1, 1, 1])
+    pattern = packing.best_pattern(lengths.astype(float), lengths, most, 100)
+    assert all(n <= most[k] for k, n in pattern.items()) and sum(lengths[k] * n for k, n in pattern.items()) <= 100
+    # 64 + 30 leaves 6; 30 goes, and nothing closes 36, so the longest that fits comes in: 5.
+    assert packing.complete(Counter({3: 1, 4: 1}), lengths, most, 100) == Counter({3: 1, 4: 1, 1: 1})
+    # 64 + 5 leaves 31; 5 goes, 36 is closed by 6 and 30.
+    assert packing.complete(Counter({1: 1, 4: 1}), np.array([1, 5, 6, 30, 64]), np.array([0, 1, 1, 1, 1]), 100) == \
+        Counter({2: 1, 3: 1, 4: 1})
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        lengths = np.sort(rng.choice(np.arange(1, 64), 12, replace=False))
+        demand = rng.integers(1, 40, 12)
+        placed = np.zeros(12)
+        for pattern, times in packing.cover(lengths, demand, 64):
+            assert sum(lengths[k] * n for k, n in pattern.items()) <= 64 and times >= 1 - 1e-9
+            for k, n in pattern.items():
+                placed[k] += n * times
+        assert (placed <= demand + 1e-6).all() and (demand - placed < 1).all()
 
 
 @pytest.fixture(scope="module")

@@ -1,10 +1,12 @@
 """Best-fit packing by a configuration linear program over the histogram of piece lengths.
 
-The program asks for the fewest patterns (multisets of lengths that fit a sequence) that cover every length as
+The program asks for the fewest patterns (multisets of lengths that fit a sequence) that hold every length as
 often as it occurs. Multiplicative weights price the lengths, a knapsack by dynamic programming finds the pattern
-of best price, and the fractional solution is rounded down; what remains is solved again, and a last few pieces
-go by best fit. The histogram has at most `capacity` entries at any size of the corpus; pieces then look up
-their place by their rank among pieces of equal length.
+of best price, its last pieces are exchanged for ones that fill the sequence, and the fractional solution is rounded
+down; what remains is solved again. Lengths that occur seldom are taken in whole patterns, so that rounding does not
+lose them; the last few pieces go by best fit. The histogram has at most `capacity` entries at any size of the
+corpus, and a solution at most about five patterns a length; pieces then look up their place by their rank among
+pieces of equal length.
 """
 
 from __future__ import annotations
@@ -24,98 +26,147 @@ from tidewater.llm.tokens import Encoder, vocabulary
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
-PHASES = 12
-STEPS = 60
+ROOMS = 128
+LAST_PIECES = 64
+CLASSES = 64
+RATE = 1.0
+LONG_BONUS = 10.0
 
 
 def best_pattern(prices: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths of highest total price that fits, by a knapsack over the capacity.
+    """A multiset of lengths of high total price that fits, by a knapsack over the capacity in at most ROOMS units.
 
-    Each length is used at most `most` times in it: a pattern that asks for more than there are is cut back.
+    Lengths are rounded up to units, and of those of equal units the best priced stands for all, so the result always
+    fits. Each length is used at most `most` times in it: a pattern that asks for more than there are is cut back.
     """
-    value = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        fit = np.searchsorted(lengths, room, side="right")
+    unit = max(1, capacity // ROOMS)
+    rooms, units = capacity // unit, -(-lengths // unit)
+    order = np.lexsort((prices, units))
+    best = order[np.append(np.diff(units[order]) > 0, True)]
+    best = best[(prices[best] > 0) & (units[best] <= rooms)]
+    sizes, worth = units[best], prices[best]
+    fitting = np.searchsorted(sizes, np.arange(rooms + 1), side="right")
+    value, pick = np.zeros(rooms + 1), np.full(rooms + 1, -1)
+    for room in range(1, rooms + 1):
         value[room] = value[room - 1]
-        if fit:
-            gains = prices[:fit] + value[room - lengths[:fit]]
-            top = int(np.argmax(gains))
+        if fitting[room]:
+            gains = worth[:fitting[room]] + value[room - sizes[:fitting[room]]]
+            top = gains.argmax()
             if gains[top] > value[room]:
                 value[room], pick[room] = gains[top], top
-    pattern, room = Counter(), capacity
+    pattern, room = Counter(), rooms
     while room > 0:
         if pick[room] < 0:
             room -= 1
             continue
-        pattern[int(pick[room])] += 1
-        room -= int(lengths[pick[room]])
+        pattern[int(best[pick[room]])] += 1
+        room -= int(sizes[pick[room]])
     return Counter({k: min(n, int(most[k])) for k, n in pattern.items()})
 
 
-def _fill(pattern: Counter, lengths: np.ndarray, left: np.ndarray, capacity: int) -> Counter:
-    """Put the largest lengths that are left into the room a pattern leaves, longest first."""
-    out = Counter(pattern)
-    room = capacity - sum(int(lengths[k]) * n for k, n in out.items())
+def complete(pattern: Counter, lengths: np.ndarray, most: np.ndarray, capacity: int) -> Counter:
+    """The pattern filled up: by one length that closes the gap it leaves, in exchange for one of its own if need be,
+    else by two; where none do, by the longest that fit, one after the other.
+    """
+    free = np.zeros(capacity + 1, np.int64)
+    free[lengths] = most
+    sizes = Counter({int(lengths[k]): n for k, n in pattern.items()})
+    for size, n in sizes.items():
+        free[size] -= n
+    room = capacity - sum(size * n for size, n in sizes.items())
+    own = sorted(sizes)
+    for dropped, singly in [*((size, True) for size in own), (0, True), *((size, False) for size in [0, *own])]:
+        gap = room + dropped
+        closing: list[int] = []
+        if not room:
+            break
+        free[dropped] += 1
+        if singly:
+            closing = [gap] if free[gap] > 0 else []
+        else:
+            shorter = np.arange(1, gap // 2 + 1)
+            pairs = np.flatnonzero((free[shorter] > 0) & (free[gap - shorter] > (2 * shorter == gap)))
+            if len(pairs):
+                closing = [int(shorter[pairs[0]]), gap - int(shorter[pairs[0]])]
+        if closing:
+            sizes.subtract([dropped])
+            sizes.update(closing)
+            room = 0
+        else:
+            free[dropped] -= 1
     while room > 0:
-        k = int(np.searchsorted(lengths, room, side="right")) - 1
-        while k >= 0 and left[k] <= out[k]:
-            k -= 1
-        if k < 0:
+        fits = np.flatnonzero(free[1:room + 1] > 0)
+        if not len(fits):
             break
-        out[k] += 1
-        room -= int(lengths[k])
-    return out
+        size = int(fits[-1]) + 1
+        sizes[size] += 1
+        free[size] -= 1
+        room -= size
+    return Counter({int(np.searchsorted(lengths, size)): n for size, n in sizes.items() if size and n})
 
 
-def cover(lengths: np.ndarray, demand: np.ndarray, capacity: int, steps: int = STEPS) -> list[tuple[Counter, float]]:
-    """A fractional cover of the demand by patterns, by multiplicative weights.
+def cover(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[Counter, float]]:
+    """A fractional solution by multiplicative weights: patterns, and how often each is used; no length is used more
+    than it occurs, and less than one of each is left.
 
-    A step takes the pattern of best price as often as covers a fraction of its scarcest length; the weight of a
-    length falls exponentially with the share of it that is covered.
+    A step uses a pattern as often as takes a quarter of its scarcest length, but once at least. The weight of a
+    length starts at its share of a sequence, long ones above, and falls exponentially with the share of pieces of
+    about its length that is placed.
     """
-    covered = np.zeros(len(lengths))
+    left = demand.astype(float)
+    start = lengths * (1.0 + LONG_BONUS * lengths / capacity)
+    classes = lengths * CLASSES // (capacity + 1)
+    total = np.bincount(classes, demand)[classes]
     patterns: list[tuple[Counter, float]] = []
-    rate = 8.0
-    for _ in range(steps):
-        share = covered / demand
-        if share.min() >= 1:
-            break
-        weight = np.exp(-rate * (share - share.min())) / demand
-        weight[share >= 1] = 0.0
-        pattern = _fill(best_pattern(weight * 1.0, lengths, demand, capacity), lengths, demand, capacity)
-        if not pattern:
-            break
-        times = min(float(demand[k]) / n for k, n in pattern.items()) / 4
-        times = max(times, 1.0)
+    while True:
+        whole = np.floor(left + 1e-9)
+        share = 1.0 - np.bincount(classes, left)[classes] / total
+        if not whole.any():
+            return patterns
+        prices = np.where(whole >= 1, start * np.exp(-RATE * (share - share[whole >= 1].min())), 0.0)
+        pattern = complete(best_pattern(prices, lengths, whole, capacity), lengths, whole, capacity)
+        quarter = min(float(demand[k]) / n for k, n in pattern.items()) / 4
+        times = min(max(quarter, 1.0), min(float(left[k]) / n for k, n in pattern.items()))
         patterns.append((pattern, times))
         for k, n in pattern.items():
-            covered[k] += n * times
-    scale = max(1.0, float(np.max(covered / demand)))
-    return [(p, x / scale) for p, x in patterns]
+            left[k] -= n * times
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Patterns {length: how often} with how many sequences use each; together they hold the histogram exactly."""
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Rounded columns {length: how often} of the program with how many sequences use each, and the lengths left over.
+
+    Columns that fill a sequence are taken first; where a round places less than an eighth of what it had, ones with
+    more room left over are let in, in the end all.
+    """
     left = {length: int(n) for length, n in histogram.items() if n > 0}
     out: list[tuple[dict[int, int], int]] = []
     if capacity in left:
         out.append(({capacity: 1}, left.pop(capacity)))
-    for _ in range(PHASES):
-        if sum(left.values()) < 256:
-            break
+    allowed = [0, capacity // 64, capacity]
+    while allowed and sum(left.values()) > LAST_PIECES:
         lengths = np.array(sorted(left))
-        demand = np.array([left[length] for length in lengths])
-        for pattern, times in sorted(cover(lengths, demand, capacity), key=lambda x: -x[1]):
-            wanted = {int(lengths[k]): n for k, n in pattern.items()}
-            fits = min(left.get(length, 0) // n for length, n in wanted.items())
-            count = min(int(times + 0.5), fits)
-            if count and sum(length * n for length, n in wanted.items()) >= capacity - capacity // 64:
+        before = sum(left.values())
+        for pattern, times in cover(lengths, np.array([left[k] for k in lengths.tolist()]), capacity):
+            wanted, count = {int(lengths[k]): n for k, n in pattern.items()}, int(times + 1e-9)
+            if count and capacity - sum(length * n for length, n in wanted.items()) <= allowed[0]:
                 out.append((wanted, count))
                 for length, n in wanted.items():
                     left[length] -= n * count
         left = {length: n for length, n in left.items() if n}
-    return out + _best_fit(left, capacity)
+        if (before - sum(left.values())) * 8 < before:
+            allowed.pop(0)
+    return out, left
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Patterns {length: how often} with how many sequences use each; together they hold the histogram exactly.
+
+    The program decides unless best fit of the whole histogram needs fewer sequences, as it can where lengths are few
+    or even: there full sequences use up the short pieces that long ones need.
+    """
+    columns, left = solve(histogram, capacity)
+    solved, fitted = columns + _best_fit(left, capacity), _best_fit(dict(histogram), capacity)
+    return min(solved, fitted, key=lambda patterns: sum(count for _, count in patterns))
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
