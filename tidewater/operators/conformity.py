@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from tidewater import contracts as C
+from tidewater.session import by_shuffle
 
 
 def contract_report(bronze: DataFrame, event_type: str, version: str = C.V1) -> DataFrame:
@@ -239,7 +240,7 @@ def causation_classes(events: DataFrame, root_types: tuple[str, ...] = (C.ORDER_
     caused = (
         events.where(F.col("causation_id").isNotNull())
         .select(*columns)
-        .join(parents, ["causation_id", "correlation_id"], "left")
+        .join(by_shuffle(parents), ["causation_id", "correlation_id"], "left")
         .select(*columns, F.when(F.col("found"), "ok").otherwise("orphan").alias("causation"))
     )
     return parentless.unionByName(caused)
