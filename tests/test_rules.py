@@ -1,4 +1,5 @@
 import random
+import re
 from collections import deque
 from datetime import timedelta
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from samples import BASE, rows
 from tidewater import contracts as C
-from tidewater.operators import allocation, lifecycle, requests, scoring, skew
+from tidewater.operators import allocation, conformity, lifecycle, requests, scoring, skew
 
 
 def nodes(spark, *data):
@@ -325,3 +326,24 @@ def test_any_range_of_slices_gives_quantiles_within_the_stated_error(spark, tmp_
             for name, p in (("p50", 0.5), ("p99", 0.99)):
                 assert np.mean(held < row[name]) <= p + requests.SKETCH_ERROR and np.mean(held <= row[name]) >= p - requests.SKETCH_ERROR
     assert requests.latency_of_range(slices, F.lit(BASE), F.lit(BASE), {"p50": 0.5}).count() == 0
+
+
+def test_tables_as_long_as_the_orders_or_made_by_an_explode_are_never_broadcast(spark, capsys):
+    """Spark takes each of these for a few kilobytes; at sixty times sf0.1 they were tens of millions of rows in the driver."""
+    stock = spark.range(40).selectExpr("concat('P', id) as sku", "explode(sequence(0, 4)) as n").selectExpr(
+        "sku", "concat('N', n) as node_id", "int(n * 3) as available_qty", "10 as reorder_threshold")
+    asked = spark.range(40).selectExpr("concat('O', id) as order_id", "concat('C', id) as customer_id", "'N1' as node_id",
+                                       "concat('P', id) as sku", "id as qty", "id as seq")
+    places = nodes(spark, *((f"N{i}", 0.0, float(i), 10, 0, True) for i in range(5)))
+    served = scoring.serving_nodes(asked, stock, places)
+    events = asked.selectExpr("inline(array(struct(concat('a', order_id) as event_id, order_id as correlation_id,"
+                              " cast(null as string) as causation_id, 'order.created' as event_type),"
+                              " struct(concat('b', order_id) as event_id, order_id as correlation_id,"
+                              " concat('a', order_id) as causation_id, 'order.validated' as event_type)))")
+    small = {"node_id", "number", "word", "bit"}  # nodes are a dimension
+    for frame in (scoring.stock_sufficiency(asked, stock), scoring.shortfalls(asked, stock), served,
+                  scoring.node_scores(served, asked, places), allocation.reserve(asked, stock, ["seq"]),
+                  conformity.causation_classes(events)):
+        frame.explain()
+        keys = [line.split("[")[1].split("]")[0] for line in capsys.readouterr().out.splitlines() if "BroadcastHashJoin" in line]
+        assert all(re.sub(r"#\d+L?", "", key) in small for joined in keys for key in joined.split(", ")), keys
