@@ -276,3 +276,11 @@ def test_batches_are_counted_while_they_are_written(spark, tmp_path):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     sinks.plain_sink("l", "e", f"{path}-g", noted)(frame.drop("way").where("n > 9"), 1)
     assert sinks.metrics_frame(spark, noted).where("dataset = 'e'").count() == 0
+
+
+def test_a_session_made_elsewhere_gets_a_state_store_for_keyed_state(spark):
+    from tidewater.session import STATE_STORE, adopt
+
+    other, key = spark.newSession(), "spark.sql.streaming.stateStore.providerClass"
+    other.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    assert adopt(other).conf.get(key) == STATE_STORE and spark.conf.get(key) == STATE_STORE
