@@ -347,3 +347,20 @@ def test_tables_as_long_as_the_orders_or_made_by_an_explode_are_never_broadcast(
         frame.explain()
         keys = [line.split("[")[1].split("]")[0] for line in capsys.readouterr().out.splitlines() if "BroadcastHashJoin" in line]
         assert all(re.sub(r"#\d+L?", "", key) in small for joined in keys for key in joined.split(", ")), keys
+
+
+def test_stock_settings_are_folded_without_sorting_and_beat_the_stock_without_a_seq(spark, capsys):
+    stock = spark.createDataFrame([("a", "n", 5, 1, 1)], "sku string, node_id string, available_qty int, reorder_threshold int, version int")
+    changes = spark.createDataFrame([("a", "n", None, 7, None), ("b", "n", 1, 0, 4), ("b", "n", None, 2, 9)],
+                                    "sku string, node_id string, available_qty int, reorder_threshold int, seq bigint")
+    out = allocation.upsert_stock(stock, changes)
+    assert rows(out) == [("a", "n", None, 7, 2), ("b", "n", None, 2, 2)]
+    out.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_pieces_of_millions_of_rows_are_dealt_out(spark, monkeypatch):
+    from tidewater.sources import retail
+
+    monkeypatch.setattr(retail, "ROWS_PER_PIECE", 10, raising=False)
+    assert retail.spread(spark.range(95)).rdd.getNumPartitions() == 10
