@@ -364,3 +364,29 @@ def test_pieces_of_millions_of_rows_are_dealt_out(spark, monkeypatch):
 
     monkeypatch.setattr(retail, "ROWS_PER_PIECE", 10, raising=False)
     assert retail.spread(spark.range(95)).rdd.getNumPartitions() == 10
+
+
+def test_workflow_events_are_read_once(spark):
+    """Each read of them makes and parses every payload; there were four."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    plain = spark.createDataFrame([(f"c{i % 7}", kind, BASE + timedelta(seconds=i), None)
+                                   for i, kind in enumerate(lifecycle.FUNNEL * 7)],
+                                  "correlation_id string, event_type string, occurred_at timestamp, data_json string")
+    paths = lifecycle.workflow_paths(plain.mapInPandas(counted, plain.schema))
+    assert sum(r["workflows"] for r in lifecycle.workflow_measures(paths).collect()) == 7
+    assert seen.value == len(lifecycle.FUNNEL) * 7
+
+
+@pytest.mark.parametrize("bound", [1000, 3])
+def test_paths_of_steps_before_and_after_the_one_before(spark, bound):
+    rng = random.Random(4)
+    data = [(f"c{rng.randrange(60)}", rng.choice(lifecycle.FUNNEL), BASE + timedelta(seconds=rng.randrange(12)), None) for _ in range(900)]
+    events = spark.createDataFrame(data, "correlation_id string, event_type string, occurred_at timestamp, data_json string")
+    got = rows(lifecycle.workflow_paths(events, bound=bound), "correlation_id", "reached", "reached_at")
+    assert got == rows(lifecycle.steps_reached(events, bound=bound), "correlation_id", "reached", "reached_at")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewater import contracts as C
 from tidewater.functions import rules
 from tidewater.operators import skew
-from tidewater.session import cut_lineage
+from tidewater.session import by_shuffle, cut_lineage, scratch_path
 
 
 def transition_audit(history: DataFrame, bound: int = skew.GROUP_BOUND) -> DataFrame:
@@ -203,21 +203,55 @@ def steps_reached(events: DataFrame, steps: tuple[str, ...] = FUNNEL, bound: int
 
 
 def workflow_paths(events: DataFrame, steps: tuple[str, ...] = FUNNEL, bound: int = skew.GROUP_BOUND) -> DataFrame:
-    """(correlation_id, reached, reached_at, outcome, failed_step, compensations) of every correlation, where the step
-    that failed and what was undone are read from the payload (data_json) of its first failure."""
+    """(correlation_id, reached, reached_at, outcome, failed_step, compensations, first_at, last_at) of every correlation,
+    where the step that failed and what was undone are read from the payload (data_json) of its first failure.
+
+    The events are read once and folded to a stored row per correlation. First and last time of each step tell the path,
+    but for a correlation with a step both before and well after the one that should precede it: only then are the
+    events read again, for those correlations, and walked by `steps_reached`.
+    """
     kind, at = F.col("event_type"), F.col("occurred_at")
     failure = F.when(kind == C.ORDER_FAILED, F.struct(
         at, F.get_json_object("data_json", "$.failed_step").alias("failed_step"),
         F.from_json(F.get_json_object("data_json", "$.compensations_applied"), "array<string>").alias("compensations")))
-    ends = events.where("correlation_id is not null").groupBy("correlation_id").agg(
-        F.min(failure).alias("failure"), F.bool_or(kind == C.ORDER_CANCELLED).alias("cancelled"))
-    reached = F.coalesce("reached", F.lit(0).cast("bigint"))
+    known = events.where("correlation_id is not null")
+    # Before the aggregate, whose sort so holds no payloads.
+    narrow = known.select("correlation_id", at, kind, failure.alias("failure"))
+    ends = narrow.groupBy("correlation_id").agg(
+        F.min("failure").alias("failure"), F.bool_or(kind == C.ORDER_CANCELLED).alias("cancelled"),
+        F.min(at).alias("first_at"), F.max(at).alias("last_at"),
+        F.array(*(F.struct(F.min(F.when(kind == s, at)).alias("low"), F.max(F.when(kind == s, at)).alias("top"))
+                  for s in steps)).alias("seen"))
+    path = scratch_path(events.sparkSession, "workflow-ends")
+    ends.write.parquet(path)
+    ends = events.sparkSession.read.schema(ends.schema).parquet(path)
+
+    def after(s: Column, step: Column) -> Column:
+        taken = (s["reached"] == 0) | (step["low"] >= s["reached_at"])
+        when = F.when(taken, step["low"]).when(step["top"] == s["reached_at"], step["top"])
+        unsure = ~taken & (step["low"] < s["reached_at"]) & (step["top"] > s["reached_at"])
+        went = s["going"] & when.isNotNull()
+        return F.struct((s["reached"] + F.when(went, 1).otherwise(0)).cast("bigint").alias("reached"),
+                        F.when(went, when).otherwise(s["reached_at"]).alias("reached_at"), went.alias("going"),
+                        (s["unsure"] | (s["going"] & F.coalesce(unsure, F.lit(False)))).alias("unsure"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("reached"), F.lit(None).cast("timestamp").alias("reached_at"),
+                     F.lit(True).alias("going"), F.lit(False).alias("unsure"))
+    walked = ends.withColumn("s", F.aggregate("seen", start, after)).select(
+        "correlation_id", "failure", "cancelled", "first_at", "last_at", "s.reached", "s.reached_at", "s.unsure")
+    doubtful = walked.where("unsure").select("correlation_id")
+    if not doubtful.isEmpty():
+        whole = steps_reached(known.join(by_shuffle(doubtful), "correlation_id", "left_semi"), steps, bound)
+        exact = whole.select("correlation_id", F.struct("reached", "reached_at").alias("exact"))
+        walked = walked.join(by_shuffle(exact), "correlation_id", "left").withColumns({
+            c: F.when(F.col("unsure"), F.col(f"exact.{c}")).otherwise(F.col(c)) for c in ("reached", "reached_at")})
+    reached = F.col("reached")
     outcome = (F.when(reached == len(steps), "shipped").when(F.col("failure").isNotNull(), "failed")
                .when(F.col("cancelled"), "cancelled").otherwise("open"))
-    return ends.join(steps_reached(events, steps, bound), "correlation_id", "left").select(
-        "correlation_id", reached.alias("reached"), "reached_at", outcome.alias("outcome"),
+    return walked.select(
+        "correlation_id", "reached", "reached_at", outcome.alias("outcome"),
         F.when(outcome == "failed", F.col("failure.failed_step")).alias("failed_step"),
-        F.when(outcome == "failed", F.coalesce("failure.compensations", F.array())).alias("compensations"))
+        F.when(outcome == "failed", F.coalesce("failure.compensations", F.array())).alias("compensations"), "first_at", "last_at")
 
 
 def funnel(paths: DataFrame, steps: tuple[str, ...] = FUNNEL) -> DataFrame:
@@ -233,12 +267,11 @@ def funnel(paths: DataFrame, steps: tuple[str, ...] = FUNNEL) -> DataFrame:
              F.col("n").alias("reached"), "failed", "cancelled", "open", "compensated")
 
 
-def workflow_measures(events: DataFrame, paths: DataFrame) -> DataFrame:
+def workflow_measures(paths: DataFrame) -> DataFrame:
     """(outcome, workflows, share, avg_seconds, max_seconds) by outcome: how many correlations ended so, their share
     of all, and the seconds from a correlation's first event to its last."""
-    spans = events.where("correlation_id is not null").groupBy("correlation_id").agg(
-        (F.max("occurred_at").cast("double") - F.min("occurred_at").cast("double")).alias("seconds"))
-    grouped = paths.join(spans, "correlation_id", "left").groupBy("outcome").agg(
+    seconds = F.col("last_at").cast("double") - F.col("first_at").cast("double")
+    grouped = paths.withColumn("seconds", seconds).groupBy("outcome").agg(
         F.count(F.lit(1)).alias("workflows"), F.avg("seconds").alias("avg_seconds"), F.max("seconds").alias("max_seconds"))
     # One row per outcome.
     whole = Window.partitionBy(F.lit(1))

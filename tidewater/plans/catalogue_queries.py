@@ -178,8 +178,7 @@ def workflow_funnel(spark, root):
     FROM paths JOIN (SELECT k, epoch(max(event_time)) - epoch(min(event_time)) AS seconds FROM events11
       WHERE event_time IS NOT NULL GROUP BY k) USING (k) GROUP BY outcome""", "steps", events11=_EVENTS, paths=_PATHS))
 def workflow_measures(spark, root):
-    events = workflow_events(spark, root)
-    measures = lifecycle.workflow_measures(events, lifecycle.workflow_paths(events))
+    measures = lifecycle.workflow_measures(lifecycle.workflow_paths(workflow_events(spark, root)))
     return measures.withColumns({c: F.round(c, 4) for c in ("share", "avg_seconds")})
 
 
