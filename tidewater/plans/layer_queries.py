@@ -89,7 +89,8 @@ def bronze_rejects(spark, root):
 @query("silver_routed_counts", _sql(
     "SELECT event_type, route, defect, count(*) AS n FROM judged GROUP BY ALL"))
 def silver_routed_counts(spark, root):
-    return decided(spark, root).groupBy("event_type", "route", "defect").agg(F.count(F.lit(1)).alias("n"))
+    counted = refine.decisions(refine.judged_any(bronze(spark, root)))
+    return counted.groupBy("event_type", "route", "defect").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("silver_order_created", _sql(
@@ -181,13 +182,6 @@ def unknown_contracts(spark, root):
     return conformity.unknown_contracts(bronze(spark, root))
 
 
-def layers(spark, root: str) -> DataFrame:
-    layer = "case route when 'on_time' then 'silver' when 'late' then 'late' else 'rejects' end as layer"
-    return assurance.layer_rows(bronze(spark, root), "bronze").unionByName(
-        decided(spark, root).selectExpr(layer, "event_type", "event_id", "ingested_at")
-    )
-
-
 _RECONCILED = """
     SELECT event_type, b.bronze_rows, b.bronze_distinct, coalesce(j.on_time, 0) AS on_time,
       coalesce(j.late, 0) AS late, coalesce(j.rejected, 0) AS rejected,
@@ -202,7 +196,7 @@ _RECONCILED = """
 
 @query("dq_reconciliation", _sql(_RECONCILED))
 def dq_reconciliation(spark, root):
-    return assurance.reconciliation(layers(spark, root))
+    return assurance.reconciliation_of_bronze(bronze(spark, root), C.EVENT_TYPES)
 
 
 @query("dq_rates", statement(
@@ -219,7 +213,7 @@ def dq_reconciliation(spark, root):
     FROM reconciled""", "steps", raw=RAW, bronze=BRONZE, judged=JUDGED, reconciled=_RECONCILED))
 def dq_rates(spark, root):
     now = F.lit("2001-08-09 12:00:00").cast("timestamp")
-    return assurance.checks(assurance.reconciliation(layers(spark, root)), now).withColumn("value", F.round("value", 4))
+    return assurance.checks(assurance.reconciliation_of_bronze(bronze(spark, root), C.EVENT_TYPES), now).withColumn("value", F.round("value", 4))
 
 
 @query("reprocess_silver_counts", _sql(
@@ -230,7 +224,7 @@ def dq_rates(spark, root):
         count(*) FILTER (WHERE route = 'late') AS late, count(*) FILTER (WHERE route = 'rejected') AS rejected
       FROM judged GROUP BY 1) j ON b.event_type = j.event_type"""))
 def reprocess_silver_counts(spark, root):
-    per_type = assurance.reconciliation(layers(spark, root))
+    per_type = assurance.reconciliation_of_bronze(bronze(spark, root), C.EVENT_TYPES)
     return per_type.select(
         "event_type", "bronze_distinct", "on_time", "late", "rejected", (F.col("unaccounted") == 0).alias("balanced")
     )
