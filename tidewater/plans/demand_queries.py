@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import demand as D
 from tidewater.operators import forecasting as M
 from tidewater.plans.registry import query, statement
+from tidewater.session import cut_lineage
 from tidewater.sources import retail as R
 
 SETTINGS = D.ForecastSettings()
@@ -223,7 +224,8 @@ def baseline_forecast(spark, root):
 
 
 def _trees(spark, root):
-    rows = history(spark, root)
+    # Read many times by the fitting, and a row per series and day however many lines there are.
+    rows = cut_lineage(history(spark, root))
     span = D.date_range(rows)
     split = D.chronological_split(rows, SETTINGS, span)
     featured = D.features(rows, SETTINGS)
