@@ -61,14 +61,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
 def _variants(fp: str) -> Column:
     """The 64 keys of a fingerprint: the segment with one bit cleared, and above it which bit that was."""
     keys = [
-        F.shiftrightunsigned(F.col(fp).bitwiseAND(F.lit(_signed(((1 << width) - 1) << start & ~(1 << bit)))), start)
+        F.shiftrightunsigned(F.col(fp).bitwiseAND(F.lit(signed(((1 << width) - 1) << start & ~(1 << bit)))), start)
         .bitwiseOR(F.lit(bit << 22)).cast("int")
         for start, width in SEGMENTS for bit in range(start, start + width)
     ]
     return F.explode(F.array(*keys))
 
 
-def _signed(value: int) -> int:
+def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
