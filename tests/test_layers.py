@@ -178,3 +178,18 @@ def test_decisions_equal_those_of_the_kept_rows(spark):
     stacked = assurance.layer_rows(bronze, "bronze").unionByName(known.selectExpr(layer, "event_type", "event_id", "ingested_at"))
     assert sorted(map(str, assurance.reconciliation_of_bronze(bronze, C.EVENT_TYPES).collect())) \
         == sorted(map(str, assurance.reconciliation(stacked).collect()))
+
+
+def test_payloads_of_equal_names_and_types_are_read_once(spark):
+    texts = ['{"a":"x","b":[1,2.5,-30],"c:1,":{"d":"y z","é":0.25}}', '{"a":"","b":[7,30.5,0],"c:1,":{"d":":1,","é":1.0}}',
+             '{"a":":\\"k","b":[]}', '{"a":"x\\\\","b":[1],"c":"d"}', '{"a":[],"b":["x"]}', '{"a":[1],"b":{}}', '{"a":[1.0e3,1E5]}',
+             '{"a":01}', '{"a":1abc}', '{"a":--5}', '{"a":1.}', '{"a":1234567890123456789012}', '{"a":1234567890123456789}',
+             '{ "a" : 1 , "1" : true, "b":null }', '"text"', "17", "", "{bad", '{"a":1,"a":2}', '{"a":"\x01"}', '{"a":"x" 1}', None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    cut = conformity.blanked(rows.withColumn("was", F.col("text")), "text")
+    shape = "regexp_replace(schema_of_variant(try_parse_json({})), '[(][0-9,]+[)]', '')"
+    got = cut.withColumn("now", conformity.readable("text", "is_blanked")).selectExpr(
+        "i", "text", f"{shape.format('was')} as before", f"{shape.format('now')} as after").orderBy("i").collect()
+    assert [r.before for r in got] == [r.after for r in got]
+    assert got[0].text == got[1].text != texts[0] and got[3].text == texts[3]
+    assert [r.before is None for r in got].count(True) >= 9

@@ -76,16 +76,40 @@ def declared_fields() -> dict[tuple[str, str], dict[str, dict[str, str]]]:
     return out
 
 
+# What a JSON text without backslash and control character consists of: names with their colon, strings, and numbers of
+# at most 18 digits, or 15 before and 15 after the point. Anything else, malformed numbers included, stays as it is.
+_TOKENS = r'("[^"]*+"\s*+:)|(")[^"]*+(")|(?<![\w.+-])-?+(?:(?:0|[1-9][0-9]{0,17}+)(?![\w.+-])|(?:0|[1-9][0-9]{0,14}+)(\.)[0-9]{1,15}+(?![\w.+-]))'
+_NOT_BLANKED = r"[\x00-\x1f\\]"
+_MARK = "\x01"
+LONGEST_BLANKED = 1 << 20
+
+
+def blanked(df: DataFrame, column: str) -> DataFrame:
+    """Strings and numbers of the JSON text blanked and marked, `is_blanked` true; `readable` makes JSON of the same
+    names and types of it. Texts with a backslash or control character, very long and null ones are left as they are."""
+    able = F.coalesce(~F.col(column).rlike(_NOT_BLANKED) & (F.octet_length(column) <= LONGEST_BLANKED), F.lit(False))
+    return df.withColumn("is_blanked", able).withColumn(column, F.when(
+        F.col("is_blanked"), F.regexp_replace(column, _TOKENS, f"$1$2$3$4{_MARK}")).otherwise(F.col(column)))
+
+
+def readable(column: str, flag: str) -> Column:
+    """JSON text of what `blanked` made: strings are empty, whole numbers 0 and others 0.5."""
+    numbers = F.regexp_replace(column, f'("[^"]*+"(?:\\s*+:)?+){_MARK}', "$1")
+    numbers = F.replace(F.replace(numbers, F.lit(f".{_MARK}"), F.lit("0.5")), F.lit(_MARK), F.lit("0"))
+    return F.when(F.col(flag), numbers).otherwise(F.col(column))
+
+
 def contract_findings(bronze: DataFrame) -> DataFrame:
     """Missing, drifted and extra fields of all contracts at any depth, from one pass over the payloads:
     (event_type, schema_version, field, status, containers, missing, drifted, extra).
 
-    A payload is read as a variant, and only its shape (the names and types it holds) is kept, as is that of every
-    element of a list of objects; equal shapes are counted before the shuffle. The few distinct shapes are then held
-    against the contract. `containers` counts the objects that should hold the field; an absent or null field is
-    missing, one of another type is drifted, and a field that no contract declares is extra, counted where it occurs.
-    A pair of type and version that nobody registered has one row with status `unknown_contract`. A payload that is
-    no JSON object lacks all fields.
+    Payloads that differ in no name and no type are counted as one first: strings, and numbers of the same kind, are
+    blanked in the text, so that the few distinct texts left are read instead of every payload. Such a text is read as
+    a variant, and only its shape (the names and types it holds) is kept, as is that of every element of a list of
+    objects. The few distinct shapes are then held against the contract. `containers` counts the objects that should
+    hold the field; an absent or null field is missing, one of another type is drifted, and a field that no contract
+    declares is extra, counted where it occurs. A pair of type and version that nobody registered has one row with
+    status `unknown_contract`. A payload that is no JSON object lacks all fields.
     """
     contracts = declared_fields()
     lists = sorted({scope.removesuffix(_LISTS) for scopes in contracts.values() for scope in scopes if scope})
@@ -93,10 +117,12 @@ def contract_findings(bronze: DataFrame) -> DataFrame:
         f"coalesce(transform(try_variant_get(v, '$.{name}', 'array<variant>'),"
         f" x -> struct('{name}{_LISTS}' as scope, schema_of_variant(x) as shape)), array())" for name in lists
     ]
-    shapes = bronze.select("event_type", "schema_version", F.try_parse_json("data_json").alias("v")).selectExpr(
-        "event_type", "schema_version",
+    texts = blanked(bronze.select("event_type", "schema_version", "data_json"), "data_json") \
+        .groupBy("event_type", "schema_version", "data_json", "is_blanked").agg(F.count(F.lit(1)).alias("n"))
+    shapes = texts.select("event_type", "schema_version", "n", F.try_parse_json(readable("data_json", "is_blanked")).alias("v")).selectExpr(
+        "event_type", "schema_version", "n",
         f"inline(concat(array(struct('' as scope, schema_of_variant(v) as shape)), {', '.join(elements)}))",
-    ).groupBy("event_type", "schema_version", "scope", "shape").agg(F.count(F.lit(1)).alias("n"))
+    ).groupBy("event_type", "schema_version", "scope", "shape").agg(F.sum("n").alias("n"))
     names = ["event_type", "schema_version", "field", "status", "containers", "missing", "drifted", "extra"]
     numbers = {"bigint": {"BIGINT"}, "double": {"BIGINT", "DOUBLE", "FLOAT", "DECIMAL"}, "string": {"STRING"},
                "boolean": {"BOOLEAN"}}
