@@ -46,3 +46,15 @@ def test_what_is_remembered_is_what_an_occurrence_alone_would_get(dropout):
         skip = next(coder._skips(key))
         got = whole[0] if skip >= whole[1] else coder._varied(word, key, skip)
         assert got == alone._ids(word, key)
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6, 1.0])
+def test_texts_cut_side_by_side_are_those_cut_alone(dropout, monkeypatch):
+    monkeypatch.setattr(pieces, "CELLS", 300)
+    texts = ["", None, " ", "a", "the international organisations of the the", "  two  gaps \n and\tmore ", "日本語 ünïcödé 𝄞𝄞 x\x00y",
+             "a▁b ▁ c", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa " * 30, "b" * 256 + " " + "ab" * 200 + " " + "日" * 300, "getCancellationToken();" * 5]
+    coder, alone = pieces.Pieces(PATH, dropout), pieces.Pieces(PATH, dropout)
+    docs = [*range(len(texts) - 1), None]
+    assert coder.encode_all(texts, docs) == [alone.encode(t, d) for t, d in zip(texts, docs)]
+    assert coder.encode_all([], []) == [] and coder.encode_all([None, ""], [1, 2]) == [b"", b""]
+    assert [coder.encode_all([t], [d])[0] for t, d in zip(texts, docs)] == coder.encode_all(texts, docs)

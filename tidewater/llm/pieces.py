@@ -3,8 +3,9 @@
 A word's characters are merged by the vocabulary's scores from an agenda, highest score and then leftmost first,
 as the merge type of the model does; each candidate taken from the agenda is skipped with the dropout rate. Which
 ones are skipped is drawn for every occurrence of a word, by a keyed hash of seed, doc_id and the word's place, as gaps
-of geometric length between skipped candidates. Cuts are remembered per word and list of skipped candidates, which
-settle them. What is not in the vocabulary becomes byte pieces. With dropout 0 the pieces are the library's.
+of geometric length between skipped candidates. All words of a slice are cut side by side, a candidate of each at a time,
+as columns of arrays; occurrences that skip none are cut once per word and slice. What is not in the vocabulary becomes byte
+pieces. With dropout 0 the pieces are the library's.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ GAP = "▁"
 SHORT_WORD = 48
 CACHED_SKIPS = 2
 NEVER = 1 << 60
+# Words of up to LONG_WORD characters are cut side by side, about CELLS characters at a time.
+PLACE_BITS = 8
+LONG_WORD = 1 << PLACE_BITS
+CELLS = 1 << 18
+NONE = (1 << 31) - 1
+SLOT_BITS = 20
 
 
 class Pieces:
@@ -215,6 +222,193 @@ class Pieces:
             out += [self.raw_byte[b] for b in GAP.encode()] + [self.word_ids(part, own)]
         return b"".join(out)
 
+    def encode_all(self, texts: list[str | None], docs: list[int | None]) -> list[bytes]:
+        """`encode` of many texts at once."""
+        import xxhash
+
+        out, words, keys, spans = [b""] * len(texts), [], [], []
+        for n, (text, doc) in enumerate(zip(texts, docs)):
+            if text and GAP in text:
+                out[n] = self.encode(text, doc)
+            elif text:
+                found = self.words(text)
+                document = np.uint64(xxhash.xxh64_intdigest(str(doc), self.seed & MASK))
+                keys.append(spread_bits(document + np.arange(1, len(found) + 1, dtype=np.uint64) * np.uint64(ODD)))
+                spans.append((n, len(words), len(words) + len(found)))
+                words += found
+        if not words:
+            return out
+        key = np.concatenate(keys)
+        number: dict[str, int] = {}
+        code = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        distinct = list(number)
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        skip = self._first_skips(key) if self.dropout else np.full(len(words), NONE)
+        # A word of n characters has at most n - 1 candidates while none is skipped.
+        long = sizes[code] > LONG_WORD
+        whole = (skip >= sizes[code] - 1) & ~long
+        plain, job = np.unique(code[whole], return_inverse=True)
+        varied = np.flatnonzero(~whole & ~long)
+        jobs = np.empty(len(words), np.int64)
+        jobs[whole], jobs[varied] = job, len(plain) + np.arange(len(varied))
+        ids, counts = self._side_by_side(
+            distinct, sizes, np.concatenate([plain, code[varied]]),
+            np.concatenate([np.full(len(plain), NONE), skip[varied]]), np.concatenate([np.zeros(len(plain), np.uint64), key[varied]]))
+        at = np.flatnonzero(long)
+        if len(at):
+            apart = [np.frombuffer(self._ids(distinct[c], k), "<u4") for c, k in zip(code[at].tolist(), key[at].tolist())]
+            jobs[at] = len(counts) + np.arange(len(at))
+            ids, counts = np.concatenate([ids, *apart]), np.concatenate([counts, [len(a) for a in apart]])
+        starts = np.cumsum(counts) - counts
+        ends = np.cumsum(counts[jobs])
+        taken = np.repeat(starts[jobs] - ends + counts[jobs], counts[jobs]) + np.arange(ends[-1])
+        raw, ends = ids[taken].astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+        for n, a, b in spans:
+            out[n] = raw[ends[a]:ends[b]]
+        return out
+
+    def _arrays(self) -> None:
+        """Symbols of characters, and of each two symbols that make a piece its rank and symbol, as a hash table.
+
+        A piece's symbol is its id; that of a character which is no piece lies as far behind them as its code point.
+        """
+        size = len(self.pieces)
+        symbol = {p: int.from_bytes(raw, "little") for p, raw in self.raw.items()}
+        self.symbols = size + np.arange(0x110000, dtype=np.int32)
+        for p, i in symbol.items():
+            if len(p) == 1:
+                self.symbols[ord(p)] = i
+        pairs = []
+        for p, i in symbol.items():
+            for cut in range(1, len(p)):
+                left, right = symbol.get(p[:cut]), symbol.get(p[cut:])
+                if (left is not None or cut == 1) and (right is not None or cut == len(p) - 1):
+                    pairs.append((size + ord(p[0]) if left is None else left, size + ord(p[-1]) if right is None else right, self.rank[p], i))
+        left, right, rank, made = np.array(pairs, np.int64).reshape(-1, 4).T
+        keys = left << 32 | right
+        self.slot_keys = np.full(1 << SLOT_BITS, -1, np.int64)
+        self.slot_ranks, self.slot_made = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
+        slots, todo = self._slots(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slot_keys[slots[todo]] < 0]
+            _, first = np.unique(slots[free], return_index=True)
+            put = free[first]
+            self.slot_keys[slots[put]], self.slot_ranks[slots[put]], self.slot_made[slots[put]] = keys[put], rank[put], made[put]
+            todo = todo[self.slot_keys[slots[todo]] != keys[todo]]
+            slots[todo] = slots[todo] + 1 & (1 << SLOT_BITS) - 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(ODD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def _made_of(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and place as one number, NONE for no piece, and symbol of the pieces that two symbols each make."""
+        keys = left.astype(np.int64) << 32 | right
+        slots = self._slots(keys)
+        held = self.slot_keys[slots]
+        lost = np.flatnonzero((held != keys) & (held >= 0))
+        while len(lost):
+            slots[lost] = slots[lost] + 1 & (1 << SLOT_BITS) - 1
+            held[lost] = self.slot_keys[slots[lost]]
+            lost = lost[(held[lost] != keys[lost]) & (held[lost] >= 0)]
+        return np.where(held == keys, self.slot_ranks[slots] << PLACE_BITS | place, NONE).astype(np.int32), self.slot_made[slots]
+
+    def _side_by_side(self, words: list[str], sizes: np.ndarray, code: np.ndarray, skip: np.ndarray,
+                      key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words[code] one after the other, and how many each has; `skip` is the first skipped candidate."""
+        if not hasattr(self, "slot_keys"):
+            self._arrays()
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        first = np.cumsum(sizes) - sizes
+        order = np.argsort(sizes[code], kind="stable")
+        found, counts, at = [], np.zeros(len(code), np.int64), 0
+        while at < len(order):
+            # Columns of ascending size: those up to the first that makes the block too large, at least one.
+            ahead = sizes[code[order[at:at + CELLS]]]
+            fit = max(1, int(np.argmax(np.append(ahead * np.arange(1, len(ahead) + 1) > CELLS, True))))
+            now = order[at:at + fit]
+            final = self._cut(points, first[code[now]], sizes[code[now]], skip[now].copy(), key[now])
+            found.append(final.T[final.T >= 0])
+            counts[now] = (final >= 0).sum(axis=0)
+            at += fit
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+        # From the order of the columns to that of the words.
+        before = np.zeros(len(code), np.int64)
+        before[order] = np.cumsum(counts[order]) - counts[order]
+        flat = flat[np.repeat(before - np.cumsum(counts) + counts, counts) + np.arange(len(flat))]
+        return self._spelled(flat, counts)
+
+    def _cut(self, points: np.ndarray, first: np.ndarray, sizes: np.ndarray, skip: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Symbols of each word's pieces, a column for each word, at the places where they start; -1 elsewhere.
+
+        As in `_short`, the agenda holds a candidate for every place, and each word takes its best one in every round.
+        """
+        n, most = len(first), int(sizes.max())
+        rows = np.arange(most)[:, None]
+        inside = rows < sizes
+        symbols = np.where(inside, self.symbols[points[np.where(inside, first + rows, 0)]], -1)
+        final = np.full((most, n), -1, np.int32)
+        agenda, made = np.full((most, n), NONE, np.int32), np.zeros((most, n), np.int32)
+        if most > 1:
+            place = np.broadcast_to(rows[:-1], (most - 1, n))[inside[1:]]
+            agenda[:-1][inside[1:]], made[:-1][inside[1:]] = self._made_of(symbols[:-1][inside[1:]], symbols[1:][inside[1:]], place)
+        after = np.broadcast_to(rows + 1, (most, n)).copy()
+        before = np.broadcast_to(rows - 1, (most, n)).copy()
+        column, turn, taken = np.arange(n), np.ones(n, np.uint64), 0
+        while True:
+            best = agenda.min(axis=0)
+            going = np.flatnonzero(best != NONE)
+            if len(going) < 0.75 * n or not len(going):
+                ended = np.flatnonzero(best == NONE)
+                final[:, column[ended]] = symbols[:, ended]
+                if not len(going):
+                    return final
+                symbols, agenda, made, after, before = (m.take(going, axis=1) for m in (symbols, agenda, made, after, before))
+                column, turn, skip, key, sizes, best = (v[going] for v in (column, turn, skip, key, sizes, best))
+                n, going = len(going), np.arange(len(going))
+            s, c, m, nx, pv = (x.reshape(-1) for x in (symbols, agenda, made, after, before))
+            a = (best[going] & LONG_WORD - 1).astype(np.int64)
+            skipped = skip[going] == taken
+            if skipped.any():
+                who = going[skipped]
+                c[a[skipped] * n + who] = NONE
+                drawn = (spread_bits(key[who] + turn[who] * np.uint64(BASE)) >> np.uint64(11)).astype(np.int64)
+                skip[who] += 1 + len(self.chances) - np.searchsorted(self.chances, drawn + 1)
+                turn[who] += np.uint64(1)
+                going, a = going[~skipped], a[~skipped]
+            taken += 1
+            here = a * n + going
+            b = nx[here]
+            there = b * n + going
+            stop = nx[there]
+            s[here], s[there], c[there], nx[here] = m[here], -1, NONE, stop
+            more = stop < sizes[going]
+            right, c[here[~more]] = stop[more] * n + going[more], NONE
+            pv[right] = a[more]
+            c[here[more]], m[here[more]] = self._made_of(s[here[more]], s[right], a[more])
+            back = pv[here]
+            less = back >= 0
+            left = back[less] * n + going[less]
+            c[left], m[left] = self._made_of(s[left], s[here[less]], back[less])
+
+    def _spelled(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of characters that are no piece as the ids of their bytes; the words' counts of ids with them."""
+        apart = np.flatnonzero(symbols >= len(self.pieces))
+        if not len(apart):
+            return symbols, counts
+        points, which = np.unique(symbols[apart] - len(self.pieces), return_inverse=True)
+        spelled = [chr(p).encode() for p in points.tolist()]
+        sizes = np.ones(len(symbols), np.int64)
+        sizes[apart] = np.array([len(x) for x in spelled])[which]
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int64)
+        out[starts] = symbols
+        for place in range(4):
+            ids = np.array([int.from_bytes(self.raw_byte[x[place]], "little") if place < len(x) else 0 for x in spelled])[which]
+            has = sizes[apart] > place
+            out[starts[apart[has]] + place] = ids[has]
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+        return out, np.diff(ends)
+
     def decode(self, ids: bytes) -> str:
         """The text of encoded ids; byte pieces give their bytes, a gap a space."""
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()[1:]
@@ -238,8 +432,7 @@ def encode(docs: DataFrame, vocabulary_path: str, dropout: float = DROPOUT, seed
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Pieces(vocabulary_path, dropout, seed)
         for part in slices(batches, "text"):
-            names = part.column("doc_id").to_pylist()
-            ids = [coder.encode(t, d) for d, t in zip(names, part.column("text").to_pylist())]
+            ids = coder.encode_all(part.column("text").to_pylist(), part.column("doc_id").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     prepare(docs.sparkSession)
