@@ -166,3 +166,19 @@ def test_dropout_is_keyed_varied_and_lossless(awkward, nothing):
     single = pieces.Pieces(path, 1.0)
     assert len(single.encode("abc")) == 4 * len("▁abc")
     assert pieces.encode(nothing, path).count() == 0
+
+
+def test_tasks_of_a_worker_share_what_is_remembered(spark, tmp_path):
+    from tidewater.llm.records import write_records
+
+    def loads(batches):
+        from tidewater.llm import tokens
+        for batch in batches:
+            yield batch.iloc[:1].assign(misses=tokens.shared_encoder.cache_info().misses)
+
+    docs = spark.createDataFrame([(i, f"text {i} of many") for i in range(40)], "doc_id long, text string").repartition(20)
+    for n in range(2):
+        index = write_records(docs, f"{tmp_path}/{n}", vocabulary("byte_bpe_50k.json"))
+        assert index.count() == 40
+    seen = docs.selectExpr("doc_id").mapInPandas(loads, "doc_id long, misses long").toPandas()["misses"]
+    assert 1 <= seen.max() <= 1

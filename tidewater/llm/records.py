@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import prepare, read, slices
-from tidewater.llm.tokens import Encoder, vocabulary
+from tidewater.llm.tokens import shared_encoder, vocabulary
 from tidewater.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -63,7 +63,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary_path: str, end_id: in
         store, root = _opened(folder)
         part = TaskContext.get().partitionId()
         name, at, out = f"part-{part:06d}-{uuid.uuid4().hex}.records", 0, None
-        encoder = Encoder(vocabulary_path, byte_level=True, width=width)
+        encoder = shared_encoder(vocabulary_path, byte_level=True, width=width)
         end = end_id.to_bytes(width, "little")
         try:
             for rows in slices(batches, "text"):

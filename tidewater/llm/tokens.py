@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a public tokenizer, encoding each distinct unit of text once per task.
+"""Token ids of whole texts by a public tokenizer, remembering the ids of each distinct unit of text.
 
 A unit is a piece of text whose ids do not depend on its neighbours: for the byte-level vocabulary a word
 with the single space before it, or a line feed between words; for the word-end vocabulary a word. Texts with
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from functools import lru_cache
 
 CACHE_UNITS = 250_000
 # Letters, then marks that are neither letters, digits, white space nor an apostrophe; all of long-settled classes.
@@ -107,6 +108,13 @@ class Encoder(dict):
         return out
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, byte_level: bool, width: int = 4) -> Encoder:
+    """One encoder for all tasks that a Python worker runs one after the other: the file is read once, and what a task
+    has encoded the next ones remember, within the bounds of `Encoder`."""
+    return Encoder(path, byte_level, width)
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer file, as installed on every machine."""
     import public_tokenizers
