@@ -75,6 +75,46 @@ def test_scores_are_exact_beyond_64_bits(spark):
     assert got["score"] == 1000 * a * n // (left * right)
 
 
+def test_runs_that_are_not_frequent_are_not_counted_one_by_one(spark, monkeypatch):
+    rng, kept = random.Random(4), {}
+    table = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(60)), "en", "s", 1) for i in range(400)]
+
+    def keep(df, label, put=c.keep):
+        out = put(df, label)
+        kept[label] = out.count()
+        return out
+
+    monkeypatch.setattr(c, "keep", keep)
+    docs = spark.createDataFrame(table, SCHEMA).repartition(4)
+    assert rows(c.collocations(docs, 5)) == brute_force([(r[1], r[2]) for r in table], 5, 2000)
+    # Nearly all of 2,500 pairs are frequent, hardly any of some 20,000 longer runs.
+    assert kept["edges"] < 4000
+
+
+def test_full_buckets_and_small_chunks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(c, "FEWEST_BITS", 13)
+    monkeypatch.setattr(c, "MOST_BITS", 13)
+    monkeypatch.setattr(c, "HELD", 100)
+    monkeypatch.setattr(c, "SPELLED", 3)
+    table = corpus(5)
+    docs = spark.createDataFrame(table, SCHEMA).repartition(3)
+    assert rows(c.collocations(docs, 3)) == brute_force([(r[1], r[2]) for r in table], 3, 2000)
+
+
+@pytest.mark.parametrize("longest", [2, 3])
+def test_shorter_phrases_only(spark, longest):
+    table = corpus(6)
+    docs = spark.createDataFrame(table, SCHEMA)
+    assert rows(c.collocations(docs, 4, 2000, longest)) == brute_force([(r[1], r[2]) for r in table], 4, 2000, longest)
+
+
+def test_packed_buckets_come_back():
+    rng = np.random.default_rng(3)
+    for n, below in ((0, 9), (1, 9), (500, 9), (500, 1 << 28)):
+        buckets = np.sort(rng.integers(0, below, n).astype(np.uint32))
+        assert c.unpacked(c.packed(buckets)).tolist() == buckets.tolist()
+
+
 def test_tally_is_the_same_however_often_it_merges(monkeypatch):
     monkeypatch.setattr(c, "TALLY", 5)
     rng, tally, seen = np.random.default_rng(1), c.Tally(2), Counter()

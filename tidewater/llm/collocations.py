@@ -6,9 +6,11 @@ is the flow out of its node, summed over the phrases one word longer that begin
 with it; so each order follows from the one above. A node all of whose flow passes through a single edge lies on a
 unary path and is compacted into that edge: it is the phrase that a longer one of equal count contains.
 
-A phrase of `least` occurrences holds only words and neighbouring pairs of as many. Other words and pairs therefore
-end a piece, which changes no count that matters and leaves few distinct edges. Which they are is counted first, over
-all texts, and told to the tasks by two bitmaps of fixed size; what these let through in excess is counted exactly.
+Every part of a phrase of `least` occurrences has as many. An edge therefore ends where it would become rarer, which
+changes no count that matters and leaves few distinct edges. Where that is, is told to the tasks by bitmaps: of the
+words, which are counted exactly, then of pairs, then of longer runs, whose hashes fall into buckets that are counted.
+A bucket of fewer than `least` holds no frequent run; what the others let through in excess is counted exactly. Tasks
+send buckets and runs in chunks, one for each of PARTS parts of the hashes, which are summed part by part.
 """
 
 from __future__ import annotations
@@ -32,7 +34,11 @@ ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 BLANKS = b"\x20\x09"
 SLICE = 2 << 20
 TALLY = 1 << 19
+SPELLED = 1 << 16
 SALTS = 64
+PARTS = 256
+#: Buckets: one for so many words, within these powers of two; how many of a task's are held at once.
+CROWD, FEWEST_BITS, MOST_BITS, HELD = 16, 16, 28, 1 << 20
 
 
 class Pieces(NamedTuple):
@@ -65,9 +71,25 @@ def pieces_of(texts: pa.Array, langs: pa.Array, powers: Powers) -> Pieces:
     return Pieces(data, words, starts, ends, doc, np.append(piece[1:] == piece[:-1], False)[:len(words)])
 
 
-def pair_hashes(words: np.ndarray) -> np.ndarray:
-    """Hash of each word with the next one; that of the last word has no meaning."""
-    return spread_bits(words * np.uint64(ODD) + np.append(words[1:], np.uint64(0))[:len(words)])
+def shifted(values: np.ndarray, by: int) -> np.ndarray:
+    """What stands `by` places further on; zeros after the end."""
+    return np.append(values[by:], np.zeros(min(by, len(values)), values.dtype))
+
+
+def grown(found: Pieces, words: np.ndarray, filters: dict[int, np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size from 2 on: at which words a run of so many may begin that is frequent, and the hashes of the runs.
+
+    Its words are marked in `words` and follow each other in a piece, and every part of it whose size has a bitmap in
+    `filters` is marked there.
+    """
+    known = marked(words, found.words)
+    able, hashes = known, found.words
+    for size in range(2, longest + 1):
+        able = able & shifted(able, 1) & (found.linked if size == 2 else True)
+        hashes = spread_bits(hashes * np.uint64(ODD) + shifted(found.words, size - 1))
+        if size in filters:
+            able = able & marked(filters[size], hashes)
+        yield size, able, hashes
 
 
 class Tally:
@@ -80,25 +102,27 @@ class Tally:
     def _clear(self) -> None:
         self.runs, self.counts, self.held = [np.zeros((0, self.width), np.uint64)], [np.zeros(0, np.int64)], 0
 
-    def _mixed(self, runs: np.ndarray) -> np.ndarray:
+    def keys(self, runs: np.ndarray) -> np.ndarray:
         mixed = runs[:, 0]
         for column in runs.T[1:]:
             mixed = spread_bits(mixed * np.uint64(ODD) + column)
         return mixed
 
-    def add(self, runs: np.ndarray) -> bool:
-        """Whether it is time to take what has been counted."""
-        _, first, counts = np.unique(self._mixed(runs), return_index=True, return_counts=True)
-        self.runs.append(runs[first])
+    def add(self, runs: np.ndarray, counts: np.ndarray | None = None) -> bool:
+        """Counts each run once, or as often as `counts` says. Whether it is time to take what has been counted."""
+        if counts is None:
+            _, first, counts = np.unique(self.keys(runs), return_index=True, return_counts=True)
+            runs = runs[first]
+        self.runs.append(runs)
         self.counts.append(counts)
-        self.held += len(first)
+        self.held += len(runs)
         if self.held > 2 * TALLY:
             self._merge()
         return self.held > TALLY
 
     def _merge(self) -> None:
         runs = np.concatenate(self.runs)
-        _, first, which = np.unique(self._mixed(runs), return_index=True, return_inverse=True)
+        _, first, which = np.unique(self.keys(runs), return_index=True, return_inverse=True)
         self.counts = [np.bincount(which, np.concatenate(self.counts), len(first)).astype(np.int64)]
         self.runs, self.held = [runs[first]], len(first)
 
@@ -139,67 +163,118 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(walk, "h long, lang string, n long")
 
 
-def _linked(found: Pieces, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which words the bitmap marks, and which of these the next one follows in the same piece."""
-    known = marked(words, found.words)
-    return known, found.linked & known & np.append(known[1:], False)[:len(known)]
+def packed(buckets: np.ndarray) -> bytes:
+    """Ascending numbers as their differences, low bytes of all first, so that the zeros of the high ones lie together."""
+    return np.diff(buckets, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
 
+def unpacked(held: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(4, -1).T).view("<u4")[:, 0], dtype=np.int64)
 
-def pair_counts(texts: DataFrame, words: np.ndarray) -> DataFrame:
-    """(h, n): how often each pair of neighbouring marked words occurs. Several rows may count the same."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+def crowded(texts: DataFrame, words: np.ndarray, filters: dict[int, np.ndarray], sizes: range, least: int, bits: int) -> np.ndarray:
+    """Bitmap of the 2**bits buckets into which at least `least` runs of `sizes` fall by the low bits of their hashes.
+
+    Runs are those that `words` and `filters` leave. The buckets are counted in PARTS parts, each by one task.
+    """
+    context = texts.sparkSession.sparkContext
+    shared, within = context.broadcast((words, filters)), bits - (PARTS.bit_length() - 1)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, tally = Powers(), Tally()
+        powers, held, n = Powers(), [], 0
 
         def rows() -> pa.RecordBatch:
-            runs, counts = tally.take()
-            return pa.RecordBatch.from_arrays([pa.array(runs[:, 0].view(np.int64)), pa.array(counts)], names=["h", "n"])
-
-        for part in slices(batches, "text", SLICE):
-            found = pieces_of(part.column("text"), part.column("lang"), powers)
-            if tally.add(pair_hashes(found.words)[_linked(found, shared.value)[1], None]):
+            # More than `least` of a bucket tell nothing further.
+            buckets, counts = np.unique(np.concatenate([np.zeros(0, np.uint32), *held]), return_counts=True)
+            buckets = np.repeat(buckets, np.minimum(counts, least))
+            bounds = np.searchsorted(buckets, np.arange(PARTS + 1, dtype=np.int64) << within)
+            full = np.flatnonzero(np.diff(bounds))
+            own = buckets & np.uint32((1 << within) - 1)
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([packed(own[bounds[i]:bounds[i + 1]]) for i in full], pa.binary())],
+                                              names=["part", "buckets"])
+
+        for piece in slices(batches, "text", SLICE):
+            found = pieces_of(piece.column("text"), piece.column("lang"), powers)
+            for size, able, hashes in grown(found, *shared.value, sizes.stop - 1):
+                if size in sizes:
+                    held.append((hashes[able] & np.uint64((1 << bits) - 1)).astype(np.uint32))
+                    n += len(held[-1])
+            if n > HELD:
                 yield rows()
+                held, n = [], 0
         yield rows()
 
-    return texts.mapInArrow(walk, "h long, n long")
-
-
-def edges_of(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int) -> DataFrame:
-    """(g, n, word, lang): runs of word hashes with their counts, and the words themselves with n = 0.
-
-    From every word starts one run of `longest` words, or a shorter one where its piece ends first. Words and pairs
-    that the bitmaps do not mark end pieces.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, buckets in zip(batch.column("part").to_pylist(), batch.column("buckets")):
+                own, counts = np.unique(unpacked(buckets.as_py()), return_counts=True)
+                counters.setdefault(part, np.zeros(1 << within, np.int64))[own] += counts
+        for part, counter in counters.items():
+            marks = np.packbits(counter >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([marks], pa.binary())], names=["part", "marks"])
+
+    bitmap = np.zeros((PARTS, (1 << within) // 32), np.uint32)
+    # At most PARTS rows of 2**bits bits in all.
+    held = texts.mapInArrow(walk, "part int, buckets binary").repartition("part").mapInArrow(count, "part int, marks binary").toArrow()
+    for part, marks in zip(held.column("part").to_pylist(), held.column("marks")):
+        bitmap[part] = np.frombuffer(marks.as_py(), "<u4")
+    return bitmap.reshape(-1)
+
+
+def _chunks(keys: np.ndarray, **lists: pa.Array) -> pa.RecordBatch:
+    """One row for each part of the keys, with what belongs to them; columns that are not given are null."""
+    parts = (keys & np.uint64(PARTS - 1)).astype(np.int32)
+    order = np.argsort(parts, kind="stable")
+    full, counts = np.unique(parts, return_counts=True)
+    columns = [pa.array(full, pa.int32())]
+    for name, kind in (("g", pa.int64()), ("n", pa.int64()), ("word", pa.string()), ("lang", pa.string())):
+        width = 1
+        if name not in lists:
+            columns.append(pa.nulls(len(full), pa.list_(kind)))
+            continue
+        values = lists[name]
+        if isinstance(values, np.ndarray) and values.ndim == 2:
+            width, values = values.shape[1], pa.array(values[order].reshape(-1).view(np.int64))
+        else:
+            values = pa.array(values).take(pa.array(order))
+        columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts * width)).astype(np.int32)), values))
+    return pa.RecordBatch.from_arrays(columns, names=["part", "g", "n", "word", "lang"])
+
+
+def edges_of(texts: DataFrame, words: np.ndarray, filters: dict[int, np.ndarray], longest: int) -> DataFrame:
+    """(g, n, word, lang): runs of two or more word hashes with their counts, and the words in them with n = 0.
+
+    From every word starts one run of `longest` words, or a shorter one that ends where its piece does or where it
+    would become one that the bitmaps do not mark. Several rows may count the same.
     """
-    context = texts.sparkSession.sparkContext
-    shared_words, shared_pairs = context.broadcast(words), context.broadcast(pairs)
-    names = ["g", "n", "word", "lang"]
+    shared = texts.sparkSession.sparkContext.broadcast((words, filters))
+    sizes = range(2, longest + 1)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, told = Powers(), np.zeros(0, np.uint64)
-        tallies = [Tally(size) for size in range(1, longest + 1)]
+        powers, told, held = Powers(), np.zeros(0, np.uint64), []
+        tallies = {size: Tally(size) for size in sizes}
 
         def runs(tally: Tally) -> pa.RecordBatch:
             rows, counts = tally.take()
-            offsets = np.arange(0, rows.size + 1, tally.width, dtype=np.int32)
-            g = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1).view(np.int64)))
-            none = pa.nulls(len(rows), pa.string())
-            return pa.RecordBatch.from_arrays([g, pa.array(counts), none, none], names=names)
+            return _chunks(tally.keys(rows), g=rows, n=counts)
+
+        def spellings(held: list[tuple[np.ndarray, pa.Array, pa.Array]]) -> pa.RecordBatch:
+            new, word, lang = zip(*held)
+            return _chunks(np.concatenate(new), g=np.concatenate(new)[:, None], word=pa.concat_arrays(word), lang=pa.concat_arrays(lang))
 
         for part in slices(batches, "text", SLICE):
             found = pieces_of(part.column("text"), part.column("lang"), powers)
-            known, linked = _linked(found, shared_words.value)
-            linked = linked & marked(shared_pairs.value, pair_hashes(found.words))
-            length, go = known.astype(np.int8), linked
-            for step in range(1, longest):
-                length = length + go
-                go = go & np.append(linked[step:], np.zeros(min(step, len(linked)), bool))[:len(linked)]
-            for size, tally in enumerate(tallies, 1):
+            length, inside = np.ones(len(found.words), np.int8), np.zeros(len(found.words), bool)
+            for size, able, _ in grown(found, *shared.value, longest):
+                length += able
+                if size == 2:
+                    inside = able | np.append(False, able[:-1])[:len(able)]
+            for size, tally in tallies.items():
                 at = np.flatnonzero(length == size)
                 if tally.add(found.words[at[:, None] + np.arange(size)]):
                     yield runs(tally)
-            # Words of runs of two or more, once per task while they are remembered.
-            inside = linked | np.append(False, linked[:-1])[:len(linked)]
+            # Words of runs, once per task while they are remembered.
             new, first = np.unique(found.words[inside], return_index=True)
             fresh = ~np.isin(new, told, assume_unique=True)
             new, at = new[fresh], np.flatnonzero(inside)[first[fresh]]
@@ -207,19 +282,52 @@ def edges_of(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: in
                 told = np.concatenate([told, new]) if len(told) < TALLY else new
                 raw = found.data.tobytes()
                 spelled = pa.array([raw[a:b].decode() for a, b in zip(found.starts[at].tolist(), found.ends[at].tolist())], pa.string())
-                g = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32)), pa.array(new.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([g, pa.array(np.zeros(len(new), np.int64)), spelled,
-                                                  part.column("lang").take(pa.array(found.doc[at]))], names=names)
-        for tally in tallies:
+                held.append((new, spelled, part.column("lang").take(pa.array(found.doc[at]))))
+            if sum(len(new) for new, _, _ in held) > SPELLED:
+                yield spellings(held)
+                held = []
+        for tally in tallies.values():
+            yield runs(tally)
+        if held:
+            yield spellings(held)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, names = np.zeros(0, np.uint64), ["g", "n", "word", "lang"]
+        tallies = {size: Tally(size) for size in sizes}
+
+        def rows(g: np.ndarray, n: np.ndarray, word: pa.Array, lang: pa.Array) -> pa.RecordBatch:
+            offsets = pa.array(np.arange(0, g.size + 1, g.shape[1], dtype=np.int32))
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(g.reshape(-1).view(np.int64))), pa.array(n), word, lang], names=names)
+
+        def runs(tally: Tally) -> pa.RecordBatch:
+            g, n = tally.take()
+            return rows(g, n, pa.nulls(len(g), pa.string()), pa.nulls(len(g), pa.string()))
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                g, n, word, lang = (batch.column(name)[i].values for name in names)
+                g = g.to_numpy().view(np.uint64)
+                if n is not None:
+                    tally = tallies[len(g) // len(n)]
+                    if tally.add(g.reshape(len(n), -1), n.to_numpy()):
+                        yield runs(tally)
+                    continue
+                fresh = np.flatnonzero(~np.isin(g, told))
+                if len(fresh):
+                    told = np.concatenate([told, g[fresh]]) if len(told) < TALLY else g[fresh]
+                    yield rows(g[fresh, None], np.zeros(len(fresh), np.int64), word.take(pa.array(fresh)), lang.take(pa.array(fresh)))
+        for tally in tallies.values():
             yield runs(tally)
 
-    return texts.mapInArrow(walk, "g array<long>, n long, word string, lang string")
+    chunks = texts.mapInArrow(walk, "part int, g array<long>, n array<long>, word array<string>, lang array<string>")
+    return chunks.repartition("part").mapInArrow(total, "g array<long>, n long, word string, lang string")
 
 
-def node_flows(edges: DataFrame, least: int, longest: int) -> DataFrame:
-    """(g, f) of every phrase of up to `longest` words with `least` occurrences, from (g, n) of edges and piece ends."""
-    level, out = None, []
-    for size in range(longest, 0, -1):
+def node_flows(edges: DataFrame, words: DataFrame, least: int, longest: int) -> DataFrame:
+    """(g, f) of every phrase of up to `longest` words with `least` occurrences, from (g, n) of edges and their ends and
+    from (h, n) of the single words that have as many."""
+    level, out = None, [words.select(F.array("h").alias("g"), F.col("n").alias("f"))]
+    for size in range(longest, 1, -1):
         ends = edges.where(F.size("g") == size).select("g", "n")
         if level is not None:
             ends = ends.unionByName(level.select(F.slice("g", 1, size).alias("g"), F.col("f").alias("n")))
@@ -267,11 +375,15 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int | None = TOP, lon
     enough = F.col("n") >= least
     words = keep(word_counts(texts).groupBy("h", "lang").agg(F.sum("n").alias("n")).where(enough | F.col("h").isNull()), "words")
     totals = words.where("h is null").select("lang", "n")
-    seen = bitmap_of(words.where("h is not null"), "h")
-    pairs = pair_counts(texts, seen).groupBy("h").agg(F.sum("n").alias("n")).where(enough)
-    edges = keep(edges_of(texts, seen, bitmap_of(pairs, "h"), longest).groupBy("g", "word", "lang").agg(F.sum("n").alias("n")), "edges")
+    frequent = words.where("h is not null")
+    seen = bitmap_of(frequent, "h")
+    n = totals.agg(F.sum("n")).first()[0] or 0
+    bits = min(max((n // CROWD).bit_length(), FEWEST_BITS), MOST_BITS)
+    pairs = crowded(texts, seen, {}, range(2, 3), least, bits)
+    runs = crowded(texts, seen, {2: pairs}, range(3, longest + 1), least, bits) if longest > 2 else None
+    edges = keep(edges_of(texts, seen, {2: pairs} | {size: runs for size in range(3, longest + 1)}, longest), "edges")
     spelling = edges.where("word is not null").groupBy(F.col("g")[0].alias("w")).agg(F.min("word").alias("word"), F.min("lang").alias("lang"))
-    flows = node_flows(edges.where("word is null").select("g", "n"), least, longest)
+    flows = node_flows(edges.where("word is null").select("g", "n"), frequent, least, longest)
     candidates = flows.where(F.size("g") > 1).join(compacted(flows), ["g", "f"], "left_anti")
     spelled = candidates.select("g", "f", F.posexplode("g").alias("at", "w")).join(spelling, "w") \
         .groupBy("g").agg(F.first("f").alias("a"), F.min("lang").alias("lang"),
