@@ -76,3 +76,19 @@ def test_one_of_each_keeps_the_first_and_all_columns(awkward, nothing):
     want = sorted(d for d, c in groups.items() if d is not None and d == c)
     assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == want
     assert simhash.one_of_each(nothing).count() == 0 and simhash.near_duplicates(nothing).count() == 0
+
+
+def test_no_expanded_table_goes_through_the_driver(spark, monkeypatch):
+    """Tables far below the broadcast limit by Spark's estimate, which does not know the 64 rows a fingerprint makes."""
+    plans, real = [], simhash.keep
+
+    def watched(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, label)
+
+    monkeypatch.setattr(simhash, "keep", watched)
+    prints = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % (1 << 63) >> 3 << 3 | j,) for i in range(50) for j in (0, 1)], "fp long")
+    left = simhash.links(prints)
+    plans.append(("rest", left._jdf.queryExecution().executedPlan().toString()))
+    assert left.count() >= 50
+    assert [label for label, plan in plans if "BroadcastExchange" in plan] == []

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import Scratch
+from tidewater.session import by_shuffle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,10 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
         with held, Scratch(spark) as within:
             both = stars.unionByName(stars.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
             low = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("least"))
-            large = both.join(low, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
+            large = both.join(by_shuffle(low), "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
             large = within.keep(large.distinct(), "large-star")
             low = large.groupBy("hi").agg(F.min("lo").alias("least"))
-            small = large.join(low, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
+            small = large.join(by_shuffle(low), "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
             after = Scratch(spark)
             stars = after.keep(small.unionByName(low.select("hi", F.col("least").alias("lo"))).distinct(), "small-star")
         held = after

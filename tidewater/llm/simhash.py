@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import keep, prepare, read, slices
 from tidewater.llm.graph import components
+from tidewater.session import by_shuffle
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -84,21 +85,24 @@ def links(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
     most frequent label needs one link to those that have it, found by a semi-join, twice over; only members that
     still differ from it are held against each other. A bucket of near copies so yields a row per member, not its
     pairs.
+
+    Spark's estimate of `listed` knows nothing of the 64 rows an explode makes of one and would send them all through the
+    driver; the joins with a row per fingerprint or key are shuffled.
     """
     listed = prints.select("fp", _variants("fp").alias("key"))
     reps = keep(listed.groupBy("key").agg(F.min("fp").alias("rep"), F.count("*").alias("n")).where("n > 1"),
                 "simhash-reps")
-    star = listed.join(reps.select("key", "rep"), "key").where(F.col("fp") != F.col("rep")).where(_near("fp", "rep", most))
+    star = listed.join(by_shuffle(reps.select("key", "rep")), "key").where(F.col("fp") != F.col("rep")).where(_near("fp", "rep", most))
     found = keep(star.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct(), "simhash-star")
-    crowded = keep(listed.join(reps.where("n > 2").select("key"), "key", "left_semi"), "simhash-crowded")
+    crowded = keep(listed.join(by_shuffle(reps.where("n > 2").select("key")), "key", "left_semi"), "simhash-crowded")
     for _ in range(2):
         marked, rest = _by_label(crowded, _labels(found))
         main = marked.select(F.col("key").alias("b_key"), F.col("fp").alias("b"), F.col("label").alias("b_label"))
-        near_main = rest.join(main, (F.col("key") == F.col("b_key")) & (F.col("main") == F.col("b_label"))
+        near_main = rest.join(by_shuffle(main), (F.col("key") == F.col("b_key")) & (F.col("main") == F.col("b_label"))
                               & _near("a", "b", most), "left_semi")
         found = keep(found.unionByName(near_main.select("a", F.col("main").alias("b"))).distinct(), "simhash-links")
     other = rest.select("key", F.col("a").alias("b"), F.col("label").alias("b_label"))
-    between = rest.join(other, "key").where("a < b and label <> b_label").where(_near("a", "b", most))
+    between = rest.join(by_shuffle(other), "key").where("a < b and label <> b_label").where(_near("a", "b", most))
     return found.unionByName(between.select("a", "b").distinct())
 
 
@@ -108,19 +112,19 @@ def _labels(found: DataFrame) -> DataFrame:
         .agg(F.min("to").alias("label"))
     for _ in range(2):
         above = up.select(F.col("fp").alias("label"), F.col("label").alias("above"))
-        up = up.join(above, "label", "left").select("fp", F.coalesce("above", "label").alias("label"))
+        up = up.join(by_shuffle(above), "label", "left").select("fp", F.coalesce("above", "label").alias("label"))
     return keep(up, "simhash-labels")
 
 
 def _by_label(crowded: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of buckets with their label, (key, fp, label), and those without the bucket's most frequent label,
     (key, a, label, main)."""
-    marked = keep(crowded.join(labels, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label")),
+    marked = keep(crowded.join(by_shuffle(labels), "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label")),
                   "simhash-marked")
     sizes = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
                                      F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    rest = marked.join(mixed, "key").where("label <> main").select("key", F.col("fp").alias("a"), "label", "main")
+    rest = marked.join(by_shuffle(mixed), "key").where("label <> main").select("key", F.col("fp").alias("a"), "label", "main")
     return marked, keep(rest, "simhash-rest")
 
 
@@ -136,10 +140,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = M
     rows = keep(fingerprints(docs, shingle), "simhash-rows")
     prints = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints")
     roots = components(links(prints.select("fp"), most))
-    grouped = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
+    grouped = prints.join(by_shuffle(roots.withColumnRenamed("node", "fp")), "fp", "left") \
         .withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(grouped.join(least, "root").select("fp", "component_id"), "fp") \
+    return rows.join(by_shuffle(grouped.join(by_shuffle(least), "root").select("fp", "component_id")), "fp") \
         .select("doc_id", "fp", "component_id")
 
 
@@ -149,7 +153,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     groups = near_duplicates(docs)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    found = docs.join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left_semi")
+    found = docs.join(by_shuffle(stay), F.col("doc_id").cast("long") == F.col("_stay"), "left_semi")
     turn = Window.partitionBy("doc_id").orderBy(F.col("doc_id"))
     return found.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").drop("_turn")
 
