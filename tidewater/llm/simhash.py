@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import keep, prepare, read, slices
+from tidewater.llm.common import Scratch, keep, prepare, read, slices
 from tidewater.llm.graph import components
-from tidewater.session import by_shuffle
+from tidewater.session import brief_shuffles, by_shuffle
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -87,45 +87,55 @@ def links(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
     pairs.
 
     Spark's estimate of `listed` knows nothing of the 64 rows an explode makes of one and would send them all through the
-    driver; the joins with a row per fingerprint or key are shuffled.
+    driver; the joins with a row per fingerprint or key are shuffled. Of the scratch tables, each with rows for most of the
+    64 variants once buckets fill, only those of the present round lie on disk.
     """
+    with Scratch(prints.sparkSession) as within, brief_shuffles(prints.sparkSession):
+        return keep(_links(prints, most, within), "simhash-linked")
+
+
+def _links(prints: DataFrame, most: int, within: Scratch) -> DataFrame:
+    spark = prints.sparkSession
     listed = prints.select("fp", _variants("fp").alias("key"))
-    reps = keep(listed.groupBy("key").agg(F.min("fp").alias("rep"), F.count("*").alias("n")).where("n > 1"),
-                "simhash-reps")
-    star = listed.join(by_shuffle(reps.select("key", "rep")), "key").where(F.col("fp") != F.col("rep")).where(_near("fp", "rep", most))
-    found = keep(star.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct(), "simhash-star")
-    crowded = keep(listed.join(by_shuffle(reps.where("n > 2").select("key")), "key", "left_semi"), "simhash-crowded")
-    for _ in range(2):
-        marked, rest = _by_label(crowded, _labels(found))
-        main = marked.select(F.col("key").alias("b_key"), F.col("fp").alias("b"), F.col("label").alias("b_label"))
-        near_main = rest.join(by_shuffle(main), (F.col("key") == F.col("b_key")) & (F.col("main") == F.col("b_label"))
-                              & _near("a", "b", most), "left_semi")
-        found = keep(found.unionByName(near_main.select("a", F.col("main").alias("b"))).distinct(), "simhash-links")
+    with Scratch(spark) as first:
+        reps = first.keep(listed.groupBy("key").agg(F.min("fp").alias("rep"), F.count("*").alias("n")).where("n > 1"),
+                          "simhash-reps")
+        star = listed.join(by_shuffle(reps.select("key", "rep")), "key").where(F.col("fp") != F.col("rep")) \
+            .where(_near("fp", "rep", most))
+        found = within.keep(star.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct(), "simhash-star")
+        crowded = within.keep(listed.join(by_shuffle(reps.where("n > 2").select("key")), "key", "left_semi"), "simhash-crowded")
+    for outer in (None, within):
+        with Scratch(spark) as turn:
+            marked, rest = _by_label(crowded, _labels(found, turn), turn, outer or turn)
+            main = marked.select(F.col("key").alias("b_key"), F.col("fp").alias("b"), F.col("label").alias("b_label"))
+            near_main = rest.join(by_shuffle(main), (F.col("key") == F.col("b_key")) & (F.col("main") == F.col("b_label"))
+                                  & _near("a", "b", most), "left_semi")
+            found = within.keep(found.unionByName(near_main.select("a", F.col("main").alias("b"))).distinct(), "simhash-links")
     other = rest.select("key", F.col("a").alias("b"), F.col("label").alias("b_label"))
     between = rest.join(by_shuffle(other), "key").where("a < b and label <> b_label").where(_near("a", "b", most))
     return found.unionByName(between.select("a", "b").distinct())
 
 
-def _labels(found: DataFrame) -> DataFrame:
+def _labels(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, label): connected fingerprints that were hung on a common one, two steps up, have one label."""
     up = found.select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("to")).groupBy("fp") \
         .agg(F.min("to").alias("label"))
     for _ in range(2):
         above = up.select(F.col("fp").alias("label"), F.col("label").alias("above"))
         up = up.join(by_shuffle(above), "label", "left").select("fp", F.coalesce("above", "label").alias("label"))
-    return keep(up, "simhash-labels")
+    return scratch.keep(up, "simhash-labels")
 
 
-def _by_label(crowded: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _by_label(crowded: DataFrame, labels: DataFrame, scratch: Scratch, outer: Scratch) -> tuple[DataFrame, DataFrame]:
     """Members of buckets with their label, (key, fp, label), and those without the bucket's most frequent label,
-    (key, a, label, main)."""
-    marked = keep(crowded.join(by_shuffle(labels), "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label")),
-                  "simhash-marked")
+    (key, a, label, main); the latter are kept in `outer`."""
+    marked = scratch.keep(crowded.join(by_shuffle(labels), "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label")),
+                          "simhash-marked")
     sizes = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
                                      F.count("*").alias("parts")).where("parts > 1").drop("parts")
     rest = marked.join(by_shuffle(mixed), "key").where("label <> main").select("key", F.col("fp").alias("a"), "label", "main")
-    return marked, keep(rest, "simhash-rest")
+    return marked, outer.keep(rest, "simhash-rest")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
