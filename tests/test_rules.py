@@ -5,10 +5,12 @@ from datetime import timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samples import BASE, rows
 from tidewater import contracts as C
+from tidewater import session
 from tidewater.operators import allocation, conformity, lifecycle, requests, scoring, skew
 
 
@@ -263,6 +265,22 @@ def test_fallback_allocation_equals_its_rounds_walked_serially(spark, seed, roun
     assert {r for _, r in want.values()} == set(range(1, max(r for _, r in want.values()) + 1))
 
 
+def test_fallback_allocation_frees_each_round(spark, monkeypatch):
+    """Only the result's two tables stay on disk, and no step is written as a checkpoint, whose rows are neither packed nor deleted."""
+    made, gone, path, drop = [], [], session.scratch_path, session.delete
+    monkeypatch.setattr(session, "scratch_path", lambda spark, label: made.append(path(spark, label)) or made[-1])
+    monkeypatch.setattr(session, "delete", lambda spark, at: gone.append(at) or drop(spark, at))
+    monkeypatch.setattr(DataFrame, "checkpoint", None)
+    got = allocation.allocate_with_fallback(
+        spark.createDataFrame([(f"o{i}", i) for i in range(4)], "order_id string, at int"),
+        spark.createDataFrame([(f"o{i}", "s", 2) for i in range(4)], "order_id string, sku string, qty bigint"),
+        spark.createDataFrame([(f"o{i}", n, r) for i in range(4) for r, n in enumerate("ab", 1)], "order_id string, node_id string, rank int"),
+        spark.createDataFrame([("s", "a", 4), ("s", "b", 2)], "sku string, node_id string, available_qty int"), ["at"])
+    assert rows(got) == [("o0", "a", 1, None), ("o1", "a", 1, None), ("o2", "b", 2, None), ("o3", None, None, "all nodes refused")]
+    assert {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(made) - set(gone)} == {"fallback-nodes", "fallback-known"}
+    assert spark.conf.get(session.CLEANUP, "false") == "false"
+
+
 def test_steps_count_in_order_only_however_many_events_a_correlation_has(spark):
     steps = lifecycle.FUNNEL
     rng = random.Random(4)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.session import adopt, scratch_path
+from tidewater.session import Scratch, adopt, delete, keep  # noqa: F401
 
 SLICE_BYTES = 2 << 20
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -32,39 +32,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: computed once, and safe from lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables kept while a block runs and deleted at its end; what outlives the block must be kept outside of it."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
-        self.paths.append(scratch_path(self.spark, label))
-        df.write.parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
-
-    def __exit__(self, *failure) -> None:
-        for path in self.paths:
-            delete(self.spark, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table whose last reader has finished."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of the batches with at most `most` bytes in `column`, or a single row."""
     for batch in batches:
