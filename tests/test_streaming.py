@@ -239,6 +239,102 @@ def test_keyed_state_equals_batch(spark, tmp_path):
     assert rows(got, "request_id", "outcome") == rows(want, "request_id", "outcome")
 
 
+class Held:
+    """State, timers and the handle of one key, in memory; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.maps, self.values = 0, set(), {}, {}
+
+    def getMapState(self, name, key, value):
+        held, of = self.maps.setdefault(name, {}), self
+
+        class Map:
+            def containsKey(self, k):
+                of.calls += 1
+                return k in held
+
+            def getValue(self, k):
+                of.calls += 1
+                return held.get(k)
+
+            def updateValue(self, k, v):
+                of.calls += 1
+                held[k] = v
+
+            def removeKey(self, k):
+                of.calls += 1
+                held.pop(k, None)
+
+        return Map()
+
+    def getValueState(self, name, schema):
+        held, of = self.values, self
+
+        class Value:
+            def exists(self):
+                of.calls += 1
+                return name in held
+
+            def get(self):
+                of.calls += 1
+                return held.get(name)
+
+            def update(self, v):
+                of.calls += 1
+                held[name] = v
+
+            def clear(self):
+                of.calls += 1
+                held.pop(name, None)
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+@pytest.mark.parametrize("dense", [1000, 4])
+def test_state_is_called_by_bucket_and_not_by_row(monkeypatch, dense):
+    """Verdicts and the moment of each row are those of a walk in order, in any triggers, split buckets or not."""
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from tidewater.streaming import stateful
+
+    monkeypatch.setattr(stateful, "DENSE", dense, raising=False)
+    rng = random.Random(3)
+    span = rng.sample(range(400), 60) + [70_000 + i // 9 for i in range(300)] + [20_000_000, 20_000_000, 33_000_000]
+    data = sorted(((s * stateful.SECOND + rng.randrange(1000), n) for n, s in enumerate(span)), key=lambda r: (r[0], r[1]))
+    walk = lambda state, row: ((((state[0] if state else 0) * 31 + row[1]) % 997,), (state[0] if state else 0))
+    held, processor, got, mark = Held(), None, [], 0
+    processor = stateful._processor(("at", "request_id"), "x bigint", lambda frame: None, walk, lambda state: None)
+    processor.init(held)
+    shuffled = sorted(data, key=lambda r: r[0] // (150 * stateful.SECOND) * 1000 + rng.randrange(1000))
+    for part in range(0, len(shuffled) + 100, 100):
+        rows_in = shuffled[part:part + 100]
+        if rows_in:
+            list(processor.handleInputRows(("k",), iter([pd.DataFrame(rows_in, columns=["at", "request_id"])]), None))
+        rest = shuffled[part + 100:]
+        mark = max(mark, min(r[0] for r in rest) // 1000 if rest else 21_000_000_000)
+        while due := sorted(t for t in held.timers if t <= mark):
+            held.timers.discard(due[0])
+            for out in processor.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark),
+                                                    SimpleNamespace(getExpiryTimeInMs=lambda: due[0])):
+                got += list(zip(out["request_id"], out["verdict"], out["key_0"]))
+        passed = [r for r in data if (r[0] // stateful.SECOND + 1) * 1000 <= mark]
+        assert [g[0] for g in got] == [r[1] for r in passed]
+    state = None
+    for (at, n), (_, verdict, key) in zip(data, got):
+        state, want = walk(state, (at, n))
+        assert (verdict, key) == (want, "k")
+    assert len(got) == len(data) - 1 and len(held.timers) > 0
+    if dense == 1000:
+        assert held.calls < len(data) / 2
+
+
 def test_idle_clients_leave_the_state(spark, tmp_path):
     from tidewater.streaming import stateful
 
